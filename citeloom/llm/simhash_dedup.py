@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, connected_components, small_batches, text_of, written
+from .common import Written, connected_components, fresh, small_batches, text_of, written
 
 SHINGLE, SEED, MAX_BITS, BLOCKS, HOT_BLOCK = 3, 42, 2, 5, 64
 CHUNK = 1 << 15
@@ -94,10 +94,10 @@ def links(fps: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_block: int = HOT_BLOCK) -> DataFrame:
-    """One row for each input row: doc_id, fingerprint (16 hex digits), component_id, fp, first_id.
+    """One row for each input row: doc_id, fingerprint (16 hex digits), component_id, fp, first_id, root.
 
     component_id is the smallest id among all rows reachable over links, first_id the smallest
-    with the same fingerprint. Null texts count as empty; texts without words have fingerprint 0
+    with the same fingerprint, root the component's smallest fingerprint. Null texts count as empty; texts without words have fingerprint 0
     and link like others. Null ids are ignored as component_id unless a component has no other.
     Repeated rows stay. An empty table gives no rows.
     """
@@ -106,26 +106,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     label = connected_components(links(distinct, hot_block))
     named = written(distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label")), "labels")
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of = named.join(least, "label").select("fp", "first_id", "component_id")
-    return docs_fp.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "first_id")
+    of = named.join(least, "label").select("fp", "first_id", "component_id", F.col("label").alias("root"))
+    return docs_fp.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "first_id", "root")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stand for their components: those whose id is its component's, once each.
+    """One row of each component, that with the component's smallest (id, fingerprint); of rows equal in both, that of the least text.
 
-    Rows are picked by (id, fingerprint), so the input is read twice but no text is shuffled for
-    the search. Of rows that share that id and fingerprint one stays, the one of the least text.
+    The search shuffles fingerprints only; texts are shuffled once, to pick the rows. Null ids
+    come last, and a component without other ids keeps one row.
     """
     found = classes(docs, id_col, text_col)
-    keep = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("fp"))).alias("k"))
-    keep = written(keep.select(F.col("k.id").alias("__keep_id"), F.col("k.fp").alias("__keep_fp")), "keep")
-    kept = docs.join(keep.select("__keep_id").distinct(), F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi")
-    # an id may occur on several rows: those of other fingerprints go, equal ones are made one
-    again = fingerprints(kept, id_col, text_col).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = written(again.select(F.col("doc_id").alias("__again")), "again")
-    if repeated.isEmpty():
+    label = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), F.col("root").cast("string")))
+    keep = found.groupBy(label.alias("label")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("fp"))).alias("k"))
+    i, f = fresh(docs, "keep"), fresh(docs, "fp")
+    keep = written(keep.select(F.col("k.id").alias(i), F.col("k.fp").alias(f + "k")), "keep")
+    ids = keep.select(i).distinct()
+    kept = docs.join(ids, F.col(id_col).eqNullSafe(F.col(i)), "left_semi")
+    again = written(found.groupBy(F.col("doc_id").alias(i)).agg(F.count("*").alias("n")).where("n > 1").select(i), "again")
+    if again.isEmpty():
         return kept
-    single = kept.join(repeated, F.col(id_col).eqNullSafe(F.col("__again")), "left_anti")
-    several = kept.join(repeated, F.col(id_col).eqNullSafe(F.col("__again")), "left_semi")
-    several = several.groupBy(F.col(id_col).alias("__id")).agg(F.min(F.struct(*[F.col(text_col).alias("__t")], F.struct(*[F.col(c) for c in several.columns]).alias("__row"))).alias("__m")).select("__m.__row.*")
+
+    @F.pandas_udf("bigint")
+    def fp(texts):
+        return texts.map(lambda t: _signed(simhash(t)))
+
+    # ids on several rows: only the rows of the fingerprints that stay, once each
+    single = kept.join(again, F.col(id_col).eqNullSafe(F.col(i)), "left_anti")
+    several = kept.join(again, F.col(id_col).eqNullSafe(F.col(i)), "left_semi").withColumn(f, fp(text_of(text_col)))
+    several = several.join(keep, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(f) == F.col(f + "k")), "left_semi")
+    several = several.groupBy(id_col, f).agg(F.min_by(F.struct(*docs.columns), text_of(text_col)).alias("row")).select("row.*")
     return single.unionByName(several)
