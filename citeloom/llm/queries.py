@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash_dedup
+from . import fingerprint, html_extract, mixing, packing, pii, quality, simhash_dedup, token_count, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,26 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train(*url_filter.examples(pages))
+    return url_filter.judge(pages, model=model).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=False)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    derived = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    return derived.select("warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", F.length("block").cast("long").alias("content_length"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
@@ -43,12 +58,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
+    "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
+    "op5_fingerprint": op5_fingerprint,
+    "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_token_count": op9_token_count,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -62,6 +62,7 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[100][0].base == "" and got[100][0].spans == "phone:20:31" and got[100][0].n_phone == 0
     assert got[101][0].spans == "" and got[102][0].spans == "" and got[103][0].spans == ""
     assert len(got[None]) == 2 and {r.spans for r in got[None]} == {"phone:13:27"}
+    assert got[0][0].n_phone == 1 and got[0][0].n_email == got[0][0].n_ip == got[0][0].n_card == 0
     assert sum(map(len, got.values())) == len(rows)
 
 
