@@ -2,12 +2,17 @@
 
 Each source may give at most `epochs` times its own size. A common level is raised so that
 sources at their cap stay there and the others share the rest by weight. A source with target
-r times its size gives every document floor(r) times, and once more those documents whose hash
-lies below a cut, found in two histograms of hash ranges so that their sizes add up to the rest.
+r times its size gives every document floor(r) times, and some once more, so many that their
+sizes add up to the rest. They are found in rounds: a round takes, in the order of a hash, the
+documents up to the hash range that would pass what is missing, and the next round, under
+another hash, looks among all those left that are small enough. A histogram of hash ranges by
+source is all that a round needs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, fresh, global_rank, text_of, written
 
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
-BITS = 12  # of each of the two histograms
+ROUNDS, BITS = 4, 12  # rounds, and bits of a round's hash
 
 
 def n_words(text: str) -> Column:
@@ -23,10 +28,18 @@ def n_words(text: str) -> Column:
     return F.regexp_count(text_of(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _draw(id_col: str, seed: str) -> Column:
-    """24 hash bits of an id; null ids count as an empty id."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(key), 1, 2 * BITS // 4), 16, 10).cast("long")
+def _draws(id_col: str, seed: str) -> list[Column]:
+    """Hash bits of an id for each round; null ids count as an empty id."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return [F.conv(F.substring(key, 1 + k * BITS // 4, BITS // 4), 16, 10).cast("int").alias(f"draw{k}") for k in range(ROUNDS)]
+
+
+def _taken(rounds: int, size: Column, draw: Callable[[int], Column], cut: Callable[[int], Column], room: Callable[[int], Column]) -> Column:
+    """Whether one of the first rounds took a document."""
+    taken = F.lit(False)
+    for k in range(rounds):
+        taken = taken | ((draw(k) < cut(k)) & (size <= room(k)))
+    return taken
 
 
 def levels(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
@@ -49,33 +62,30 @@ def levels(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float
     return of.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
 
 
-def _cumulated(of: DataFrame, bucket: str) -> DataFrame:
-    """Sizes summed by source and bucket, and the sum of the buckets before: at most 2**BITS rows a source."""
-    upto = W.partitionBy("source").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    return of.groupBy("source", bucket).agg(F.sum("size").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(upto), F.lit(0)))
+def _with_sources(df: DataFrame, side: DataFrame, few: bool) -> DataFrame:
+    side = side.withColumnRenamed("source", "__of")
+    return df.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
+
 
+def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS) -> tuple[DataFrame, bool]:
+    """(source, source_size, target, whole, cut<k>, room<k> for each round), and whether there are few sources.
 
-def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
-    """(source, source_size, target, whole, cut): rows has source, size and draw, one row a document."""
+    rows has source, size and draw<k>, one row a document. In round k the documents not taken
+    before, of size up to room<k>, are taken if draw<k> < cut<k>.
+    """
     per = levels(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    per = written(per.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "whole")
-
-    def with_sources(df: DataFrame, side: DataFrame) -> DataFrame:
-        return df.join(side.withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
-
-    high = _cumulated(rows.select("source", "size", F.shiftright("draw", BITS).alias("high")), "high")
-    edge = with_sources(high, per.select("source", "rest")).where("before <= rest AND before + held > rest")
-    edge = written(edge.select("source", "high", (F.col("rest") - F.col("before")).alias("rest")), "edge")
-    inside = with_sources(rows.withColumn("at", F.shiftright("draw", BITS)), edge).where("at = high")
-    low = _cumulated(inside.select("source", "size", F.col("draw").bitwiseAND(F.lit((1 << BITS) - 1)).alias("low")), "low")
-    # the set of low parts is a prefix; the part that crosses the rest joins if that comes nearer
-    taken = with_sources(low, edge.select("source", "rest")).where("held > 0 AND before + held / 2.0 < rest")
-    cuts = edge.join(taken.groupBy(F.col("source").alias("__of")).agg((F.max("low") + 1).alias("low")), F.col("source").eqNullSafe(F.col("__of")), "left")
-    cuts = cuts.select(F.col("source").alias("__of"), (F.shiftleft("high", BITS) + F.coalesce("low", F.lit(0))).alias("cut"))
-    # no edge: the rest is nothing, or all of the source
-    every = F.when((F.col("rest") > 0) & (F.col("rest") >= F.col("source_size")), F.lit(1 << 2 * BITS)).otherwise(F.lit(0)).cast("long")
-    return per.join(cuts, F.col("source").eqNullSafe(F.col("__of")), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", every).alias("cut"))
+    per = written(per.withColumn("whole", whole).withColumn("room0", F.col("target") - F.col("whole") * F.col("source_size")), "plan")
+    few = per.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for k in range(ROUNDS):
+        now = _with_sources(rows, per.drop("source_size", "target", "whole"), few)
+        left = now.where((F.col("size") <= F.col(f"room{k}")) & (F.col("size") > 0) & ~_taken(k, F.col("size"), lambda j: F.col(f"draw{j}"), lambda j: F.col(f"cut{j}"), lambda j: F.col(f"room{j}")))
+        held = left.groupBy("source", f"draw{k}").agg(F.sum("size").alias("held"), F.first(f"room{k}").alias("room"))
+        upto = W.partitionBy("source").orderBy(f"draw{k}").rowsBetween(W.unboundedPreceding, 0)  # 2**BITS rows a source at most
+        fits = held.withColumn("sum", F.sum("held").over(upto)).where("sum <= room").groupBy(F.col("source").alias("__of")).agg((F.max(f"draw{k}") + 1).alias("cut"), F.max("sum").alias("sum"))
+        new = per.join(F.broadcast(fits) if few else fits, F.col("source").eqNullSafe(F.col("__of")), "left")
+        per = written(new.select(*per.columns, F.coalesce("cut", F.lit(0)).alias(f"cut{k}"), (F.col(f"room{k}") - F.coalesce("sum", F.lit(0))).alias(f"room{k + 1}")), "plan")
+    return per, few
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, carry: bool = True) -> DataFrame:
@@ -86,20 +96,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows with the same id are taken alike. An empty table, or one without words, has targets 0.
     Sources' plans are broadcast only up to BROADCAST_ROWS sources and joined by shuffle beyond.
     """
-    size, source, draw = n_words(text_col), F.col(source_col).cast("string"), _draw(id_col, seed)
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), size.alias("size"), draw.alias("draw")), "sizes")
-    of = written(plan(rows, weights, epochs), "plan")
-    if of.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        of = F.broadcast(of)
-    if not carry:
-        joined = rows.withColumnRenamed("source", "__s").join(of, F.col("__s").eqNullSafe(F.col("source")))
-        return joined.select("doc_id", "size", "source_size", "target", (F.col("whole") + (F.col("draw") < F.col("cut")).cast("long")).alias("times"))
-    d, s, z = fresh(docs, "draw"), fresh(docs, "source"), fresh(docs, "size")
-    of = of.select(F.col("source").alias(s + "of"), *[F.col(c).alias(f"{z}{c}") for c in ("source_size", "target", "whole", "cut")])
-    made = ["size", "source_size", "target", "times"]
-    keep = [F.col(c) for c in docs.columns if c.lower() not in made]
-    joined = docs.select("*", draw.alias(d), source.alias(s), size.alias(z)).join(of, F.col(s).eqNullSafe(F.col(s + "of")))
-    return joined.select(*keep, F.col(z).alias("size"), F.col(f"{z}source_size").alias("source_size"), F.col(f"{z}target").alias("target"), (F.col(f"{z}whole") + (F.col(d) < F.col(f"{z}cut")).cast("long")).alias("times"))
+    size, source, draws = n_words(text_col), F.col(source_col).cast("string"), _draws(id_col, seed)
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), size.alias("size"), *draws), "sizes")
+    of, few = plan(rows, weights, epochs)
+    made, mine, its = ["size", "source_size", "target", "times"], fresh(docs, "doc"), fresh(docs, "plan")
+    if carry:
+        keep = [F.col(c) for c in docs.columns if c.lower() not in made]
+        df = docs.select("*", F.struct(source.alias("source"), size.alias("size"), *draws).alias(mine))
+    else:
+        keep = [F.col("doc_id")]
+        df = rows.select("doc_id", F.struct(*[c for c in rows.columns if c != "doc_id"]).alias(mine))
+    of = of.select(F.struct(*of.columns).alias(its))
+    df = df.join(F.broadcast(of) if few else of, F.col(f"{mine}.source").eqNullSafe(F.col(f"{its}.source")))
+    d, o = (lambda c: F.col(f"{mine}.{c}")), (lambda c: F.col(f"{its}.{c}"))
+    more = _taken(ROUNDS, d("size"), lambda k: d(f"draw{k}"), lambda k: o(f"cut{k}"), lambda k: o(f"room{k}")) & (d("size") > 0)
+    return df.select(*keep, d("size").alias("size"), o("source_size").alias("source_size"), o("target").alias("target"), (o("whole") + more.cast("long")).alias("times"))
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:

@@ -44,7 +44,7 @@ def test_targets_and_takings(docs):
         assert 0 <= r.times <= 3
         taken[r.source_size] = taken.get(r.source_size, 0) + r.times * r.size
     for size, words in taken.items():
-        assert abs(words - want[size]) <= 30, (size, words, want[size])  # half of the longest document
+        assert abs(words - want[size]) <= 60, (size, words, want[size])  # about a document
 
 
 def test_reruns_agree_and_columns_stay(docs):
