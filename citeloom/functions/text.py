@@ -24,9 +24,13 @@ DOT_LEADER = r"\.\s?\.\s?\.\s?\."
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 
+def casefold(text: Column) -> Column:
+    return F.lower(F.replace(text, F.lit("ß"), F.lit("ss")))
+
+
 def base_slug(name: Column) -> Column:
     """Lower case, runs of other than a-z and 0-9 as one hyphen, trimmed, cut, trimmed again."""
-    dashed = F.regexp_replace(F.lower(F.replace(name, F.lit("ß"), F.lit("ss"))), "[^a-z0-9]+", "-")
+    dashed = F.regexp_replace(casefold(name), "[^a-z0-9]+", "-")
     cut = F.substring(F.btrim(dashed, F.lit("-")), 1, SLUG_LIMIT)
     slug = F.btrim(cut, F.lit("-"))
     return F.when(slug == "", SLUG_FALLBACK).otherwise(slug)
@@ -42,7 +46,7 @@ def suffixed(slug: Column, name: Column) -> Column:
 
 def canonical_name(name: Column) -> Column:
     """What two spellings of a name have in common: no bracketed parts, lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(F.regexp_replace(name, r"\([^)]*\)", "")), "[^a-z0-9]", "")
+    return F.regexp_replace(casefold(F.regexp_replace(name, r"\([^)]*\)", "")), "[^a-z0-9]", "")
 
 
 def squeeze(text: Column) -> Column:
@@ -51,7 +55,7 @@ def squeeze(text: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    return F.lower(squeeze(text))
+    return casefold(squeeze(text))
 
 
 def _identity(*parts: Column) -> Column:
@@ -95,7 +99,7 @@ def cache_key(adapter: Column, prompt_version: Column, path: Column, text: Colum
 
 def content_words(text: Column) -> Column:
     """Distinct words of three letters and more, without those every clause has."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    found = F.regexp_extract_all(casefold(text), F.lit(WORD), F.lit(0))
     return F.array_except(found, F.array(*map(F.lit, STOPWORDS)))
 
 

@@ -9,6 +9,7 @@ from pathlib import PurePath
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import canonical_name
 
@@ -31,7 +32,7 @@ def is_document(path: str) -> bool:
     return path.lower().endswith(".pdf")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _literal(cells: pd.Series) -> pd.Series:
     def one(cell):
         if cell is None or not cell.strip():
