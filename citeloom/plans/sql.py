@@ -69,7 +69,7 @@ def run(spark: SparkSession, text: str, cap: int | None = ROW_CAP, timeout: floa
     timer = threading.Timer(timeout, stop)
     timer.start()
     try:
-        rows = [r[0] for r in as_json(df.limit(cap + 1) if cap else df).toLocalIterator()]
+        rows = [r[0] for r in as_json(df.limit(cap + 1) if cap else df).collect()]  # in this thread, which holds the tag
     except Exception as e:
         raise RefusedError("the query took too long" if late.is_set() else str(e).splitlines()[0]) from e
     finally:
