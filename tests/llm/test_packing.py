@@ -75,3 +75,19 @@ def test_pack_over_a_table(spark):
     twice = packing.pack(spark.createDataFrame([(None, "x", 1)] * 2, "doc_id long, text string, length int"), tokenizer_path()).collect()
     assert sum(r.length for r in twice) == 4 and {r.doc_id for r in twice} == {None}
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_piece_encoder_equals_the_tokenizer():
+    import json
+
+    tokenizers = pytest.importorskip("tokenizers")
+    plain = tokenizers.Tokenizer.from_file(tokenizer_path())
+    encode = packing.piece_encoder(tokenizer_path())
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        words = [t[:-4] for t in json.load(f)["model"]["vocab"] if t.endswith("</w>")]
+    draw = random.Random(4)
+    pieces = [w for w in words if w.isascii() and w.isalpha() and w.islower()]
+    pieces += ["".join(draw.choice("abcdefghijklmnopqrstuvwxyzéßäñç") for _ in range(draw.randint(1, 14))) for _ in range(20000)]
+    pieces += ["".join(draw.sample(pieces[:20000], 2)) for _ in range(20000)] + ["!" * n for n in range(1, 30)] + list("0123456789¼×")
+    for p, e in zip(pieces, plain.encode_batch(pieces, add_special_tokens=False)):
+        assert np.frombuffer(encode(p), "<u4").tolist() == e.ids, p
