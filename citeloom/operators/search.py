@@ -144,7 +144,7 @@ def _holds(column: Column, needle: str) -> Column:
 
 def _cited(rows: DataFrame, t: dict[str, DataFrame], document: str = "document") -> DataFrame:
     """Rows of (obligation_id, statement, modality, document) with the primary anchor's citation."""
-    return rows.join(primary_anchor(t["anchored_in"], t["chunk"]), "obligation_id").select("statement", "modality", document, "section_path", "page", F.col("text").alias("quote"))
+    return rows.select("obligation_id", "statement", "modality", document).join(primary_anchor(t["anchored_in"], t["chunk"]), "obligation_id").select("statement", "modality", document, "section_path", "page", F.col("text").alias("quote"))
 
 
 def _documents(t: dict[str, DataFrame]) -> DataFrame:

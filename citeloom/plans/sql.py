@@ -59,22 +59,23 @@ def run(spark: SparkSession, text: str, cap: int | None = ROW_CAP, timeout: floa
         df = spark.sql(checked(spark, text))
     except (AnalysisException, ParseException) as e:
         raise RefusedError(str(e).splitlines()[0]) from e
-    spark.addTag(group)
+    sc = spark.sparkContext
+    sc.setJobGroup(group, "bounded query", interruptOnCancel=True)
     late = threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(group)
+        sc.cancelJobGroup(group)
 
     timer = threading.Timer(timeout, stop)
     timer.start()
     try:
-        rows = [r[0] for r in as_json(df.limit(cap + 1) if cap else df).collect()]  # in this thread, which holds the tag
+        rows = [r[0] for r in as_json(df.limit(cap + 1) if cap else df).collect()]  # in this thread, which holds the job group
     except Exception as e:
         raise RefusedError("the query took too long" if late.is_set() else str(e).splitlines()[0]) from e
     finally:
         timer.cancel()
-        spark.removeTag(group)
+        sc.setLocalProperty("spark.jobGroup.id", None)
     import json
 
     values = [json.loads(r) for r in (rows[:cap] if cap else rows)]
