@@ -54,7 +54,8 @@ def _left_out(name: str, attributes: str, inside: bool) -> bool:
 def events(page: str) -> Iterator[tuple[str, str, bool]]:
     """(tag, text, marked): a tag's name (an end tag with a slash) with no text, or no tag with a decoded text; marked: within a marked region.
 
-    An element that is left out ends with its end tag or with that of an element around it.
+    An element that is left out gives its name with a mark before it, and nothing else; it ends
+    with its end tag or with that of an element around it.
     """
     stack: list[str] = []
     skip, inside, at = 0, 0, 0  # skip: depth of the stack at which leaving out began, plus 1
@@ -72,14 +73,14 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
             continue
         if m[1]:
             if name in stack:
-                while True:
+                gone = ""
+                while gone != name:
                     gone = stack.pop()
                     inside -= gone in MARKED
-                    if skip > len(stack):
-                        skip = 0
-                    if gone == name:
-                        break
-                if not skip:
+                itself = skip == len(stack) + 1
+                if skip > len(stack):
+                    skip = 0
+                if not skip and not itself:
                     yield f"/{name}", "", inside > 0
             continue
         if (name in _CLOSES_P and stack and stack[-1] == "p") or (name == "li" and stack and stack[-1] == "li"):
@@ -91,7 +92,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
             close = page.find(">", end.end()) if end else -1
             position = at = close + 1 if close >= 0 else size
             if not skip:
-                yield name, "", inside > 0
+                yield f"!{name}", "", inside > 0
             continue
         out = not skip and _left_out(name, m[3], inside > 0)
         if name not in VOID and not m[3].endswith("/"):
@@ -100,7 +101,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
             if out:
                 skip = len(stack)
         if not skip or out:
-            yield name, "", inside > 0
+            yield ("!" if out else "") + name, "", inside > 0
 
 
 def tally(page: str) -> Counter:
@@ -111,7 +112,7 @@ def tally(page: str) -> Counter:
     for tag, text, marked in events(page):
         if not tag:
             found["word", marked] += len(text.split())
-        elif tag.strip("/") not in MARKED:
+        elif tag[0] != "!" and tag.strip("/") not in MARKED:
             found[tag, marked] += 1
     return found
 
@@ -131,14 +132,17 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
     for i, (tag, text) in enumerate(seen):
         if total <= 0:
             total, begin = 0.0, i
-        total += word * len(text.split()) if not tag else -0.01 if tag.strip("/") in MARKED else weight.get(tag, -0.01 if tag.strip("/") in INLINE else other)
+        if not tag:
+            total += word * len(text.split())
+        elif tag[0] != "!":
+            total += -0.01 if tag.strip("/") in MARKED else weight.get(tag, -0.01 if tag.strip("/") in INLINE else other)
         if total > best:
             best, best_from, best_to = total, begin, i + 1
     blocks, now = [], []
     for tag, text in seen[best_from:best_to]:
         if not tag:
             now.append(text)
-        elif tag.strip("/") not in INLINE:
+        elif tag.strip("/!") not in INLINE:
             blocks.append("".join(now))
             now = []
     blocks.append("".join(now))
