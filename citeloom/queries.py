@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from .functions import text as X
 from .operators import changes, chunking, graph, links, obligations, search, versions
 from .plans import rebuild, store
 from .sources import manifest
+from .streaming import dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -408,6 +410,17 @@ def job_status(spark, d):
     return rebuild.status(e).select("run_id", "state", "done")
 
 
+# -- streams
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_windows(spark, d):
+    """All files there are, as a stream: windows of event time in complete mode."""
+    events = dedup.read(spark, d, table(spark, d, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"windows_{uuid.uuid4().hex}"
+    dedup.counted(events, ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
 # -- ad-hoc SQL
 
 def _adhoc(name: str, text: str, sql: str | None = None) -> None:
