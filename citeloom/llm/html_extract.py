@@ -153,7 +153,9 @@ def learn(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> dic
     """Weights from marked pages; with none, words and tags weigh as in `weights` without counts."""
     small_batches(pages.sparkSession)
     h = F.col(html_col)
-    chosen = pages.select(h.alias("html")).where(h.rlike(r"(?i)<(article|main)\b")).orderBy(F.xxhash64("html"), "html").limit(sample)
+    marked = pages.select(h.alias("html"), F.xxhash64(h).alias("h")).where(h.rlike(r"(?i)<(article|main)\b"))
+    least = [r.h for r in marked.select("h").distinct().orderBy("h").limit(sample).collect()]  # hashes alone are sorted, no pages
+    chosen = marked.where(F.col("h") <= F.lit(least[-1] if least else 0)).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
