@@ -11,7 +11,7 @@ each word at most 65 fingerprints. That loses no link.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -116,9 +116,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The search shuffles fingerprints only; texts are shuffled once, to pick the rows. Null ids
     come last, and a component without other ids keeps one row.
     """
-    found = classes(docs, id_col, text_col)
-    label = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), F.col("root").cast("string")))
-    keep = found.groupBy(label.alias("label")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("fp"))).alias("k"))
+    return keep_one(docs, classes(docs, id_col, text_col), lambda t: _signed(simhash(t)), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, found: DataFrame, key: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """The rows that deduplicate() keeps, by the components found (doc_id, fp, component_id, root); key gives a text's fp."""
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("fp"))).alias("k"))
     i, f = fresh(docs, "keep"), fresh(docs, "fp")
     keep = written(keep.select(F.col("k.id").alias(i), F.col("k.fp").alias(f + "k")), "keep")
     ids = keep.select(i).distinct()
@@ -129,7 +132,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     @F.pandas_udf("bigint")
     def fp(texts):
-        return texts.map(lambda t: _signed(simhash(t)))
+        return texts.map(key)
 
     # ids on several rows: only the rows of the fingerprints that stay, once each
     single = kept.join(again, F.col(id_col).eqNullSafe(F.col(i)), "left_anti")
