@@ -3,8 +3,9 @@
 The rules' entities are seeds. Every token with a digit or an @, seed or not, is an instance, and
 the words around it are its lexical patterns. Over the graph of patterns and instances Spark
 scores in turns: a pattern of a kind by the share of its instances that are believed to be of
-that kind, out of all its instances of any kind; an unseen instance by the mean of its
-patterns. Instances that end above ACCEPT, of a shape their kind allows, become spans too.
+that kind, out of all its instances of any kind; an unseen instance by the best of its patterns
+that have enough seeds. Instances above ACCEPT, of a shape their kind allows, are seeds of the
+next round, and in the end become spans too.
 """
 
 from __future__ import annotations
@@ -151,24 +152,19 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEED
     """
     spots = written(scanned.select("doc_id", "h", F.explode("found").alias("x")).select("doc_id", "h", "x.*"), "spots")
     edges = written(spots.select("value", "seed", "fits", F.explode("patterns").alias("pattern")).distinct(), "graph")
-    size = edges.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
+    size = written(edges.groupBy("pattern").agg(F.count_distinct("value").alias("n")), "sizes")
     seeds = edges.where("seed IS NOT NULL").select("pattern", F.col("seed").alias("kind"), "value").distinct()
-    # only patterns with enough seeds of a kind can ever speak for it
-    strong = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    strong = written(strong.join(size, "pattern"), "patterns")
-    open_ = edges.where("seed IS NULL").select("pattern", "value", F.explode("fits").alias("kind")).distinct()
-    unseen = written(open_.join(strong.select("pattern", "kind"), ["pattern", "kind"], "left_semi"), "unseen")
-    # a pattern that cannot speak for a kind counts as 0 in its instances' means
-    degree = open_.join(unseen.select("value", "kind").distinct(), ["value", "kind"], "left_semi").groupBy("value", "kind").agg(F.count("*").alias("degree"))
-    degree = written(degree, "degree")
-    scores = degree.select("value", "kind", F.lit(0.0).alias("score"))
-    if degree.isEmpty():
-        rounds = 0
+    seeds = written(seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")), "patterns")
+    unseen = written(edges.where("seed IS NULL").select("pattern", "value", F.explode("fits").alias("kind")).distinct(), "unseen")
+    scores = unseen.select("value", "kind", F.lit(0.0).alias("score")).limit(0)
     for _ in range(rounds):
-        believed = unseen.join(scores, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-        confidence = strong.join(believed, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + 1)).alias("confidence"))
-        summed = unseen.join(confidence, ["pattern", "kind"]).groupBy("value", "kind").agg(F.sum("confidence").alias("sum"))
-        scores = written(summed.join(degree, ["value", "kind"]).select("value", "kind", (F.col("sum") / F.col("degree")).alias("score")), "scores")
+        # accepted instances are seeds of the next round, others count by their score
+        taken = F.count_if(F.col("score") >= accept)
+        believed = unseen.join(scores, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.when(F.col("score") >= accept, 1.0).otherwise(F.col("score"))).alias("more"), taken.alias("taken"))
+        known = seeds.join(believed, ["pattern", "kind"], "full").na.fill(0, ["seeds", "more", "taken"]).where(F.col("seeds") + F.col("taken") >= min_seeds)
+        confidence = known.join(size, "pattern").select("pattern", "kind", ((F.col("seeds") + F.col("more")) / (F.col("n") + 1)).alias("confidence"))
+        # an instance's best pattern decides; those that cannot speak for a kind say nothing
+        scores = written(unseen.join(confidence, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("confidence").alias("score")), "scores")
     best = scores.where(F.col("score") >= accept).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     return spots.where("seed IS NULL").join(best, "value").select("doc_id", "h", "kind", "start", "stop").distinct()
 

@@ -66,6 +66,17 @@ def test_contexts_find_unseen_identifiers(spark):
     assert sum(map(len, got.values())) == len(rows)
 
 
+def test_one_confident_pattern_is_enough(spark):
+    rows = [(i, f"w{'abcdefghijkl'[i]} call hotline: +49 30 12345{i:02d}{i % 7} {'abcdefghijkl'[i]}w", i, "x") for i in range(12)]
+    # the words around vary: only some of the patterns have seeds
+    rows += [(100, "other call hotline: 030-5551234 elsewhere", 1, None), (101, "new hotline: 030-5551235 there", 1, None), (102, "room 030-5551236 there", 1, None)]
+    # accepted instances make a pattern speak that has no seeds of the rules
+    rows += [(200 + i, f"call hotline: 030-66600{i:02d} office", 1, None) for i in range(6)] + [(210 + i, f"call hotline: 030-66600{i:02d}, fax 030-66600{i:02d}", 1, None) for i in range(6)] + [(300, "fax 030-7770001 too", 1, None)]
+    got = {r.doc_id: r.spans for r in pii.spans(_docs(spark, rows)).collect()}
+    assert got[100] == "phone:20:31" and got[101] == "phone:13:24" and got[102] == ""
+    assert got[300] == "phone:4:15"
+
+
 def test_redact_keeps_columns_and_nulls(spark):
     rows = [(1, "mail a@b.co, ip 10.0.0.1", 5, "m"), (2, None, 6, None), (2, None, 6, None), (3, "", 7, "z")]
     out = pii.redact(_docs(spark, rows))
