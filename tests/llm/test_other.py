@@ -1,6 +1,7 @@
 """URL filter, fingerprints, WARC, quality, token counts and HTML against plain versions and odd rows."""
 
 import html
+import itertools
 import json
 import math
 import random
@@ -93,6 +94,21 @@ def test_urls_equal_plain_rules(spark):
     assert url_filter.judge(df.limit(0), model=model).count() == 0
 
 
+def test_url_scores_take_in_every_url(spark):
+    hosts = [f"{w}{i}.{'casino' if i % 3 else 'news'}.example.org" for i, w in enumerate("".join(x) for x in itertools.product("abcdefg", repeat=2))]
+    urls = [f"http://{h}/en/{i}" for h in hosts for i in (1, 20)] + ["http://", None, "x", "HTTP://B.example.com/EN/é"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    texts = sorted({url_filter.shape(*brute_parts(u)) for u in urls if u and "://" in u})
+    whole = url_filter.Ratio(*[url_filter.Markov().learn([t for t in texts if ("casino" in t) == bad]) for bad in (False, True)])
+    scored = url_filter.scores(df, sample=5)  # the sample is for the level alone
+    got = {r.s: r.score for r in scored[0].collect()}
+    assert set(got) == set(texts) and all(abs(got[t] - whole.score(t)) < 1e-9 for t in texts)
+    rows = {r.url: r for r in url_filter.judge(df, scored=scored).collect()}
+    assert len(rows) == len(set(urls)) and rows[None].score == 0 == rows["x"].score and rows["http://"].verdict == "allow"
+    assert all(abs(r.score - got[url_filter.shape(r.host, r.path)]) < 1e-12 for r in rows.values() if r.host)
+    assert url_filter.scores(df.limit(0)) is None and url_filter.scores(df.where("url like '%casino%'")) is None
+
+
 def test_url_model_on_held_out_words():
     draw = random.Random(9)
     good = [f"{draw.choice(['www', 'blog', 'm'])}.th{draw.choice(['an', 'er', 'in'])}{draw.choice(['ed', 'es', 'on'])}.example.net/en/{draw.randint(0, 999)}" for _ in range(400)]
