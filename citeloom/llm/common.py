@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from itertools import accumulate
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +19,11 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set to a temporary one only where unset (tests)."""
+    """The folder all executors share, spark.checkpoint.dir; where it is unset, a temporary one in local mode, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='citeloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,22 +37,42 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Written:
-    """A DataFrame written to the shared folder, so that lost executors cost no recomputation."""
+    """A DataFrame written to the shared folder, so that lost executors cost no recomputation.
 
-    def __init__(self, df: DataFrame, tag: str):
+    Operators drop what their result does not read; the rest goes with drop_all(), at the latest
+    when the driver's process ends.
+    """
+
+    alive: ClassVar[set[Written]] = set()
+
+    def __init__(self, df: DataFrame, tag: str, codec: str = "snappy"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/citeloom/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        Written.alive.add(self)
 
     def drop(self) -> None:
+        Written.alive.discard(self)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    return Written(df, tag).df
+def drop_all() -> None:
+    """Deletes all intermediates of this process; DataFrames that read them must have been used up."""
+    for one in list(Written.alive):
+        one.drop()
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        drop_all()
+
+
+def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+    return Written(df, tag, codec).df
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -58,6 +84,11 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def columns(df: DataFrame, *but: str) -> list[Column]:
+    """All columns, whatever their names, except those named (in any case)."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in but]
+
+
 def text_of(text: str) -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -74,36 +105,40 @@ def global_rank(df: DataFrame, key: str, rank: str = "rank") -> DataFrame:
     order = F.col(key).asc_nulls_last()
     dealt = df.repartitionByRange(n, F.col(key).isNull(), order).sortWithinPartitions(F.col(key).isNull(), order)
     dealt = written(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "rank")
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))  # one row a range
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("__before"))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()  # one row a range
+    before = list(zip([r["__part"] for r in sizes], accumulate((r["n"] for r in sizes), initial=0)))
+    before = spark.createDataFrame(before, "__part int, __before long")
     return dealt.join(F.broadcast(before), "__part").withColumn(rank, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
 
+def _at_rest(edges: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars: each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out > 0 AND into > 0").isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of an edge list (columns u and v, any order, repeats allowed).
 
-    Alternates the large-star and small-star steps until the edges no longer change: each step
+    Alternates the large-star and small-star steps until only stars are left: each step
     is a grouped minimum and a join, so that no neighbourhood is gathered in one place, and the
     number of rounds grows with the logarithm of the size of a component. Every round's edges are
     written to the shared folder. Returns (node, label) for the nodes that have an edge.
     """
     u, v = F.col("u"), F.col("v")
     now = Written(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
-    state = None
-    for _ in range(max_rounds):
+    rounds = 0
+    while not _at_rest(now.df):
+        if rounds == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        rounds += 1
         both = now.df.unionByName(now.df.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where(v > u).join(low, "u").select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
         best = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(best, "u").select(v.alias("u"), F.col("m").alias("v")).where(u != v).unionByName(best.select("u", F.col("m").alias("v"))).distinct()
         new = Written(small, "edges")
-        got = new.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         now.drop()
         now = new
-        if tuple(got) == state:
-            break
-        state = tuple(got)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # at rest every node points at its component's least node
-    return now.df.groupBy(u.alias("node")).agg(F.min("v").alias("label")).unionByName(now.df.select(v.alias("node"), v.alias("label")).distinct())
+    return now.df.select(u.alias("node"), v.alias("label")).unionByName(now.df.select(v.alias("node"), v.alias("label")).distinct())
