@@ -14,10 +14,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import small_batches, text_of, written
 from .simhash_dedup import shingle_hashes
 
 SHINGLE, SEED, BINS, BIN_BITS = 5, 7, 256, 4
@@ -34,11 +35,8 @@ def _orders(bins: int) -> np.ndarray:
     return x.reshape(bins, bins).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
 
 
-def fingerprint(text: str | None, bins: int = BINS) -> str:
-    """Hex string of bins * BIN_BITS bits; empty for a text without words, which has no shingle."""
-    hashes = shingle_hashes(text, SHINGLE, SEED)
-    if not len(hashes):
-        return ""
+def minima(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Least hash of each bin, empty bins filled by densification; hashes must not be empty."""
     least = np.sort(hashes)  # by bin, then by value
     of = (least >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
     first = np.r_[True, of[1:] != of[:-1]]
@@ -47,7 +45,15 @@ def fingerprint(text: str | None, bins: int = BINS) -> str:
     if len(filled) < bins:
         empty = np.setdiff1d(np.arange(bins), filled, assume_unique=True)
         values[empty] = values[filled[_orders(bins)[np.ix_(empty, filled)].argmin(axis=1)]]
-    low = (values & np.uint64((1 << BIN_BITS) - 1)).astype(np.uint8)
+    return values
+
+
+def fingerprint(text: str | None, bins: int = BINS) -> str:
+    """Hex string of bins * BIN_BITS bits; empty for a text without words, which has no shingle."""
+    hashes = shingle_hashes(text, SHINGLE, SEED)
+    if not len(hashes):
+        return ""
+    low = (minima(hashes, bins) & np.uint64((1 << BIN_BITS) - 1)).astype(np.uint8)
     return (low[::2] << 4 | low[1::2]).tobytes().hex()
 
 
@@ -66,64 +72,79 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - k] + other[:k]
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows dealt out so that each task sees runs of neighbours in descending order of the id.
+def _result(key: object, text: str, mark: str, other: str, other_mark: str) -> tuple:
+    new = edited(text, other)
+    of_new = mark if new == text else fingerprint(new)
+    return key, len(text), hashlib.sha256(new.encode()).hexdigest(), mark, of_new, likeness(mark, of_new), likeness(mark, other_mark)
+
 
-    Columns part, copy, doc_id, h, text, sorted within tasks. Ids are cut into ranges at
-    quantiles. The first row of each range comes also, as a copy, at the end of the range
-    before, and the very first at the end of the last range. Texts are shuffled once. Nulls come
-    last, equal ids by the hash of their texts.
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+
+def _fields(docs: DataFrame, id_col: str) -> str:
+    return f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) dealt out by ranges in descending order of the id, sorted within them; nulls come last, equal ids go by the hash of their texts.
+
+    Rows that are equal in both are parted by the row's place in the input, so that no id, and no
+    repeated row, needs to fit into one range. Ranges follow Spark's sample of the keys.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    shares = [i / parts for i in range(1, parts)]
-    cuts = docs.agg(F.percentile_approx(id_col, shares or [0.5], 10_000)).first()[0] or []
-    cuts = sorted({c for c in cuts if c is not None})
-    part = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part))
-    tops = {r["part"]: r["top"] for r in rows.groupBy("part").agg(F.max(F.struct("doc_id", "h")).alias("top")).collect()}  # a row a range
-    order = sorted(tops, reverse=True)
-    sent = F.lit(None).cast("int")
-    for at, to in zip(order, order[-1:] + order[:-1]):
-        top = tops[at]
-        sent = F.when((F.col("part") == at) & F.col("doc_id").eqNullSafe(F.lit(top["doc_id"])) & (F.col("h") == F.lit(top["h"])), F.lit(to)).otherwise(sent)
-    places = F.array_compact(F.array(F.struct(F.col("part"), F.lit(False).alias("copy")), F.when(sent.isNotNull(), F.struct(sent.alias("part"), F.lit(True).alias("copy")))))
-    dealt = rows.select("doc_id", "h", "text", F.explode(places).alias("p")).select(F.col("p.part").alias("part"), F.col("p.copy").alias("copy"), "doc_id", "h", "text")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "copy", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("__h"), F.monotonically_increasing_id().alias("__at"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("__h").desc(), F.xxhash64("__at")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edit takes the next document's text, see edited() and with_next(); a single row is its own
-    next. A null text is empty. An empty table gives no rows.
-    """
-    small_batches(docs.sparkSession)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, out, key_type = None, [], pa.int64()  # last: part, id, text, fingerprint of the row that waits for its next
+    The edit takes the next document's text in descending order of the ids, see edited() and
+    _in_ranges(); the last row's next is the first, and a single row is its own. Ids may be of any
+    type that can be ordered. Null ids are last, a null text is empty, an empty table gives no rows.
 
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * len(names)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [key_type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2])], names)
+    Texts are shuffled once, into ranges of the order. A range compares its rows with one another
+    and hands out its first and its last text; what it finds is written, and the last row of each
+    range, one a task, then meets the first of the next.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
 
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, key_type = TaskContext.get().partitionId(), None, None  # last: id, text, fingerprint of the row that waits for its next
+        for b in batches:
+            key_type, out = b.column(0).type, []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
+                mark = fingerprint(text)
+                if last is None:
+                    out.append((part, "first", text, key, None, None, mark, None, None, None))
+                else:
+                    out.append((part, None, None, *_result(*last, text, mark)))
+                last = key, text, mark
+            yield batch(out, key_type)
+        if last is not None:
+            yield batch([(part, "last", last[1], last[0], None, None, last[2], None, None, None)], key_type)
+
+    def batch(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * 10
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.string(), pa.string(), key_type, *TYPES])], ["part", "edge", "whole", *NAMES])
+
+    found = written(_in_ranges(docs, id_col, text_col).mapInArrow(within, f"part int, edge string, whole string, {_fields(docs, id_col)}"), "compared", codec="zstd")
+    parts = [r["part"] for r in found.where("edge = 'last'").select("part").orderBy("part").collect()]  # one row a range
+    after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next int")
+    edges = found.where("edge IS NOT NULL").select("part", "edge", "doc_id", "whole", "fingerprint")
+    ends = edges.where("edge = 'last'").join(after, "part").select("next", "doc_id", "whole", "fingerprint")
+    starts = edges.where("edge = 'first'").select(F.col("part").alias("next"), F.col("whole").alias("other"), F.col("fingerprint").alias("other_mark"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key_type = b.column(2).type
-            for part, copy, key, text in zip(*(b.column(i) for i in (0, 1, 2, 4))):
-                part, copy, text = part.as_py(), copy.as_py(), text.as_py()
-                if copy and (last is None or last[0] != part):
-                    continue  # of several equal copies the first was the next one
-                print_ = fingerprint(text)
-                if last is not None and last[0] == part:
-                    new = edited(last[2], text)
-                    of_new = last[3] if new == last[2] else fingerprint(new)
-                    out.append((last[1], len(last[2]), hashlib.sha256(new.encode()).hexdigest(), last[3], of_new, likeness(last[3], of_new), likeness(last[3], print_)))
-                last = None if copy else (part, key.as_py(), text, print_)
-            yield flush()
-
-    return with_next(docs, id_col, text_col).mapInArrow(run, schema)
+            rows = [_result(*r) for r in zip(*(c.to_pylist() for c in b.columns))]
+            columns = list(zip(*rows)) or [()] * len(NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [b.column(0).type, *TYPES])], NAMES)
+
+    met = ends.join(starts, "next").select("doc_id", "whole", "fingerprint", "other", "other_mark").mapInArrow(across, _fields(docs, id_col))
+    return found.where("edge IS NULL").select(*NAMES).unionByName(met)
