@@ -3,7 +3,9 @@
 A page is read as words and tags in order. Words score above zero and tags below, with weights
 from pages whose content region is marked; one linear scan finds the contiguous run of the highest
 sum, and the text blocks in it are the main text. What is never content by its markup (menus,
-forms, adverts, scripts, comments of readers, ...) is left out before and splits no block.
+forms, adverts, scripts, comments of readers, ...) is left out before and splits no block: by its
+tag, role or hiding, or by a whole class name or id of a fixed list, unless it holds a marked
+region or half of the page's words.
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import columns, small_batches, text_of
 
 #: Weights are learned from a bounded sample of pages with one marked region, those of the least hashes.
 SAMPLE = 1_000
@@ -28,86 +31,158 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Left out whole, wherever they stand; `header` only outside marked regions.
 NEVER = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object svg canvas dialog menu noembed noframes xmp title audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-PHRASE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|respond|disqus|cookies?|consent|notice|alert|popup|modal|sidebar|side-bar|widget|menu|navbar|nav|navigation|toolbar|footer|masthead|site-header|page-header|share|sharing|social|related|recommended|promo|sponsor\w*|newsletter|subscribe|signup|login|search|pagination|pager|skip-link|hidden)(?:$|[\s_-])",
-    re.I,
+#: Whole class names, or ids, of elements that are not content, fixed values; longer names that only contain one say nothing.
+NAMES = frozenset(
+    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist comment-list respond disqus cookie cookies cookie-banner cookie-notice "
+    "consent notice alert popup modal sidebar side-bar left-sidebar right-sidebar widget widgets menu main-menu navbar nav navigation toolbar footer site-footer page-footer masthead site-header "
+    "page-header share sharing social social-share social-links related related-posts recommended promo sponsor sponsored newsletter subscribe signup login search search-form pagination pager skip-link".split()
 )
 ROLE = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"))
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_INSIDE = re.compile(r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'])(class|id|role|hidden|aria-hidden)(?![^\s=/>])\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
-def _left_out(name: str, attributes: str, inside: bool) -> bool:
-    if name in NEVER or (name == "header" and not inside):
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether an end tag, name, attributes) of each piece of markup; comments and declarations have no name.
+
+    A quote that is never closed ends its tag at the next >. Whatever was read is not read again,
+    so that a page takes time in proportion to its length. A < that starts no markup is text.
+    """
+    at, size = page.find("<"), len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+            yield at, end, False, "", ""
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            end = size if end < 0 else end + 1
+            yield at, end, False, "", ""
+        elif m := _NAME.match(page, at + 1):
+            end = _INSIDE.match(page, m.end()).end()
+            if end < size and page[end] != ">":  # a quote without an end
+                end = page.find(">", end)
+                end = size if end < 0 else end
+            yield at, min(end + 1, size), bool(m[1]), m[2].lower(), page[m.end() : end]
+            end = min(end + 1, size)
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
+def raw_end(page: str, name: str, at: int) -> tuple[int, int]:
+    """Where the text of a raw element ends, and where its end tag does."""
+    end = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(page, at)
+    close = page.find(">", end.end()) if end else -1
+    return end.start() if end else len(page), close + 1 if close >= 0 else len(page)
+
+
+def _may_go(attributes: str) -> bool:
+    """Whether an element's class, id, role or hiding says that it is not content."""
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), a or b or c
-        if (key in ("class", "id") and PHRASE.search(value)) or (key == "role" and value.lower() in ROLE) or (key == "hidden" and not value) or (key == "aria-hidden" and value.lower() == "true"):
+        key, value = key.lower(), (a or b or c).lower()
+        if (key in ("class", "id") and not NAMES.isdisjoint(value.split())) or (key == "role" and value in ROLE) or (key == "hidden" and value != "until-found") or (key == "aria-hidden" and value == "true"):
             return True
     return False
 
 
-def events(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(tag, text, marked): a tag's name (an end tag with a slash) with no text, or no tag with a decoded text; marked: within a marked region.
+@dataclass
+class _Element:
+    name: str
+    at: int  # its place among the events
+    words: int  # words before it
+    regions: int  # marked regions before it
+    may_go: bool
+    marked: bool  # stands in a marked region
 
-    An element that is left out gives its name with a mark before it, and nothing else; it ends
-    with its end tag or with that of an element around it.
-    """
-    stack: list[str] = []
-    skip, inside, at = 0, 0, 0  # skip: depth of the stack at which leaving out began, plus 1
-    position, size = 0, len(page)
-    while position < size:
-        m = _TAG.search(page, position)
-        start = m.start() if m else size
-        if start > at and not skip:
-            yield "", html.unescape(page[at:start]), inside > 0
-        if not m:
-            break
-        position = at = m.end()
-        name = (m[2] or "").lower()
+
+def _read(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[int, int]]]:
+    """Events, and the elements that are left out as (first event, event after it)."""
+    seen: list[tuple[str, str, bool]] = []
+    stack: list[_Element] = []
+    open_ = Counter()
+    out: list[tuple[int, int, bool, bool, int]] = []  # first event, event after it, by its tag alone, within a marked region, words
+    words = hidden = regions = inside = at = upto = 0  # hidden: open elements that go by their tag; upto: markup before it was read as raw text
+
+    def close() -> _Element:
+        nonlocal hidden, inside
+        e = stack.pop()
+        open_[e.name] -= 1
+        inside -= e.name in MARKED
+        never = e.name in NEVER or (e.name == "header" and not e.marked)
+        hidden -= never
+        if never or (e.may_go and regions == e.regions):
+            out.append((e.at, len(seen), never, e.marked, words - e.words))
+        return e
+
+    def text(a: int, b: int) -> None:
+        nonlocal words
+        if b > a:
+            t = html.unescape(page[a:b])
+            seen.append(("", t, inside > 0))
+            words += 0 if hidden else len(t.split())
+
+    for start, end, closing, name, attributes in tags(page):
+        if start < upto:
+            continue
+        text(at, start)
+        at = end
         if not name:
             continue
-        if m[1]:
-            if name in stack:
-                gone = ""
-                while gone != name:
-                    gone = stack.pop()
-                    inside -= gone in MARKED
-                itself = skip == len(stack) + 1
-                if skip > len(stack):
-                    skip = 0
-                if not skip and not itself:
-                    yield f"/{name}", "", inside > 0
+        if closing:
+            if open_[name]:
+                while close().name != name:
+                    pass
+                seen.append((f"/{name}", "", inside > 0))
             continue
-        if (name in _CLOSES_P and stack and stack[-1] == "p") or (name == "li" and stack and stack[-1] == "li"):
-            stack.pop()
-            if skip > len(stack):
-                skip = 0
-        if name in RAW and not m[3].endswith("/"):
-            end = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(page, position)
-            close = page.find(">", end.end()) if end else -1
-            position = at = close + 1 if close >= 0 else size
-            if not skip:
-                yield f"!{name}", "", inside > 0
+        if (name in _CLOSES_P and stack and stack[-1].name == "p") or (name == "li" and stack and stack[-1].name == "li"):
+            close()
+        alone = name in VOID or attributes.endswith("/")
+        if name in RAW and not alone:
+            at = upto = raw_end(page, name, end)[1]
+            seen.append((f"!{name}", "", inside > 0))
             continue
-        out = not skip and _left_out(name, m[3], inside > 0)
-        if name not in VOID and not m[3].endswith("/"):
-            stack.append(name)
+        seen.append((name, "", inside > 0))
+        if not alone:
+            never = name in NEVER or (name == "header" and not inside)
+            may_go = not never and name not in ("html", "body", "article", "main") and bool(attributes) and _may_go(attributes)
+            stack.append(_Element(name, len(seen) - 1, words, regions, may_go, inside > 0))
+            open_[name] += 1
+            regions += name in MARKED and not hidden
             inside += name in MARKED
-            if out:
-                skip = len(stack)
-        if not skip or out:
-            yield ("!" if out else "") + name, "", inside > 0
+            hidden += never
+    text(at, len(page))
+    while stack:
+        close()
+    return seen, sorted((a, b) for a, b, never, marked, own in out if never or (regions and not marked) or 2 * own < words)
+
+
+def events(page: str) -> Iterator[tuple[str, str, bool]]:
+    """(tag, text, marked): a tag's name (an end tag with a slash) with no text, or no tag with a decoded text; marked: within a marked region.
+
+    An element that is left out gives its name with a mark before it, and nothing else; it ends
+    with its end tag or with that of an element around it. By its attributes alone no element goes
+    that holds a marked region; nor, within one or on a page without any, one that holds half of
+    the page's words: such are wrappers, and the scores decide.
+    """
+    seen, gone = _read(page)
+    at = 0
+    for a, b in gone:
+        if a >= at:
+            yield from seen[at:a]
+            yield f"!{seen[a][0]}", "", seen[a][2]
+            at = b + 1 if b < len(seen) and seen[b][0] == f"/{seen[a][0]}" else b
+    yield from seen[at:]
 
 
 def tally(page: str) -> Counter:
     """(token, in, out) counts of a page with just one marked region, by token: "word", or a tag's name; else nothing."""
     found: Counter = Counter()
-    if len(re.findall(r"<(?:article|main)\b", page, re.I)) != 1:
+    if sum(name in MARKED and not closing for _, _, closing, name, _ in tags(page)) != 1:
         return found
     for tag, text, marked in events(page):
         if not tag:
@@ -172,8 +247,8 @@ def learn(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> dic
 def main_text(pages: DataFrame, html_col: str = "html", weight: dict[str, float] | None = None) -> DataFrame:
     """pages without their html, with text and n_chars (its code points) added; columns of these names are replaced.
 
-    Each page is read whole and for itself. A null or empty page, or one without words, gives an
-    empty text; an empty table no rows.
+    Each page is read whole and for itself, so that repeated rows and ids get equal texts. A null or
+    empty page, or one without words, gives an empty text; an empty table no rows.
     """
     small_batches(pages.sparkSession)
     weight = weight or learn(pages, html_col)
@@ -182,5 +257,4 @@ def main_text(pages: DataFrame, html_col: str = "html", weight: dict[str, float]
     def of(texts):
         return texts.map(lambda t: extract(t, weight)).astype(object)
 
-    keep = [F.col(c) for c in pages.columns if c.lower() not in ("text", "n_chars", html_col.lower())]
-    return pages.select(*keep, of(text_of(html_col)).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return pages.select(*columns(pages, "text", "n_chars", html_col.lower()), of(text_of(html_col)).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
