@@ -13,23 +13,25 @@ import base64
 import gzip
 import hashlib
 import html
-import io
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .html_extract import _TAG, INLINE, RAW
+from .html_extract import INLINE, RAW, raw_end, tags
 
 HEADERS = "array<struct<name:string,value:string>>"
 RECORD = f"warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, headers {HEADERS}, block binary, block_digest string, payload_digest string"
 ARROW = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary()), ("block_digest", pa.string()), ("payload_digest", pa.string())])
 CRAWL_DATE = "2024-01-01T00:00:00Z"
+_HREF = re.compile(r"(?<![^\s\"'])href\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What stands between the records of a file, up to the number of the version.
+BETWEEN = "\r\n\r\nWARC/1."
 _KNOWN = {"warc-type": "warc_type", "warc-record-id": "record_id", "warc-refers-to": "refers_to", "warc-target-uri": "target_uri", "warc-date": "date", "content-type": "content_type", "warc-block-digest": "block_digest", "warc-payload-digest": "payload_digest"}
 
 
@@ -51,26 +53,29 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, headers, block[m.end() :]
 
 
-def visible_text(page: str) -> str:
-    """All text a page shows, one line a block, of every region; scripts, styles and the title's markup left out."""
-    blocks, now, at, size = [], [], 0, len(page)
-    while at < size:
-        m = _TAG.search(page, at)
-        now.append(html.unescape(page[at : m.start() if m else size]))
-        if not m:
-            break
-        at, name = m.end(), (m[2] or "").lower()
-        if name in RAW and not m[1]:
-            end = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(page, at)
+def read_page(page: str) -> tuple[str, str | None, list[str]]:
+    """(text, title, links) of a page: all text it shows, one line a block, of every region, without scripts and styles; its first title; the links of its anchors."""
+    blocks, now, at, upto, title, links = [], [], 0, 0, None, []
+    for start, end, closing, name, attributes in tags(page):
+        if start < upto:
+            continue
+        now.append(html.unescape(page[at:start]))
+        at = end
+        if name in RAW and not closing:
+            stop, at = raw_end(page, name, end)
+            upto = at
             if name in ("title", "textarea"):
-                now.append(html.unescape(page[at : end.start() if end else size]))
-            close = page.find(">", end.end()) if end else -1
-            at = close + 1 if close >= 0 else size
+                now.append(html.unescape(page[end:stop]))
+            if name == "title" and title is None:
+                title = " ".join(now[-1].split())
+        if name == "a" and not closing and (m := _HREF.search(attributes)):
+            links.append(html.unescape(next(x for x in (*m.groups(), "") if x is not None)))
         if name and name not in INLINE:
             blocks.append("".join(now))
             now = []
+    now.append(html.unescape(page[at:]))
     blocks.append("".join(now))
-    return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
+    return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b), title, links
 
 
 def _page(payload: bytes, headers: list[tuple[str, str]]) -> str:
@@ -82,11 +87,9 @@ def _page(payload: bytes, headers: list[tuple[str, str]]) -> str:
         return payload.decode("utf-8", "replace")
 
 
-def envelope(record: dict, status: str, headers: list[tuple[str, str]], payload: bytes, page: str) -> dict:
-    title = re.search(r"<title[^>]*>(.*?)</title", page, re.I | re.S)
-    links = [html.unescape(a or b) for a, b in re.findall(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", page, re.I)]
-    meta = {"Response-Message": {"Status-Line": status}, "Headers": [list(h) for h in headers], "Entity-Length": len(payload), "Entity-Digest": digest(payload), "HTML-Metadata": {"Title": " ".join(html.unescape(title[1]).split()) if title else None, "Links": links}}
-    return {"Envelope": {"WARC-Header-Metadata": [[h["name"], h["value"]] for h in record["headers"]], "WARC-Record-ID": record["record_id"], "WARC-Block-Digest": record["block_digest"], "WARC-Payload-Digest": record["payload_digest"], "Payload-Metadata": {"HTTP-Response-Metadata": meta}}}
+def envelope(record: dict, status: str, headers: list[tuple[str, str]], payload: bytes, title: str | None, links: list[str]) -> dict:
+    meta = {"Response-Message": {"Status-Line": status}, "Headers": [list(h) for h in headers], "Entity-Length": len(payload), "Entity-Digest": digest(payload), "HTML-Metadata": {"Title": title, "Links": links}}
+    return {"Envelope": {"WARC-Header-Metadata": [[h["name"], h["value"]] for h in record["headers"] or []], "WARC-Record-ID": record["record_id"], "WARC-Block-Digest": record["block_digest"], "WARC-Payload-Digest": record["payload_digest"], "Payload-Metadata": {"HTTP-Response-Metadata": meta}}}
 
 
 def derive_one(record: dict) -> list[dict]:
@@ -95,8 +98,9 @@ def derive_one(record: dict) -> list[dict]:
         return []
     block, source = record["block"] or b"", record["record_id"] or ""
     status, headers, payload = http_parts(block)
-    page, out = _page(payload, headers), []
-    for kind, content, data in (("metadata", "application/json", json.dumps(envelope(record | {"headers": record["headers"] or []}, status, headers, payload, page), ensure_ascii=False).encode()), ("conversion", "text/plain", visible_text(page).encode())):
+    text, title, links = read_page(_page(payload, headers))
+    about, out = json.dumps(envelope(record, status, headers, payload, title, links), ensure_ascii=False), []
+    for kind, content, data in (("metadata", "application/json", about.encode()), ("conversion", "text/plain", text.encode())):
         new = {"warc_type": kind, "record_id": derived_id(source, kind), "refers_to": source, "target_uri": record["target_uri"], "date": record["date"], "content_type": content, "block": data, "block_digest": digest(data), "payload_digest": None}
         named = [("WARC-Type", kind), ("WARC-Record-ID", new["record_id"]), ("WARC-Refers-To", source), ("WARC-Target-URI", new["target_uri"]), ("WARC-Date", new["date"]), ("WARC-Block-Digest", new["block_digest"]), ("Content-Type", content), ("Content-Length", str(len(data)))]
         out.append(new | {"headers": [{"name": n, "value": v} for n, v in named if v]})
@@ -144,35 +148,68 @@ def to_bytes(record: dict, compress: bool = True) -> bytes:
     return gzip.compress(data, mtime=0) if compress else data
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """Records of a file's bytes, plain or in gzip members."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
+def parse_one(piece: bytes) -> tuple[dict | None, int]:
+    """The record at the start of bytes, after the number of its version, and how many bytes its block lacks; no record without headers.
+
+    A Content-Length that is missing or no number takes in all that is there.
+    """
+    end = re.compile(rb"\r?\n\r?\n").search(piece)
+    lines = piece[: end.start() if end else len(piece)].decode("utf-8", "replace").splitlines()[1:]
+    named = [{"name": n.strip(), "value": v.strip()} for n, s, v in (line.partition(":") for line in lines) if s]
+    if not named:
+        return None, 0
+    rest, size = piece[end.end() :] if end else b"", next((h["value"] for h in named if h["name"].lower() == "content-length"), "")
+    length = int(size) if size.isascii() and size.isdigit() else len(rest)
+    record = dict.fromkeys(ARROW.names) | {"headers": named, "block": rest[:length]}
+    return record | {_KNOWN[h["name"].lower()]: h["value"] for h in named if h["name"].lower() in _KNOWN}, max(0, length - len(rest))
+
+
+def records(pieces: Iterable[bytes]) -> Iterator[dict]:
+    """Records of a file's pieces between BETWEEN; a block that holds BETWEEN itself takes in as many pieces as it is long.
+
+    A block that ends early is as long as what is there; bytes without headers are no record.
+    """
+    held, lacks, first = [], 0, BETWEEN[4:].encode()
+    for piece in pieces:
+        if lacks > 0 and piece.startswith(first):  # of another file
+            yield parse_one(BETWEEN.encode().join(held))[0]
+            lacks = 0
+        if lacks > 0:
+            held.append(piece)
+            lacks -= len(BETWEEN) + len(piece)
+            if lacks > 0:
+                continue
+            yield parse_one(BETWEEN.encode().join(held))[0]
             continue
-        named, length = [], 0
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            named.append({"name": name.strip(), "value": value.strip()})
-            if name.strip().lower() == "content-length":
-                length = int(value)
-        record = dict.fromkeys(ARROW.names) | {"headers": named, "block": stream.read(length)}
-        yield record | {_KNOWN[h["name"].lower()]: h["value"] for h in named if h["name"].lower() in _KNOWN}
+        piece = piece.removeprefix(first)
+        record, lacks = parse_one(piece)
+        if lacks:
+            held = [piece]
+        elif record:
+            yield record
+    if lacks > 0:
+        yield parse_one(BETWEEN.encode().join(held))[0]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under a path, a file a task's step; files are read by Spark, wherever they lie."""
+    """Records of the WARC files under a path, plain or in gzip members, in the columns of RECORD.
+
+    Spark reads and splits files at the records, wherever they lie; a task holds a batch of records, never a
+    file. Compressed files are read by one task each, plain ones split. Bad lengths and records
+    that end early have the rest as their block, as in records(); a gzip file that is cut short
+    fails, unless spark.sql.files.ignoreCorruptFiles is set. A plain file's block that itself holds
+    BETWEEN where the file is split ends there.
+    """
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0):
-                some: list[dict] = []
-                for record in parse(data.as_py()):
-                    some.append(record)
-                    if len(some) == 64:
-                        yield pa.RecordBatch.from_pylist(some, ARROW)
-                        some = []
+        some: list[dict] = []
+        for record in records(p.as_py() for b in batches for p in b.column(0)):
+            some.append(record)
+            if len(some) == 64:
                 yield pa.RecordBatch.from_pylist(some, ARROW)
+                some = []
+        yield pa.RecordBatch.from_pylist(some, ARROW)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    pieces = spark.read.option("lineSep", BETWEEN).text(path)
+    return pieces.select(F.col("value").cast("binary")).mapInArrow(run, RECORD)
