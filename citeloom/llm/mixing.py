@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, global_rank, text_of, written
+from .common import BROADCAST_ROWS, Written, columns, fresh, global_rank, text_of, written
 
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
 ROUNDS, BITS = 4, 12  # rounds, and bits of a round's hash
@@ -75,16 +75,19 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float =
     """
     per = levels(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    per = written(per.withColumn("whole", whole).withColumn("room0", F.col("target") - F.col("whole") * F.col("source_size")), "plan")
+    last = Written(per.withColumn("whole", whole).withColumn("room0", F.col("target") - F.col("whole") * F.col("source_size")), "plan")
+    per = last.df
     few = per.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     for k in range(ROUNDS):
-        now = _with_sources(rows, per.drop("source_size", "target", "whole"), few)
-        left = now.where((F.col("size") <= F.col(f"room{k}")) & (F.col("size") > 0) & ~_taken(k, F.col("size"), lambda j: F.col(f"draw{j}"), lambda j: F.col(f"cut{j}"), lambda j: F.col(f"room{j}")))
+        open_ = _with_sources(rows, per.drop("source_size", "target", "whole"), few)
+        left = open_.where((F.col("size") <= F.col(f"room{k}")) & (F.col("size") > 0) & ~_taken(k, F.col("size"), lambda j: F.col(f"draw{j}"), lambda j: F.col(f"cut{j}"), lambda j: F.col(f"room{j}")))
         held = left.groupBy("source", f"draw{k}").agg(F.sum("size").alias("held"), F.first(f"room{k}").alias("room"))
         upto = W.partitionBy("source").orderBy(f"draw{k}").rowsBetween(W.unboundedPreceding, 0)  # 2**BITS rows a source at most
         fits = held.withColumn("sum", F.sum("held").over(upto)).where("sum <= room").groupBy(F.col("source").alias("__of")).agg((F.max(f"draw{k}") + 1).alias("cut"), F.max("sum").alias("sum"))
         new = per.join(F.broadcast(fits) if few else fits, F.col("source").eqNullSafe(F.col("__of")), "left")
-        per = written(new.select(*per.columns, F.coalesce("cut", F.lit(0)).alias(f"cut{k}"), (F.col(f"room{k}") - F.coalesce("sum", F.lit(0))).alias(f"room{k + 1}")), "plan")
+        now = Written(new.select(*per.columns, F.coalesce("cut", F.lit(0)).alias(f"cut{k}"), (F.col(f"room{k}") - F.coalesce("sum", F.lit(0))).alias(f"room{k + 1}")), "plan")
+        last.drop()
+        last, per = now, now.df
     return per, few
 
 
@@ -101,7 +104,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     of, few = plan(rows, weights, epochs)
     made, mine, its = ["size", "source_size", "target", "times"], fresh(docs, "doc"), fresh(docs, "plan")
     if carry:
-        keep = [F.col(c) for c in docs.columns if c.lower() not in made]
+        keep = columns(docs, *made)
         df = docs.select("*", F.struct(source.alias("source"), size.alias("size"), *draws).alias(mine))
     else:
         keep = [F.col("doc_id")]
@@ -113,7 +116,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return df.select(*keep, d("size").alias("size"), o("source_size").alias("source_size"), o("target").alias("target"), (o("whole") + more.cast("long")).alias("times"))
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: each row as many times as the mix takes it, with the input's columns."""
-    mixed = mix(docs, **options)
-    return mixed.where("times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(docs.columns)
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus itself: each row as many times as the mix takes it, with all of the input's columns and values, whatever their names."""
+    row = F.struct(*columns(docs)).alias("row")
+    mixed = mix(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), row), **options)
+    return mixed.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
