@@ -11,18 +11,20 @@ next round, and in the end become spans too.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, small_batches, text_of, written
+from .common import BROADCAST_ROWS, Written, columns, fresh, small_batches, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern speaks for a kind from so many different seeds on; scores take part from ACCEPT on.
 MIN_SEEDS, ACCEPT, ROUNDS = 5, 0.75, 3
-CONTEXT = 64  # characters in which the neighbouring words are looked for
+LONG = 64  # longer words and values are compared by a hash of the whole
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -90,30 +92,24 @@ def shapes(token: str) -> list[str]:
     return fits
 
 
-def _context(text: str, start: int, end: int) -> list[str]:
-    """Patterns of a slot: the word before, the two before, and the one before with the one after."""
-    left = [w.lower().strip(_TRIM)[:32] for w in _WORD.findall(text[max(0, start - CONTEXT) : start])][-2:]
-    right = [w.lower().strip(_TRIM)[:32] for w in _WORD.findall(text[end : end + CONTEXT])][:1]
-    l2, l1 = (["", ""] + left)[-2:]
-    return [f"{l1} _", f"{l2} {l1} _", f"{l1} _ {right[0] if right else ''}"]
+def _short(word: str) -> str:
+    return word if len(word) <= LONG else f"#{xxhash.xxh64_hexdigest(word.encode())}"
 
 
-def instances(text: str | None, base: list[tuple[str, int, int]]) -> Iterator[tuple[str | None, list[str], int, int, str, list[str]]]:
-    """(seed kind or null, kinds it could be, start, end, value, patterns) of each seed and other token with a digit or @."""
-    text, taken = text or "", sorted((a, b) for _, a, b in base)
-    for kind, a, b in base:
-        yield kind, [kind], a, b, text[a:b].lower(), _context(text, a, b)
+def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Tokens with a digit or @, and numbers written with spaces, outside the sorted spans taken."""
     covered, at, upto = iter([*taken, (len(text) + 1,) * 2]), 0, 0
     block = next(covered)
     while m := _MARK.search(text, at):
         p = m.start()
         while block[1] <= p:
+            upto = max(upto, block[1])
             block = next(covered)
         if block[0] <= p:
             at = upto = block[1]
             continue
         a = b = p
-        while a > upto and not text[a - 1].isspace() and p - a < CONTEXT:
+        while a > upto and not text[a - 1].isspace():
             a -= 1
         if run := _NUMBER.match(text, p - 1 if p > upto and text[p - 1] in "+(" else p):
             b = max(b, run.end())
@@ -124,8 +120,41 @@ def instances(text: str | None, base: list[tuple[str, int, int]]) -> Iterator[tu
             a += 1
         while b > a and text[b - 1] in _TRIM:
             b -= 1
-        if a < b and b - a <= 2 * CONTEXT:
-            yield None, shapes(text[a:b]), a, b, text[a:b].lower(), _context(text, a, b)
+        if a < b:
+            yield a, b
+
+
+def instances(text: str | None, base: list[tuple[str, int, int]]) -> Iterator[tuple[str | None, list[str], int, int, str, list[str]]]:
+    """(seed kind or null, kinds it could be, start, end, value, patterns) of each seed and other token with a digit or @.
+
+    Patterns are the word before, the two before, and the one before with the one after. Words
+    end at white space and at other instances, so that a text is gone through in proportion to its length.
+    """
+    text = text or ""
+    spots = [(kind, a, b) for kind, a, b in base] + [(None, a, b) for a, b in _candidates(text, sorted((a, b) for _, a, b in base))]
+    if not spots:
+        return
+    cuts = sorted({x for _, a, b in spots for x in (a, b)})
+    words: list[tuple[int, int]] = []
+    k = 0
+    for m in _WORD.finditer(text):
+        a = m.start()
+        while k < len(cuts) and cuts[k] <= a:
+            k += 1
+        while k < len(cuts) and cuts[k] < m.end():
+            words.append((a, cuts[k]))
+            a, k = cuts[k], k + 1
+        words.append((a, m.end()))
+    starts = [a for a, _ in words]
+
+    def word(i: int) -> str:
+        return _short(text[slice(*words[i])].lower().strip(_TRIM)) if 0 <= i < len(words) else ""
+
+    for kind, a, b in spots:
+        before, after = bisect_left(starts, a) - 1, bisect_left(starts, b)
+        l1 = word(before)
+        patterns = [f"{l1} _", f"{word(before - 1)} {l1} _", f"{l1} _ {word(after)}"]
+        yield kind, [kind] if kind else shapes(text[a:b]), a, b, _short(text[a:b].lower()), patterns
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,20 +180,26 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEED
     Patterns and instances are distinct values, so that repeated rows and hot values count once.
     """
     spots = written(scanned.select("doc_id", "h", F.explode("found").alias("x")).select("doc_id", "h", "x.*"), "spots")
-    edges = written(spots.select("value", "seed", "fits", F.explode("patterns").alias("pattern")).distinct(), "graph")
-    size = written(edges.groupBy("pattern").agg(F.count_distinct("value").alias("n")), "sizes")
+    graph = Written(spots.select("value", "seed", "fits", F.explode("patterns").alias("pattern")).distinct(), "graph")
+    edges = graph.df
+    sizes = Written(edges.groupBy("pattern").agg(F.count_distinct("value").alias("n")), "sizes")
     seeds = edges.where("seed IS NOT NULL").select("pattern", F.col("seed").alias("kind"), "value").distinct()
-    seeds = written(seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")), "patterns")
-    unseen = written(edges.where("seed IS NULL").select("pattern", "value", F.explode("fits").alias("kind")).distinct(), "unseen")
-    scores = unseen.select("value", "kind", F.lit(0.0).alias("score")).limit(0)
+    seeded = Written(seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")), "patterns")
+    unseen = Written(edges.where("seed IS NULL").select("pattern", "value", F.explode("fits").alias("kind")).distinct(), "unseen")
+    last, scores = None, unseen.df.select("value", "kind", F.lit(0.0).alias("score")).limit(0)
     for _ in range(rounds):
         # accepted instances are seeds of the next round, others count by their score
         taken = F.count_if(F.col("score") >= accept)
-        believed = unseen.join(scores, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.when(F.col("score") >= accept, 1.0).otherwise(F.col("score"))).alias("more"), taken.alias("taken"))
-        known = seeds.join(believed, ["pattern", "kind"], "full").na.fill(0, ["seeds", "more", "taken"]).where(F.col("seeds") + F.col("taken") >= min_seeds)
-        confidence = known.join(size, "pattern").select("pattern", "kind", ((F.col("seeds") + F.col("more")) / (F.col("n") + 1)).alias("confidence"))
+        believed = unseen.df.join(scores, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.when(F.col("score") >= accept, 1.0).otherwise(F.col("score"))).alias("more"), taken.alias("taken"))
+        known = seeded.df.join(believed, ["pattern", "kind"], "full").na.fill(0, ["seeds", "more", "taken"]).where(F.col("seeds") + F.col("taken") >= min_seeds)
+        confidence = known.join(sizes.df, "pattern").select("pattern", "kind", ((F.col("seeds") + F.col("more")) / (F.col("n") + 1)).alias("confidence"))
         # an instance's best pattern decides; those that cannot speak for a kind say nothing
-        scores = written(unseen.join(confidence, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("confidence").alias("score")), "scores")
+        now = Written(unseen.df.join(confidence, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("confidence").alias("score")), "scores")
+        if last:
+            last.drop()
+        last, scores = now, now.df
+    for used in (graph, sizes, seeded, unseen):
+        used.drop()
     best = scores.where(F.col("score") >= accept).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     return spots.where("seed IS NULL").join(best, "value").select("doc_id", "h", "kind", "start", "stop").distinct()
 
@@ -194,7 +229,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     i, h, extra = (fresh(docs, x) for x in ("id", "h", "extra"))
     more = written(more.groupBy(F.col("doc_id").alias(i), F.col("h").alias(h)).agg(F.array_join(F.collect_set(F.concat_ws(":", "kind", "start", "stop")), ",").alias(extra)), "more")
     few = more.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(more) if few else more, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_of(text_col)) == F.col(h)), "left").select(*docs.columns, extra)
+    joined = docs.join(F.broadcast(more) if few else more, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_of(text_col)) == F.col(h)), "left").select(*columns(docs), extra)
 
     @F.pandas_udf("string")
     def replaced(texts, extras):
