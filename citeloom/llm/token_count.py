@@ -19,70 +19,82 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_of
 
-SPACE, UNKNOWN_PENALTY, WORDS = "▁", 10.0, 400_000
+SPACE, UNKNOWN_PENALTY = "▁", 10.0
+#: Words a Python worker remembers, and how long they may be.
+WORDS, LONGEST = 400_000, 32
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a model file, in the order of their ids."""
+    """Pieces and scores of a model file, in the order of their ids; control, unknown, unused and byte pieces never match text and are left out."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    other = (model.is_control, model.is_unknown, model.is_unused, model.is_byte)
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not any(is_(i) for is_ in other)]
 
 
 class Counter:
     """Counts pieces of normalised text: a space mark before the text, and one for each space.
 
-    If no piece has a mark after another character, and as no piece holds a line end, every best
-    path passes each point before a mark and around a line end; so words are counted once
-    each and remembered. Scores must be whole numbers, so that sums are exact in any order.
+    If no piece has a mark after another character, or a line end, every best path passes each
+    point before a mark and around a line end, so texts are cut there. Sums of whole numbers
+    are exact in any order: then a word's count does not depend on what is before it, and words
+    of up to LONGEST characters are remembered. Sums of fractions are carried from word to word, so that
+    they round as over the whole text. Where pieces cross those points, a text is one stretch.
     """
 
-    def __init__(self, pieces: Sequence[tuple[str, float]]):
+    def __init__(self, pieces: Sequence[tuple[str, float]], fallback: bool = True):
+        """fallback: unknown characters count as their bytes; else each run of them counts once."""
         import ahocorasick
 
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p, _ in pieces):
-            raise ValueError("a piece crosses the points at which texts are cut")
-        if any(s != int(s) for _, s in pieces):
-            raise ValueError("scores must be whole numbers")
-        self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        self.whole = all(s == int(s) for _, s in pieces)
+        self.unknown, self.fallback = min(s for _, s in pieces) - UNKNOWN_PENALTY, fallback
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), float(score)))
         self.automaton.make_automaton()
         self.known: dict[str, int] = {}
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
+        cut = "[\\s\\S]+" if any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p, _ in pieces) else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
+        self.cut = re.compile(cut).findall
 
-    def best(self, text: str) -> int:
-        """Number of pieces of one stretch of normalised text."""
+    def best(self, text: str, before: float = 0.0, unknown: bool = False) -> tuple[int, float, bool]:
+        """Number of pieces of one stretch of normalised text, and the score and whether the last piece is unknown, from those before it on."""
         n = len(text)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for last, (length, score) in self.automaton.iter(text):
             ends[last + 1].append((length, score))
-        scores, counts = [0.0] * (n + 1), [0] * (n + 1)
+        scores, counts, unknowns = [before] * (n + 1), [0] * (n + 1), [unknown] * (n + 1)
         for end in range(1, n + 1):
             at, single = None, False
             for length, score in sorted(ends[end], reverse=True):  # longest first: starts ascend
                 total = scores[end - length] + score
                 if at is None or total > scores[end]:
-                    at, scores[end], counts[end] = length, total, counts[end - length] + 1
+                    at, scores[end], counts[end], unknowns[end] = length, total, counts[end - length] + 1, False
                 single |= length == 1
             if not single:
                 total = scores[end - 1] + self.unknown
                 if at is None or total > scores[end]:
-                    scores[end], counts[end] = total, counts[end - 1] + len(text[end - 1].encode())
-        return counts[n]
+                    new = len(text[end - 1].encode()) if self.fallback else 1 - unknowns[end - 1]
+                    scores[end], counts[end], unknowns[end] = total, counts[end - 1] + new, True
+        return counts[n], scores[n], unknowns[n]
 
     def count(self, text: str) -> int:
         if not text:
             return 0
         words, known = self.cut(SPACE + text.replace(" ", SPACE)), self.known
+        if not (self.whole and self.fallback):
+            total, score, unknown = 0, 0.0, False
+            for word in words:
+                n, score, unknown = self.best(word, score, unknown)
+                total += n
+            return total
         missing = set(words).difference(known)
         if len(known) > WORDS and missing:
             known.clear()
             missing = set(words)
-        known.update((w, self.best(w)) for w in missing)
-        return sum(map(known.__getitem__, words))
+        new = {w: self.best(w)[0] for w in missing}
+        known.update((w, n) for w, n in new.items() if len(w) <= LONGEST)
+        return sum(known[w] if w in known else new[w] for w in words)
 
 
 @cache
