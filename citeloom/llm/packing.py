@@ -28,8 +28,8 @@ from .common import small_batches, text_of
 CAPACITY, END_ID = 4096, 2
 #: Ids a pool may hold before it is packed, and down to which it is then packed.
 POOL_HIGH, POOL_LOW = 1 << 20, 1 << 18
-#: Words, and pieces of words, whose ids a Python worker remembers; at the limit it forgets all.
-WORDS = 700_000
+#: Words, and pieces of words, whose ids a Python worker remembers, and how many bytes they may have; at the limit it forgets all.
+WORDS, LONGEST = 700_000, 48
 
 
 # The tokenizer's own rule for cutting text, and characters for which lower() and \\p{L} mean the same everywhere.
@@ -92,10 +92,10 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     tokenizer, words_known, pieces_known = Tokenizer.from_file(path), {}, {}
     cut, plain, of_piece = regex.compile(PIECES).findall, PLAIN.fullmatch, piece_encoder(path)
 
-    def learn(words: Iterable[bytes]) -> None:
+    def learn(words: Iterable[bytes]) -> dict[bytes, bytes]:
         if len(pieces_known) > WORDS:
             pieces_known.clear()
-        other = []
+        other, found = [], {}
         for w in words:
             s = w.decode()
             if not plain(s) or "<|" in s:
@@ -108,14 +108,18 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
                 pieces = s[:-1], s[-1]
             else:
                 pieces = cut(s)
-            ids = b""
+            ids = []
             for p in pieces:
                 if (known := pieces_known.get(p)) is None:
-                    known = pieces_known[p] = of_piece(p)
-                ids = ids + known if ids else known
-            words_known[w] = ids
-        found = tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False) if other else []
-        words_known.update((w, _bytes(e.ids)) for w, e in zip(other, found))
+                    known = of_piece(p)
+                    if len(p) <= LONGEST:
+                        pieces_known[p] = known
+                ids.append(known)
+            found[w] = b"".join(ids)
+        encoded = tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False) if other else []
+        found.update((w, _bytes(e.ids)) for w, e in zip(other, encoded))
+        words_known.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST)
+        return found
 
     def encode(text: str) -> bytes:
         words = text.encode().split()
@@ -123,7 +127,8 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
             if len(words_known) > WORDS:
                 words_known.clear()
                 missing = set(words)
-            learn(missing)
+            new = learn(missing)
+            return b"".join([words_known.get(w) or new[w] for w in words])
         return b"".join(map(words_known.__getitem__, words))
 
     return encode
