@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, connected_components, fresh, small_batches, text_of, written
+from .common import columns, connected_components, fresh, small_batches, text_of, written
 
 SHINGLE, SEED, MAX_BITS, BLOCKS, HOT_BLOCK = 3, 42, 2, 5, 64
 CHUNK = 1 << 15
@@ -102,7 +102,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     Repeated rows stay. An empty table gives no rows.
     """
     docs_fp = written(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = Written(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct").df
+    distinct = written(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     label = connected_components(links(distinct, hot_block))
     named = written(distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label")), "labels")
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -138,5 +138,5 @@ def keep_one(docs: DataFrame, found: DataFrame, key: Callable[[str | None], int]
     single = kept.join(again, F.col(id_col).eqNullSafe(F.col(i)), "left_anti")
     several = kept.join(again, F.col(id_col).eqNullSafe(F.col(i)), "left_semi").withColumn(f, fp(text_of(text_col)))
     several = several.join(keep, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(f) == F.col(f + "k")), "left_semi")
-    several = several.groupBy(id_col, f).agg(F.min_by(F.struct(*docs.columns), text_of(text_col)).alias("row")).select("row.*")
+    several = several.groupBy(id_col, f).agg(F.min_by(F.struct(*columns(docs)), text_of(text_col)).alias("row")).select("row.*")
     return single.unionByName(several)
