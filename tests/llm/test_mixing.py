@@ -54,6 +54,9 @@ def test_reruns_agree_and_columns_stay(docs):
     out = mixing.repeated(docs)
     assert out.columns == docs.columns
     assert out.count() == sum(t for _, t in first)
+    assert set(out.collect()) <= set(docs.collect())  # target and size are the input's own, not the mix's
+    odd = docs.withColumnsRenamed({"target": "__copy", "size": "a.b"})
+    assert set(mixing.repeated(odd).collect()) <= set(odd.collect())
 
 
 def test_empty_and_wordless(spark):

@@ -83,3 +83,59 @@ def test_redact_keeps_columns_and_nulls(spark):
     assert out.columns == ["doc_id", "text", "__id", "more"]
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "mail [EMAIL], ip [IP]", 5, "m"), (2, None, 6, None), (2, None, 6, None), (3, "", 7, "z")], key=str)
     assert pii.spans(_docs(spark, [])).count() == 0 == pii.redact(_docs(spark, [])).count()
+
+
+def plain_discovery(rows, rounds=3, min_seeds=5, accept=0.75):
+    """The same rounds over dictionaries: (row, kind, start, end) of instances that are accepted."""
+    edges, spots = set(), []
+    for n, text in enumerate(rows):
+        for kind, fits, a, b, value, patterns in pii.instances(text, pii.base_spans(text)):
+            spots.append((n, kind, a, b, value))
+            edges |= {(p, value, kind, tuple(fits)) for p in patterns}
+    size, seeds, unseen = {}, {}, set()
+    for p, value, kind, fits in edges:
+        size.setdefault(p, set()).add(value)
+        if kind:
+            seeds.setdefault((p, kind), set()).add(value)
+        else:
+            unseen |= {(p, value, k) for k in fits}
+    scores = {}
+    for _ in range(rounds):
+        confidence = {}
+        for key in {(p, k) for p, _, k in unseen}:
+            of = [scores[v, k] for p, v, k in unseen if (p, k) == key and (v, k) in scores]
+            known = len(seeds.get(key, ()))
+            if known + sum(s >= accept for s in of) >= min_seeds:
+                confidence[key] = (known + sum(1.0 if s >= accept else s for s in of)) / (len(size[key[0]]) + 1)
+        scores = {}
+        for p, v, k in unseen:
+            if (p, k) in confidence:
+                scores[v, k] = max(scores.get((v, k), 0.0), confidence[p, k])
+    best = {}
+    for (v, k), s in scores.items():
+        if s >= accept:
+            best[v] = max(best.get(v, (0.0, "")), (s, k))
+    return {(n, best[v][1], a, b) for n, kind, a, b, v in spots if not kind and v in best}
+
+
+def test_discovery_equals_plain_rounds(spark):
+    draw = random.Random(2)
+    cue = {"phone": ("call", "hotline"), "card": ("card", "number"), "ip": ("host", "at"), "email": ("write", "to")}
+    good = {"phone": lambda: f"+49 30 {draw.randrange(10**6, 10**7)}", "card": lambda: "4111 1111 1111 1111", "ip": lambda: f"10.0.{draw.randrange(256)}.7", "email": lambda: f"u{draw.randrange(999)}@x.org"}
+    odd = {"phone": lambda: f"030-{draw.randrange(10**6, 10**7)}", "card": lambda: f"4111-1111-1111-{draw.randrange(1000, 9999)}", "ip": lambda: f"10.0.{draw.randrange(256, 999)}.7", "email": lambda: f"u{draw.randrange(999)}@host"}
+    rows = []
+    for _ in range(150):
+        kind = draw.choice(list(cue))
+        rows.append(" ".join([draw.choice(["so", "then", "w" * 90 + "1"]), *cue[kind], draw.choice([good, good, odd])[kind](), draw.choice(["now", "today", ""]), draw.choice(["", str(draw.randrange(9999))])]))
+    docs = _docs(spark, [(i, t, 1, None) for i, t in enumerate(rows)])
+    got = {(r.doc_id, r.kind, r.start, r.stop) for r in pii.discover(pii.scan(docs)).collect()}
+    assert got == plain_discovery(rows) and len({k for _, k, _, _ in got}) >= 3
+
+
+def test_long_identifiers_and_words_are_whole():
+    name = "x1" * 400
+    text = f"{'y' * 900}a {name}@host rest"
+    (seed, fits, a, b, value, patterns), = pii.instances(text, [])
+    assert text[a:b] == f"{name}@host" and fits == ["email"] and value[0] == "#"
+    other = list(pii.instances(text.replace("ya ", "yb "), []))[0]
+    assert other[4] == value and other[5] != patterns  # the words differ in their last letter only
