@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_extract, mixing, packing, pii, quality, simhash_dedup, token_count, url_filter, warc
-
+from citeloom.sources.tables import table
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import fingerprint, html_extract, mixing, packing, pii, quality, simhash_dedup, token_count, url_filter, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -21,48 +19,48 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.classes(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, scored=url_filter.scores(pages)).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=False)
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=False)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.compare(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fingerprint.compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    derived = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    derived = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
     return derived.select("warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", F.length("block").cast("long").alias("content_length"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return html_extract.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

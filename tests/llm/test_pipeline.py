@@ -5,14 +5,15 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from citeloom.llm import pii, quality
 from citeloom.llm.queries import tokenizer_path
 
 from .test_mixing import fill
+from .test_near_copies import brute as brute_classes
 from .test_pii import brute as brute_spans
-from .test_simhash import brute_components, brute_fingerprint
 
 DATA = "/root/testdata/sf0.001"
 
@@ -45,10 +46,10 @@ def test_quality_stage(spark, steps):
 
 
 def test_duplicates_stage(steps):
+    """Held to five words and a similarity of 0.8: op1's two bits are the contract of its query alone."""
     before, after = steps[0][1:3]
-    rows = sorted(before, key=lambda r: r.doc_id)
-    want = {rows[c].doc_id for c in brute_components([brute_fingerprint(r.text) for r in rows])}
-    assert {r.doc_id for r in after} == want and len(after) == len(want)
+    label = brute_classes([(r.doc_id, r.text) for r in before])
+    assert {r.doc_id for r in after} == set(label.values()) and len(after) == len(set(label.values()))
     assert {tuple(r) for r in after} <= {tuple(r) for r in before}
 
 
@@ -107,7 +108,35 @@ def test_packing_stage(steps):
 
 def test_empty_and_odd_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "word " * 30, None, None, None)], docs.schema)
-    for start in (docs.limit(0), odd):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, start, DATA).count() >= 0
+    good = "plain words that follow one another in a text of some length, none of them twice"
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "word " * 30, None, None, None), (3, good, "en", "s", 9), (3, good, "en", "s", 9), (None, good + " or other", None, None, None)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), DATA).collect() == []
+    assert all(r.text and r.text.startswith("plain") for r in stages["quality"](spark, odd, DATA).collect())
+    kept = stages["near_duplicates"](spark, odd, DATA).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, "", "en", "s", 0), rows[3], rows[4]], key=str)
+    hidden = stages["personal_data"](spark, odd, DATA).collect()
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in hidden) == Counter((i, t, len(t or "")) for i, t, *_ in rows)
+    assert set(stages["mixing"](spark, odd, DATA).collect()) <= set(odd.collect())
+    packed = stages["packing"](spark, odd, DATA).collect()
+    assert sum(p.doc_tokens == 1 for p in packed) == 3 and sum(p.start == 0 for p in packed) == len(rows)
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    names = ["n_words", "llr", "kept", "size", "target", "times", "__copy", "h", "extra", "fp", "row", "a.b"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, DATA)
+        assert out.columns == wide.columns, name
+        got = out.collect()
+        assert got and all(r[n] == f"{n}:{r.doc_id}" for r in got for n in names), name
+
+
+def test_run_gives_what_the_stages_give(spark, steps):
+    out = corpus_pipeline.run(spark, DATA).collect()
+    of = lambda rows: Counter((r.doc_id, r.doc_tokens) for r in rows if r.start == 0)
+    assert of(out) == of(steps[0][-1])
+    assert sum(r.length for r in out) == sum(r.length for r in steps[0][-1])
