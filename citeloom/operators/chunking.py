@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -63,26 +66,25 @@ def sections(pages: DataFrame) -> DataFrame:
     return text.select(*group, "section", "section_path", F.coalesce("opened", F.lit(1)).alias("page"), (F.row_number().over(again) - 1).alias("occurrence"), "body")
 
 
-def parts_of(text: str, max_chars: int, overlap: int) -> list[str]:
-    """A text in parts of at most max_chars: cut after a paragraph, else after a sentence past the middle, else anywhere.
+def ends_of(text: str, mark: str) -> list[int]:
+    """Where a mark ends, in order, marks that overlap included."""
+    return [m.start() + len(mark) for m in re.finditer(f"(?={re.escape(mark)})", text)]
+
+
+def parts_of(text: str, most: int, overlap: int) -> list[str]:
+    """A text in parts of at most `most` characters: cut after a paragraph, else after a sentence past the middle, else anywhere.
 
     Each part but the first begins `overlap` characters, at most half a part, before the end of the last.
     """
-    if len(text) <= max_chars:
-        return [text]
-    back, middle, parts, at = max(0, min(overlap, max_chars // 2)), max(1, max_chars // 2), [], 0
-    while True:
-        stop = at + max_chars
-        if stop >= len(text):
-            return [*parts, text[at:]]
-        for mark, least in (("\n\n", 1), (". ", middle)):
-            if (found := text.rfind(mark, at, stop)) - at >= least:
-                stop = found + len(mark)
-                break
-        parts.append(text[at:stop])
-        if stop >= len(text):
-            return parts
-        at = max(at + 1, stop - back)
+    half, begin, spans = most // 2, 0, []
+    # (ends in order, the least length of a part that ends at one)
+    cuts = [(ends_of(text, "\n\n"), 3), (ends_of(text, ". "), max(1, half) + 2)] if len(text) > most else []
+    while len(text) - begin > most:
+        last = [(ends[bisect_right(ends, begin + most) - 1], least) for ends, least in cuts if ends]
+        end = next((e for e, least in last if begin + least <= e <= begin + most), begin + most)
+        spans.append((begin, end))
+        begin = max(begin + 1, end - min(max(overlap, 0), half))
+    return [text[i:j] for i, j in [*spans, (begin, len(text))]]
 
 
 def chunks(pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:

@@ -61,8 +61,8 @@ def test_parts():
     assert whole == text and chunking.parts_of("a" * 30, 10, 99) and chunking.parts_of("x", 500, 100) == ["x"]
 
 
-HIGH = "Components must document the cybersecurity strategy in the engineering plan."
-ORG = "The Program Manager must document the cybersecurity strategy in the program plan."
+HIGH = "Every port office must keep a register of moored barges in the harbour ledger."
+ORG = "The quay master must keep a register of moored barges in the dock ledger."
 
 
 def clauses(spark, rows):
