@@ -105,7 +105,7 @@ class Service:
         return rebuild.decide(self.db, source, target, verdict, actor, rationale)
 
     def triage(self, to_version_id: str, from_version_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """Ranked clauses of ours, and the counts of changes; by default against the edition before. Nothing is written."""
+        """Ranked clauses of ours, and the counts of changes; by default against the edition before. The changes are stored."""
         t = self.db.tables()
         found = t["document_version"].where(F.col("version_id") == to_version_id).first()
         if found is None:
@@ -117,7 +117,7 @@ class Service:
             from_version_id = before
         elif t["document_version"].where(F.col("version_id") == from_version_id).isEmpty():
             raise graph.NotFoundError(from_version_id)
-        changed = changes.diff(t["obligation"], from_version_id, to_version_id)
+        changed = rebuild.keep_changes(self.db, changes.diff(t["obligation"], from_version_id, to_version_id), from_version_id, to_version_id)
         rows = changes.triage(changed, t["implements"], t["obligation"], t["anchored_in"], t["chunk"], t["document_version"], t["document"])
         return rows, changes.unlinked(changed, t["implements"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import change_id, content_key
+from ..functions.text import change_id, content_key, path_text
 from ..schema import conform
 from .obligations import primary_anchor
 
@@ -28,25 +28,24 @@ def diff(obligations: DataFrame, before: str, after: str) -> DataFrame:
     clause on each side gives one MODIFIED; other sections give REMOVED and ADDED, with a
     summary that says so if there is more than one clause. REMOVED touches the old obligation,
     the others the new.
+
+    One aggregate by content tells what is on one side alone; a small one by section, joined back,
+    tells what stands beside it.
     """
-    old, new = obligations.where(F.col("version_id") == before), obligations.where(F.col("version_id") == after)
-    key = content_key(F.col("section_path"), F.col("statement"))
-    old, new = (df.withColumn("key", key).dropDuplicates(["key"]) for df in (old, new))
-    gone, come = old.join(new, "key", "left_anti"), new.join(old, "key", "left_anti")
-    count = lambda df, n: df.groupBy("section_path").agg(F.count("*").alias(n))
-    crowd = count(gone, "n_old").join(count(come, "n_new"), "section_path", "full_outer").na.fill(0, ["n_old", "n_new"])
-    single = (F.col("n_old") == 1) & (F.col("n_new") == 1)
-    gone, come = gone.join(crowd, "section_path"), come.join(crowd, "section_path")
-    columns = ["obligation_id", "kind", "section_path", "statement", "previous_statement", "modality", "summary"]
-    earlier = gone.where(single).select("section_path", F.col("statement").alias("previous_statement"))
-    changed = come.where(single).join(earlier, "section_path").withColumns({"kind": F.lit("MODIFIED"), "summary": F.lit("The clause was reworded.")})
-    summary = lambda text: F.when(F.col("n_old") + F.col("n_new") > 1, f"{text} more than one obligation changed in this section, so no pair was made.").otherwise(text)
-    none = F.lit(None).cast("string")
-    added = come.where(~single).withColumns({"kind": F.lit("ADDED"), "previous_statement": none, "summary": summary("A clause was added.")})
-    removed = gone.where(~single).withColumns({"kind": F.lit("REMOVED"), "previous_statement": none, "summary": summary("A clause was removed.")})
-    every = changed.select(columns).unionByName(added.select(columns)).unionByName(removed.select(columns))
+    sides = obligations.where(F.col("version_id").isin(before, after)).withColumn("is_new", F.col("version_id") == after)
+    clause = F.struct("obligation_id", "section_path", "statement", "modality")
+    keyed = sides.groupBy(content_key(F.col("section_path"), F.col("statement")).alias("key")).agg(F.min(clause).alias("c"), F.max("is_new").alias("is_new"), F.min("is_new").alias("every"))
+    lone = keyed.where(F.col("is_new") == F.col("every")).select("c.*", "is_new")
+    crowd = lone.groupBy("section_path").agg(F.count_if(~F.col("is_new")).alias("n_old"), F.count_if("is_new").alias("n_new"), F.min(F.when(~F.col("is_new"), F.col("statement"))).alias("earlier"))
+    pair = (F.col("n_old") == 1) & (F.col("n_new") == 1)
+    kind = F.when(pair, "MODIFIED").when(F.col("is_new"), "ADDED").otherwise("REMOVED")
+    told = {"MODIFIED": "the clause was reworded.", "ADDED": "a clause was added.", "REMOVED": "a clause was removed."}
+    words = F.try_element_at(F.create_map(*[F.lit(x) for p in told.items() for x in p]), F.col("kind"))
+    crowded = F.when(~pair & (F.col("n_old") + F.col("n_new") > 1), " More than one changed here, so no pair was made.").otherwise("")
+    every = lone.join(crowd, "section_path").where(~pair | F.col("is_new")).withColumn("kind", kind)
     ident = change_id(F.lit(before), F.lit(after), F.col("kind"), F.col("obligation_id"))
-    return conform(every.withColumns({"change_id": ident, "from_version_id": F.lit(before), "to_version_id": F.lit(after)}), "change")
+    summary = F.concat(F.lit("Section "), path_text(F.col("section_path")), F.lit(": "), words, crowded)
+    return conform(every.withColumns({"previous_statement": F.when(pair, F.col("earlier")), "summary": summary, "change_id": ident, "from_version_id": F.lit(before), "to_version_id": F.lit(after)}), "change")
 
 
 def counts(changes: DataFrame, by: list[str] | None = None) -> DataFrame:

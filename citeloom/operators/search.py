@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
+from ..sources.shared import written
 from .obligations import primary_anchor
 
 # Ranks are fused as 1 / (60 + rank); legs in order; rows of an answer.
@@ -28,16 +29,16 @@ def tokens(text: Column) -> Column:
 def bm25(chunks: DataFrame, query: str, k: int, ident: str = "chunk_id", text: str = "text") -> DataFrame:
     """(id, score) of the k chunks that score best for any of the query's words.
 
-    Only the query's words are counted in each chunk, in one pass; what is shuffled is a row for
-    each chunk that holds one.
+    Each text is read once: a row of counts of the query's words is written for it, and totals and
+    scores come from these rows.
     """
     terms = sorted({t for t in re.findall(r"[^\W_]+", query.lower())})
     if not terms:
         return chunks.select(F.col(ident), F.lit(0.0).alias("score")).limit(0)
     t = tokens(F.col(text))
     counted = chunks.select(ident, t.alias("t"))
-    tf = [F.aggregate("t", F.lit(0), _counter(w)).alias(f"tf{i}") for i, w in enumerate(terms)]
-    counted = counted.select(ident, F.size("t").alias("length"), *tf)
+    tf = [(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(terms)]
+    counted = written(counted.select(ident, F.size("t").alias("length"), *tf), "counts")
     totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one")  # totals are one row
     score = F.lit(0.0)
@@ -48,10 +49,6 @@ def bm25(chunks: DataFrame, query: str, k: int, ident: str = "chunk_id", text: s
     return joined.select(ident, score.alias("score")).orderBy(F.desc("score"), ident).limit(k)
 
 
-def _counter(word: str) -> Callable[[Column, Column], Column]:
-    return lambda n, x: n + (x == F.lit(word)).cast("int")
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two float arrays, summed in double; null if a norm is 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -194,7 +191,8 @@ def ask(t: dict[str, DataFrame], question: str, embed: Callable[[str], list[floa
     rows: list[dict] = []
     if chosen.name in TEMPLATES:
         found = TEMPLATES[chosen.name](t, limit=limit, **chosen.parameters)
-        rows = [r.asDict() for r in found.withColumn("quote", truncated(F.col("quote"))).collect()]
+        said = F.coalesce(F.nullif(F.col("statement"), F.lit("")), F.col("quote"))  # the clause; its chunk where there is none
+        rows = [r.asDict() for r in found.withColumn("quote", truncated(said)).collect()]
     used = chosen.name if rows else GROUNDED
     if not rows:
         rows = [r.asDict() for r in retrieve(t, question, embed, limit).withColumn("quote", truncated(F.col("text"))).collect()]

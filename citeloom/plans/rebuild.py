@@ -8,12 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chunking, links, obligations
+from ..operators import chunking, links, obligations, search
 from .store import Store
 
 JOB_TIMEOUT, RESULT_TTL = 1_800, 86_400
 
 
+class UnknownEditionError(LookupError):
+    """The store has no such edition."""
+
+
 class BusyError(RuntimeError):
     """A rebuild of this edition is queued or running."""
 
@@ -29,7 +33,9 @@ def live(jobs: DataFrame, now: str, ttl: int = RESULT_TTL) -> DataFrame:
 
 
 def enqueue(store: Store, version_id: str) -> str:
-    """A new run of an edition, unless one is queued or started."""
+    """A new run of an edition that the store has, unless one is queued or started."""
+    if store.table("document_version").where(F.col("version_id") == version_id).isEmpty():
+        raise UnknownEditionError(version_id)
     jobs = store.table("job")
     if not status(jobs).where((F.col("version_id") == version_id) & F.col("state").isin("queued", "started")).isEmpty():
         raise BusyError(version_id)
@@ -44,7 +50,7 @@ def _log(store: Store, run: str, version_id: str, state: str, done: int, total:
 
 
 def rebuild(store: Store, run: str, version_id: str, pages: DataFrame, extractor: obligations.Extractor, candidates: list[str] | None = None, on_progress: Callable[[int, int], None] = lambda done, total: None) -> dict[str, int]:
-    """Chunks, obligations, anchors and proposals of an edition anew; decisions are replayed. A failure leaves the store as it was.
+    """Chunks, obligations, anchors and proposals of an edition anew; decisions are replayed. A failure leaves all but the cache of extractions as it was.
 
     Proposals at this edition's old obligations go too; approvals stay, as they are decisions.
     """
@@ -56,7 +62,10 @@ def rebuild(store: Store, run: str, version_id: str, pages: DataFrame, extractor
             raise ValueError(f"{version_id} has no text")
         _log(store, run, version_id, "started", 0, total)
         found, anchors, cache = obligations.extract(new_chunks, extractor, t["extraction_cache"])
+        store.commit({"extraction_cache": cache})  # by itself: a later failure does not lose what was paid for
+        found, anchors, _ = obligations.extract(new_chunks, extractor, store.table("extraction_cache"))
         found = found.persist()
+        anchors = obligations.checked_anchors(found, anchors, new_chunks)
         on_progress(total, total)
         old = t["obligation"].where(F.col("version_id") == version_id).select("obligation_id")
         stay = t["obligation"].where(F.col("version_id") != version_id)
@@ -75,7 +84,6 @@ def rebuild(store: Store, run: str, version_id: str, pages: DataFrame, extractor
                 "implements_proposed": kept.unionByName(proposed),
                 "implements": after,
                 "change": t["change"].where((F.col("from_version_id") != version_id) & (F.col("to_version_id") != version_id)),
-                "extraction_cache": cache,
             }
         )
         _log(store, run, version_id, "finished", total, total)
@@ -94,3 +102,30 @@ def decide(store: Store, source: str, target: str, verdict: str, actor: str, rat
     result = counts.first().asDict()
     store.commit({"link_decision": decisions, "implements": after})
     return result
+
+
+def embed(store: Store, model_id: str, model: Callable[[list[str]], list[list[float]]], index: str = "chunk") -> int:
+    """Vectors for all chunks that lack the model's, written back with the index's identity; how many chunks have one.
+
+    Vectors of more than one width raise, and nothing is written.
+    """
+    chunks = store.table("chunk")
+    new = search.embed_missing(chunks, model_id, model).toDF("chunk_id", "v", "m")
+    full = chunks.join(new, "chunk_id", "left").withColumns({"embedding": F.coalesce("v", "embedding"), "embedding_model": F.coalesce("m", "embedding_model")}).persist()
+    try:
+        row = full.agg(F.count("embedding").alias("n"), F.min(F.size("embedding")).alias("narrow"), F.max(F.size("embedding")).alias("wide")).first()
+        if row["narrow"] != row["wide"]:
+            raise search.IndexMismatchError(f"vectors of {row['narrow']} and {row['wide']} dimensions")
+        if row["n"]:
+            identity = store.spark.createDataFrame([(index, model_id, row["wide"])], "name string, model_id string, dimensions int")
+            store.commit({"chunk": full, "embedding_index": identity})
+        return row["n"]
+    finally:
+        full.unpersist()
+
+
+def keep_changes(store: Store, changed: DataFrame, before: str, after: str) -> DataFrame:
+    """The changes between two editions, stored in place of earlier ones."""
+    others = store.table("change").where((F.col("from_version_id") != before) | (F.col("to_version_id") != after))
+    store.commit({"change": others.unionByName(changed)})
+    return store.table("change").where((F.col("from_version_id") == before) & (F.col("to_version_id") == after))

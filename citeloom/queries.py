@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import changes, chunking, graph, links, obligations, search, versions
 from .plans import rebuild, store
-from .sources import manifest
+from .plans import sql as bounded
+from .sources import issuance, manifest
 from .streaming import dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,9 +268,11 @@ def _changed(spark: SparkSession, d: str) -> DataFrame:
     return changes.diff(o.withColumn("obligation_id", X.obligation_id(F.col("version_id"), F.col("section_path"), F.col("statement"))), "v0", "v1")
 
 
-@query(f"WITH {_CLAUSES} SELECT substr(sha256('v0|v1|' || kind || '|' || obligation_id), 1, 32) AS change_id, kind, obligation_id, path, statement, previous_statement FROM c")
+@query(f"""WITH {_CLAUSES} SELECT substr(sha256('v0|v1|' || kind || '|' || obligation_id), 1, 32) AS change_id, kind, obligation_id, path, statement, previous_statement,
+'Section ' || path || ': ' || CASE kind WHEN 'MODIFIED' THEN 'the clause was reworded.' ELSE CASE kind WHEN 'ADDED' THEN 'a clause was added.' ELSE 'a clause was removed.' END
+|| CASE WHEN coalesce(no.n, 0) + coalesce(nn.n, 0) > 1 THEN ' More than one changed here, so no pair was made.' ELSE '' END END AS summary FROM c LEFT JOIN no USING (path) LEFT JOIN nn USING (path)""")
 def change_diff(spark, d):
-    return _changed(spark, d).select("change_id", "kind", "obligation_id", X.path_text(F.col("section_path")).alias("path"), "statement", "previous_statement")
+    return _changed(spark, d).select("change_id", "kind", "obligation_id", X.path_text(F.col("section_path")).alias("path"), "statement", "previous_statement", "summary")
 
 
 @query(f"WITH {_CLAUSES} SELECT count(*) FILTER (kind = 'ADDED') AS added, count(*) FILTER (kind = 'REMOVED') AS removed, count(*) FILTER (kind = 'MODIFIED') AS modified FROM c")
@@ -289,11 +291,41 @@ _MODALITY = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'SHALL' WHEN '2' T
 
 
 @query(f"""SELECT CASE {_KIND} WHEN 'REMOVED' THEN 3.0 WHEN 'MODIFIED' THEN 2.0 ELSE 1.0 END::DOUBLE * CASE {_MODALITY} WHEN 'SHALL' THEN 4.0 WHEN 'MUST' THEN 4.0 WHEN 'SHOULD' THEN 2.0 ELSE 1.0 END::DOUBLE AS score,
-n_name AS document, o_orderkey AS our_obligation_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey ORDER BY score DESC, document, our_obligation_id LIMIT 200""")
+n_name AS document, 'o' || o_orderkey AS our_obligation_id, l.page, l.quote FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+JOIN (SELECT l_orderkey, min(l_linenumber) AS page, min_by(l_returnflag, (l_linenumber, l_partkey)) AS quote FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey""")
 def change_triage(spark, d):
-    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    score = changes.weight(F.expr(_KIND), changes.KIND_WEIGHT) * changes.weight(F.expr(_MODALITY), changes.MODALITY_WEIGHT)
-    return rows.select(score.alias("score"), F.col("n_name").alias("document"), F.col("o_orderkey").alias("our_obligation_id")).orderBy(F.desc("score"), "document", "our_obligation_id").limit(200)
+    """An order is a change to a clause that our clause of the same number implements; its lines are chunks, a nation's orders an edition."""
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey", F.expr(_KIND).alias("kind"), F.expr(_MODALITY).alias("modality"))
+    ours, theirs = F.concat(F.lit("o"), "o_orderkey"), F.concat(F.lit("t"), "o_orderkey")
+    changed = orders.select(theirs.alias("change_id"), "kind", F.lit("").alias("statement"), theirs.alias("obligation_id"), "modality")
+    clauses = orders.select(ours.alias("obligation_id"), F.concat(F.lit("v"), "c_nationkey").alias("version_id"), F.lit("").alias("statement"))
+    line = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("chunk_id"), "l_linenumber", "l_returnflag", "l_partkey").dropDuplicates(["chunk_id"])
+    chunk = line.select("chunk_id", F.col("l_linenumber").alias("page"), F.array().cast("array<string>").alias("section_path"), F.col("l_returnflag").alias("text"), F.struct("l_linenumber", "l_partkey").alias("ordinal"))
+    nation = table(spark, d, "nation").select(F.concat(F.lit("v"), "n_nationkey").alias("version_id"), F.col("n_name").alias("slug"))
+    anchors = line.select(F.concat(F.lit("o"), "l_orderkey").alias("obligation_id"), "chunk_id")
+    found = changes.triage(changed, orders.select(ours.alias("source_id"), theirs.alias("target_id")), clauses, anchors, chunk, nation, nation.select("slug", F.col("slug").alias("name")))
+    return found.select("score", "document", "our_obligation_id", "page", "quote")
+
+
+# -- citations: a customer's issuance cites its orders
+
+_DAY = "DATE '2000-01-01' + (c_custkey % 5000)::INTEGER"
+
+
+@query(f"""WITH o AS (SELECT o_custkey, list_sort(list(DISTINCT 'DoDD ' || o_orderkey || '.01')) AS r FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS doc, 'DoDI ' || c_custkey || '.02' AS name, strftime({_DAY}, '%Y-%m-%d') AS effective, CASE WHEN r IS NULL THEN 'unknown' WHEN c_custkey % 2 = 0 THEN 'legacy' ELSE 'modern' END AS format,
+coalesce(array_to_string(list_sort(list_append(r, 'United States Code, Title ' || (c_custkey % 50))), '; '), '') AS cited, CASE WHEN r IS NULL THEN 0 ELSE 1 END AS of_itself FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+def citations(spark, d):
+    """Two pages: a cover with name and date, and references that are lettered for even customers and not for odd ones."""
+    letter = F.when(F.col("c_custkey") % 2 == 0, "(a) ").otherwise("")
+    order = F.concat(letter, F.lit("DoD Directive "), "o_orderkey", F.lit(".01, “Orders of\nDepartment of "), "o_orderpriority", F.lit("”\n"))
+    base = table(spark, d, "customer").select("c_custkey")
+    own = F.concat(letter, F.lit("Title "), F.col("c_custkey") % 50, F.lit(", United States Code\n"), letter, F.lit("DoD Instruction "), "c_custkey", F.lit(".02, “Self”\n"))
+    listed = base.join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey").agg(F.array_join(F.array_sort(F.collect_list(order)), "").alias("body")).withColumn("text", F.concat(F.lit("REFERENCES\n"), "body", own, F.lit("GLOSSARY\nend")))
+    day = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("c_custkey") % 5000).cast("int")), "MMMM d, yyyy")
+    covers = base.select(F.col("c_custkey").alias("doc"), F.lit(1).alias("page_no"), F.concat(F.lit("DOD INSTRUCTION "), "c_custkey", F.lit(".02\nEffective: "), day).alias("text"))
+    found = issuance.documents(covers.unionByName(listed.select(F.col("c_custkey").alias("doc"), F.lit(2).alias("page_no"), "text")))
+    return found.select("doc", "name", F.date_format("effective_date", "yyyy-MM-dd").alias("effective"), "format", F.array_join("references", "; ").alias("cited"), F.col("self_references_skipped").alias("of_itself"))
 
 
 # -- extraction scores: what is asked for by brand, and how well it is met
@@ -367,6 +399,31 @@ def search_fused(spark, d):
     return search.fuse(legs, 10, "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.array_join("legs", " ").alias("legs"))
 
 
+@query("""WITH seed AS (SELECT o_orderkey AS chunk_id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS seed_rank FROM orders QUALIFY seed_rank <= 40),
+anchors AS (SELECT DISTINCT l_partkey AS ob, l_orderkey AS chunk_id FROM lineitem), linked AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part UNION ALL SELECT p_partkey + 1, p_partkey FROM part)
+SELECT 'graph' AS leg, y.chunk_id, row_number() OVER (ORDER BY min(seed_rank), y.chunk_id) AS rank FROM seed JOIN anchors x USING (chunk_id) JOIN linked ON a = x.ob JOIN anchors y ON y.ob = b WHERE y.chunk_id NOT IN (SELECT chunk_id FROM seed)
+GROUP BY y.chunk_id ORDER BY min(seed_rank), y.chunk_id LIMIT 40""")
+def search_graph_leg(spark, d):
+    """Orders one approved link away from the dearest ones; a part is a clause, the next part implements it."""
+    dear = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(40)
+    anchors = table(spark, d, "lineitem").select(F.col("l_partkey").alias("obligation_id"), F.col("l_orderkey").alias("chunk_id")).distinct()
+    linked = table(spark, d, "part").select(F.col("p_partkey").alias("source_id"), (F.col("p_partkey") + 1).alias("target_id"))
+    return search.graph_leg(search.seeds(search.ranked(dear, "fulltext"), 40), anchors, linked, 40)
+
+
+@query("""WITH hits AS (SELECT o_orderkey AS chunk_id, o_totalprice AS score FROM orders UNION ALL SELECT -1, 1.0)
+SELECT chunk_id, round(score, 2) AS score, n_name AS document, o_orderpriority AS text FROM hits JOIN orders ON o_orderkey = chunk_id JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
+def search_hydrated(spark, d):
+    """Orders as hits, one of them gone; a customer is an edition, its nation the document."""
+    orders = table(spark, d, "orders")
+    gone = spark.range(1).select(F.lit(-1).cast("long").alias("chunk_id"), F.lit(1.0).alias("score"))
+    hits = orders.select(F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("score")).unionByName(gone).withColumn("legs", F.array(F.lit("fulltext")))
+    chunk = orders.select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("version_id"), F.col("o_orderpriority").alias("text"), F.lit(1).alias("page"), F.array().cast("array<string>").alias("section_path"))
+    editions = table(spark, d, "customer").select(F.col("c_custkey").alias("version_id"), F.col("c_nationkey").alias("slug"))
+    documents = table(spark, d, "nation").select(F.col("n_nationkey").alias("slug"), F.col("n_name").alias("name"))
+    return search.hydrate(hits, chunk, editions, documents).select("chunk_id", F.round("score", 2).alias("score"), "document", "text")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), lower('R#0000001')) OR contains(lower(coalesce(c_mktsegment, '')), lower('auto')) ORDER BY c_name, c_custkey LIMIT 10")
 def search_lookup(spark, d):
     c = table(spark, d, "customer")
@@ -399,9 +456,9 @@ def store_replace(spark, d):
     return store.replace_where(o.drop("o_orderstatus"), new, "o_orderpriority", ["1-URGENT"])
 
 
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"event_type\":\"' || event_type || '\"}' AS row FROM events")
+@query("SELECT '{\"event_id\":' || event_id || ',\"k\":' || coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)::VARCHAR, 'null') || ',\"event_type\":\"' || event_type || '\"}' AS row FROM events")
 def json_scalars(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), F.to_json(F.struct("event_type")).alias("row"))
+    return bounded.as_json(table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), "event_type"))
 
 
 @query("SELECT 'u' || user_id AS run_id, max_by(event_type, (ts, event_id)) AS state, max_by(event_id, (ts, event_id)) AS done FROM events GROUP BY user_id")
@@ -416,9 +473,7 @@ def job_status(spark, d):
 def stream_windows(spark, d):
     """All files there are, as a stream: windows of event time in complete mode."""
     events = dedup.read(spark, d, table(spark, d, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{uuid.uuid4().hex}"
-    dedup.counted(events, ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+    return dedup.drained(dedup.counted(events, ["event_type"])).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
 # -- ad-hoc SQL

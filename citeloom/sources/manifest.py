@@ -35,13 +35,11 @@ def is_document(path: str) -> bool:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _literal(cells: pd.Series) -> pd.Series:
     def one(cell):
-        if cell is None or not cell.strip():
-            return []
         try:
-            found = ast.literal_eval(cell)
+            found = ast.literal_eval(cell or "")
         except (ValueError, SyntaxError) as e:
-            raise SourceError(f"not a list: {cell[:80]!r}") from e
-        if not isinstance(found, list):
+            raise SourceError(f"not a list: {(cell or '')[:80]!r}") from e
+        if not isinstance(found, (list, tuple)):
             raise SourceError(f"not a list: {cell[:80]!r}")
         return [s for s in (str(x).strip() for x in found) if s]
 
@@ -49,7 +47,7 @@ def _literal(cells: pd.Series) -> pd.Series:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(name, references): one row a document; the header must be exact, a name not blank, a cell a list. Type is read and dropped."""
+    """(name, references): one row a document; the header must be exact, a name not blank, a cell a list or tuple, written out. Type is read and dropped."""
     head = spark.read.option("multiLine", True).option("escape", '"').csv(path).limit(1).collect()
     if not head or tuple(c.lstrip("﻿").strip() if c else c for c in head[0]) != HEADER:
         raise SourceError(f"the header is not {','.join(HEADER)}")

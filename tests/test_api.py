@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from citeloom.api import Service
 from citeloom.operators import graph, obligations, versions
-from citeloom.plans import ingest, store
+from citeloom.plans import ingest, rebuild, store
 from citeloom.streaming import dedup
 
 OLD = "DOD INSTRUCTION 5000.88\nEffective: November 18, 2020\n1. Rules\n1.1. A\nThe Head shall report yearly.\n1.2. B\nThe Staff must keep records.\nREFERENCES\nDoD Directive 5000.01, “Defense,” 2020\n"
@@ -29,8 +29,14 @@ def test_service_round(spark, tmp_path):
     assert s.review(ours, target, "approve", "me")["promoted"] == 1
     rows, counts = s.triage(new)
     assert counts.first().asDict() == {"total": 1, "linked_changes": 0, "unlinked_changes": 1} and rows.count() == 0
+    assert [(r.kind, r.from_version_id) for r in s.db.table("change").collect()] == [("MODIFIED", old)]
+    assert s.ask("what changed in DoDI 5000.88?").template_used == "changes_for_document"
     with pytest.raises(graph.NotFoundError):
         s.triage(old)
+    with pytest.raises(rebuild.UnknownEditionError):
+        rebuild.enqueue(s.db, "none@2020-01-01")
+    assert rebuild.embed(s.db, "m", lambda texts: [[float(len(t)), 1.0] for t in texts]) == s.db.table("chunk").count()
+    assert tuple(s.db.table("embedding_index").first()) == ("chunk", "m", 2) and s.db.table("chunk").where("embedding IS NULL").isEmpty()
     assert s.ask("who shall report?").citations
     slug = s.create_document("Policy  X")
     with pytest.raises(versions.ConflictError):

@@ -20,12 +20,12 @@ def loaded(spark, path):
 
 
 def test_manifest_rules(spark, tmp_path):
-    path = write(tmp_path, "Document Name,References,Type\n  A  ,\"['A', ' B ', '', 'A']\",x\nB,\"['C', \"\"O'Neil\"\"]\",y\nC,,z\n")
+    path = write(tmp_path, "Document Name,References,Type\n  A  ,\"['A', ' B ', '', 'A']\",x\nB,\"['C', \"\"O'Neil\"\"]\",y\nC,\"('A',)\",z\n")
     c, documents, edges = loaded(spark, path)
     assert {(r.name, r.is_external) for r in c.names.collect()} == {("A", False), ("B", False), ("C", False), ("O'Neil", True)}
-    assert {(r.source, r.target) for r in c.edges.collect()} == {("A", "B"), ("B", "C"), ("B", "O'Neil")}
+    assert {(r.source, r.target) for r in c.edges.collect()} == {("A", "B"), ("B", "C"), ("B", "O'Neil"), ("C", "A")}
     assert c.self_references.first()["n"] == 2
-    for bad in ("Name,Refs\nA,[]\n", "Document Name,References,Type\nA,not-a-list,x\n", "Document Name,References,Type\n ,[],x\n"):
+    for bad in ("Name,Refs\nA,[]\n", "Document Name,References,Type\nA,not-a-list,x\n", "Document Name,References,Type\nA,,x\n", "Document Name,References,Type\n ,[],x\n"):
         with pytest.raises(Exception):
             manifest.read(spark, write(tmp_path, bad, f"bad{len(bad)}.csv")).collect()
     for name in ("", "..", "a/b.csv", "../x", "a\\b"):
