@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.sources.tables import table
 
-from . import fingerprint, html_extract, mixing, packing, pii, quality, simhash_dedup, token_count, url_filter, warc
+from . import divergence, fingerprint, html_extract, mixing, packing, pii, quality, sharding, simhash_dedup, token_count, url_filter, warc, whitening
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -63,6 +63,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -74,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_count": op9_token_count,
     "op10_html": op10_html,
+    "op11_divergence": op11_divergence,
+    "op12_whitening": op12_whitening,
+    "op13_sharding": op13_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_divergence": divergence.SQL}
