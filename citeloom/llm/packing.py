@@ -128,7 +128,7 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
                 words_known.clear()
                 missing = set(words)
             new = learn(missing)
-            return b"".join([words_known.get(w) or new[w] for w in words])
+            return b"".join([words_known[w] if w in words_known else new[w] for w in words])  # a word may have no ids at all
         return b"".join(map(words_known.__getitem__, words))
 
     return encode

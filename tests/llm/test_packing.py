@@ -77,6 +77,18 @@ def test_pack_over_a_table(spark):
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_words_without_ids(spark):
+    """Lone spaces of other kinds than ASCII's are words that the tokenizer gives no ids for."""
+    tokenizers = pytest.importorskip("tokenizers")
+    plain = tokenizers.Tokenizer.from_file(tokenizer_path())
+    rows = [(i, f"word{i} {c} tail {c} {c} w{i}") for i, c in enumerate(["\u00a0", "\u2003", "\u3000", "\u00a0\u2003", "\u200b"] * 40)]
+    encode = packing.word_encoder(tokenizer_path())
+    for _, text in rows:
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    pieces = [tuple(r) for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), tokenizer_path()).collect()]
+    check(pieces, {k: plain.encode(t, add_special_tokens=False).ids + [2] for k, t in rows}, 4096)
+
+
 def test_piece_encoder_equals_the_tokenizer():
     import json
 
