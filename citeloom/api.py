@@ -39,7 +39,7 @@ class Service:
         return self.documents().where(F.col("slug") == slug)
 
     def _must_exist(self, slug: str) -> None:
-        if self.db.table("document").where(F.col("slug") == slug).isEmpty():
+        if self.db.at("document", slug).isEmpty():
             raise graph.NotFoundError(slug)
 
     def create_document(self, name: str, source: str = "api") -> str:
@@ -56,28 +56,30 @@ class Service:
             slug = other
         row = lambda table, *values: spark.createDataFrame([values], t[table].schema)
         ident = f"api:{source}"
-        self.db.commit({"document": t["document"].unionByName(row("document", slug, name)), "source": store.upsert(t["source"], row("source", ident, "api", source), ("id",)), "describes": store.insert_absent(t["describes"], row("describes", ident, slug), ("source_id", "slug"))})
+        new = {"document": store.Change(add=row("document", slug, name)), "source": store.Change(upsert=row("source", ident, "api", source)), "describes": store.Change(insert=row("describes", ident, slug))}
+        self.db.change(new)
         return slug
 
     def delete_document(self, slug: str) -> None:
         self._must_exist(slug)
-        self.db.commit(store.delete_document(self.db.tables(), slug))
+        self.db.change(lambda t: store.deletion(t, slug))
 
     def add_reference(self, slug: str, target: str) -> None:
         self._must_exist(slug)
         self._must_exist(target)
-        self.db.commit({"references_edge": store.add_reference(self.db.table("references_edge"), slug, target)})
+        self.db.change({"references_edge": store.Change(insert=store.new_reference(self.db.spark, slug, target))})
 
     def remove_reference(self, slug: str, target: str) -> None:
-        self.db.commit({"references_edge": store.remove_reference(self.db.table("references_edge"), slug, target)})
+        gone = self.db.spark.createDataFrame([(slug, target)], "source_slug string, target_slug string")
+        self.db.change({"references_edge": store.Change(delete=gone)})
 
     def versions(self, slug: str) -> DataFrame:
         """Editions, oldest first, with the one each supersedes; none for an unknown document."""
-        return versions.chain(self.db.table("document_version").where(F.col("slug") == slug)).orderBy(*versions.oldest_first())
+        return versions.chain(self.db.at("document_version", slug)).orderBy(*versions.oldest_first())
 
     def chunks(self, slug: str, version_id: str | None = None) -> DataFrame:
         """Chunks of an edition, by default the newest, in reading order."""
-        own = self.db.table("document_version").where(F.col("slug") == slug)
+        own = self.db.at("document_version", slug)
         own = own.where(F.col("version_id") == version_id) if version_id else versions.newest(own)
         return self.db.table("chunk").join(own.select("version_id"), "version_id", "left_semi").orderBy("ordinal")
 

@@ -1,81 +1,245 @@
-"""A store of snapshots: all tables of a commit are staged in a new folder, and one pointer makes them current."""
+"""A store of snapshots: tables are kept in parts by ranges of their keys' hashes, a commit writes the parts it touches, and one pointer makes them current."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import TABLES, assert_unique, conform, empty
+from ..schema import PLACES, TABLES, assert_unique, conform, empty
+
+#: Rows of a part up to which it is not divided; snapshots that stay readable; times that a change is made anew after another commit came first.
+PART_ROWS, KEEP, TRIES = 1_000_000, 20, 5
+_TOP = 1 << 62
+_END = "\nend\n"
+
+
+class ConcurrentCommitError(RuntimeError):
+    """Another commit came first."""
+
+
+class Part(NamedTuple):
+    """Rows of one table whose positions are lo <= position < hi; a part without rows has no path."""
+
+    path: str
+    lo: int
+    hi: int
+    rows: int
+
+
+@dataclass(frozen=True)
+class Change:
+    """What a commit does to a table, in this order: rows equal to a row of `delete` in all of its columns go; `upsert` replaces
+    rows of its keys; `insert` comes in where its keys are absent; `add` comes in, and a key that is there stops the commit.
+
+    `whole` puts rows in place of all that the table had.
+    """
+
+    delete: DataFrame | None = None
+    upsert: DataFrame | None = None
+    insert: DataFrame | None = None
+    add: DataFrame | None = None
+    whole: DataFrame | None = None
+
+
+def position(table: str) -> Column:
+    """0 to 2^62 - 1: hash bits of the place that writes are scoped by, then of the key, so that a place of many rows can be divided too."""
+    place, key = F.xxhash64(F.col(PLACES[table])), F.xxhash64(*TABLES[table][1])
+    return F.shiftleft(F.shiftrightunsigned(place, 33), 31).bitwiseOR(F.shiftrightunsigned(key, 33))
+
+
+def _index(position: Column, parts: list[Part]) -> Column:
+    """The number of the part that a position lies in."""
+    return F.size(F.filter(F.array(*[F.lit(p.lo).cast("long") for p in parts]), lambda lo: lo <= position)) - 1
 
 
 class Store:
     """Tables under one folder, read and written by Spark, so that the folder may lie in any store.
 
-    A commit writes the tables it changes, checks their keys, then writes a pointer file that
-    names each table's folder. A commit that fails leaves the last pointer as it was. One writer
-    at a time.
+    A table is a list of parts that tile the positions of its keys. A commit finds the parts that
+    its changes fall in, writes these anew, checks their keys, and creates the next pointer file,
+    which lists all parts. Parts that outgrow `part_rows` are divided. A commit that fails leaves
+    the last pointer as it was. Of two writers the second finds its pointer's number taken; a
+    change is then made anew over the other's snapshot. The last `keep` snapshots stay readable,
+    older ones go with the parts that only they have.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, part_rows: int = PART_ROWS, keep: int = KEEP):
+        self.spark, self.folder, self.part_rows, self.keep = spark, folder.rstrip("/"), part_rows, keep
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointers(self) -> list[str]:
+    def _numbers(self) -> list[int]:
         fs, path = self._fs(f"{self.folder}/_current")
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
 
-    def current(self) -> dict[str, str]:
-        names = self._pointers()
-        if not names:
-            return {}
-        fs, path = self._fs(f"{self.folder}/_current/{names[-1]}")
+    def _pointer(self, number: int) -> dict[str, list[Part]] | None:
+        """A snapshot's parts; None for a pointer whose writer died before its end."""
+        fs, path = self._fs(f"{self.folder}/_current/{number:012d}")
         stream = fs.open(path)
         try:
             text = bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
-        return dict(line.split("\t") for line in text.splitlines())
+        if not text.endswith(_END):
+            return None
+        return {name: [Part(*p) for p in parts] for name, parts in json.loads(text.removesuffix(_END)).items()}
+
+    def _latest(self) -> tuple[int, dict[str, list[Part]]]:
+        """The highest number taken, and the last whole snapshot."""
+        numbers = self._numbers()
+        for n in reversed(numbers):
+            if (found := self._pointer(n)) is not None:
+                return numbers[-1], found
+        return (numbers or [0])[-1], {}
+
+    def current(self) -> dict[str, list[Part]]:
+        return self._latest()[1]
+
+    def _read(self, name: str, parts: Iterable[Part]) -> DataFrame:
+        paths = [f"{self.folder}/{p.path}" for p in parts if p.path]
+        return self.spark.read.schema(empty(self.spark, name).schema).parquet(*paths) if paths else empty(self.spark, name)
 
     def table(self, name: str) -> DataFrame:
-        path = self.current().get(name)
-        schema = self.spark.createDataFrame([], TABLES[name][0]).schema
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{path}") if path else empty(self.spark, name)
+        return self._read(name, self.current().get(name, ()))
+
+    def at(self, name: str, value: str) -> DataFrame:
+        """Rows of one place, from the parts it may lie in."""
+        low = self.spark.range(1).select(F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.lit(value)), 33), 31)).first()[0]
+        parts = [p for p in self.current().get(name, ()) if p.lo < low + (1 << 31) and low < p.hi]
+        return self._read(name, parts).where(F.col(PLACES[name]) == value)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in TABLES}
+        now = self.current()
+        return {name: self._read(name, now.get(name, ())) for name in TABLES}
 
     def commit(self, changed: dict[str, DataFrame]) -> None:
-        """Stages tables and flips the pointer; a key held twice stops the commit before the flip."""
-        now, tag = self.current(), uuid.uuid4().hex
-        for name, df in changed.items():
-            path = f"{name}/{tag}"
-            conform(df, name).write.parquet(f"{self.folder}/{path}")
-            assert_unique(self.spark.read.parquet(f"{self.folder}/{path}"), TABLES[name][1], name)
-            now[name] = path
-        number = len(self._pointers()) + 1
-        fs, staged = self._fs(f"{self.folder}/_staged-{tag}")
-        out = fs.create(staged)
-        out.write("\n".join(f"{k}\t{v}" for k, v in sorted(now.items())).encode())
+        """Puts whole tables in place of what they were; a key held twice stops the commit before the flip.
+
+        The tables are made from what the caller has read, so a commit that came in between raises.
+        """
+        self._flip({name: Change(whole=df) for name, df in changed.items()}, 1)
+
+    def change(self, changes: dict[str, Change] | Callable[[dict[str, DataFrame]], dict[str, Change]]) -> None:
+        """Makes changes in one commit, anew if another commit came first; a function gets the tables of the snapshot they are made to."""
+        self._flip(changes, TRIES)
+
+    def _flip(self, changes, tries: int) -> None:
+        for left in reversed(range(tries)):
+            number, now = self._latest()
+            made = changes({name: self._read(name, now.get(name, ())) for name in TABLES}) if callable(changes) else changes
+            tag = uuid.uuid4().hex
+            new = now | {name: self._written(name, now.get(name, []), change, tag) for name, change in made.items()}
+            if self._create(number + 1, new):
+                self._forget(number + 1 - self.keep)
+                return
+            for name in made:  # what was staged is of no use over another snapshot
+                fs, path = self._fs(f"{self.folder}/{name}/{tag}")
+                fs.delete(path, True)
+            if not left:
+                raise ConcurrentCommitError(f"commit {number + 1} was made by another writer")
+
+    def _written(self, name: str, parts: list[Part], change: Change, tag: str) -> list[Part]:
+        """The table's parts after a change: those it touches are written anew, the others stay."""
+        key, place = list(TABLES[name][1]), PLACES[name]
+        if change.whole is not None or not parts:
+            parts = [Part("", 0, _TOP, 0)]
+        new = [conform(df, name) for df in (change.whole, change.upsert, change.insert, change.add) if df is not None]
+        spots = [df.select(_index(position(name), parts).alias("i")) for df in new]
+        if change.delete is not None and change.whole is None:
+            columns = set(change.delete.columns)
+            if set(key) | {place} <= columns:
+                spots.append(change.delete.select(_index(position(name), parts).alias("i")))
+            elif place in columns:  # a place may go over several parts
+                low = F.shiftleft(F.shiftrightunsigned(F.xxhash64(place), 33), 31)
+                spots.append(change.delete.select(F.explode(F.sequence(_index(low, parts), _index(low + ((1 << 31) - 1), parts))).alias("i")))
+            else:
+                gone = self._read(name, parts).join(change.delete, change.delete.columns, "left_semi")
+                spots.append(gone.select(_index(position(name), parts).alias("i")))
+        every = spots[0] if spots else self.spark.range(0).select(F.col("id").alias("i"))
+        for s in spots[1:]:
+            every = every.unionAll(s)
+        touched = {r["i"]: r["n"] for r in every.groupBy("i").agg(F.count("*").alias("n")).collect()}  # a row a part
+        if change.whole is not None:
+            touched.setdefault(0, 0)
+        if not touched:
+            return parts
+        rows = self._read(name, [parts[i] for i in touched])
+        if change.delete is not None:
+            rows = rows.join(change.delete, change.delete.columns, "left_anti")
+        if change.upsert is not None:
+            rows = upsert(rows, conform(change.upsert, name), tuple(key))
+        if change.insert is not None:
+            rows = insert_absent(rows, conform(change.insert, name), tuple(key))
+        for df in (change.add, change.whole):
+            rows = rows if df is None else rows.unionByName(conform(df, name))
+        sizes = {i: parts[i].rows + n for i, n in touched.items()}
+        full = [i for i, n in sizes.items() if n > self.part_rows]  # to be divided, into parts that are half full
+        rows = rows.withColumns({"__at": position(name), "__i": _index(position(name), parts)})
+        if full:
+            dealt = rows.repartitionByRange(-(-2 * sum(sizes.values()) // self.part_rows), "__i", "__at")
+            part = F.when(F.col("__i").isin(full), F.concat_ws("-", "__i", F.spark_partition_id())).otherwise(F.col("__i").cast("string"))
+        else:
+            dealt, part = rows.repartition(len(touched), "__i"), F.col("__i").cast("string")
+        dealt = dealt.withColumn("__part", part)
+        dealt.drop("__i").write.partitionBy("__part").parquet(f"{self.folder}/{name}/{tag}")
+        schema = empty(self.spark, name).schema
+        back = self.spark.read.schema(schema.add("__at", "long").add("__part", "string")).parquet(f"{self.folder}/{name}/{tag}")
+        assert_unique(back, TABLES[name][1], name)
+        made: dict[int, list[tuple[int, int, str]]] = {i: [] for i in touched}
+        for r in back.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("lo")).collect():  # a row a part
+            made[int(r["__part"].split("-")[0])].append((r["lo"], r["n"], f"{name}/{tag}/__part={r['__part']}"))
+        out = []
+        for i, p in enumerate(parts):
+            if i not in touched:
+                out.append(p)
+                continue
+            own = sorted(made[i])
+            ends = [lo for lo, _, _ in own[1:]] + [p.hi]
+            out += [Part(path, p.lo if k == 0 else lo, ends[k], n) for k, (lo, n, path) in enumerate(own)] or [Part("", p.lo, p.hi, 0)]
+        return out
+
+    def _create(self, number: int, tables: dict[str, list[Part]]) -> bool:
+        """Creates a pointer file, unless its number is taken: the store's own exclusive creation decides between writers."""
+        fs, path = self._fs(f"{self.folder}/_current/{number:012d}")
+        try:
+            out = fs.create(path, False)
+        except Exception as e:
+            if "exists" in str(e):
+                return False
+            raise
+        out.write((json.dumps(dict(sorted(tables.items()))) + _END).encode())
         out.close()
-        _, folder = self._fs(f"{self.folder}/_current")
-        fs.mkdirs(folder)
-        _, final = self._fs(f"{self.folder}/_current/{number:012d}")
-        if not fs.rename(staged, final):
-            raise RuntimeError("another commit came first")
+        return True
+
+    def _forget(self, number: int) -> None:
+        """Removes a snapshot and the parts that the one after it no longer has."""
+        numbers = self._numbers()
+        if number not in numbers or number + 1 not in numbers:
+            return
+        old, kept = self._pointer(number) or {}, self._pointer(number + 1) or {}
+        stay = {p.path for parts in kept.values() for p in parts}
+        for path in {p.path for parts in old.values() for p in parts if p.path} - stay:
+            fs, p = self._fs(f"{self.folder}/{path}")
+            fs.delete(p, True)
+        fs, p = self._fs(f"{self.folder}/_current/{number:012d}")
+        fs.delete(p, False)
 
     def is_empty(self) -> bool:
         """Documents alone count."""
         return self.table("document").isEmpty()
 
     def clear(self) -> dict[str, int]:
-        """Empties every table; how many rows of each were there."""
-        had = {name: self.table(name).count() for name in self.current()}
+        """Empties every table; how many rows of each were there, which the parts tell."""
+        had = {name: sum(p.rows for p in parts) for name, parts in self.current().items()}
         self.commit({name: empty(self.spark, name) for name in had})
         return {name: n for name, n in had.items() if n}
 
@@ -107,6 +271,24 @@ def replace_where(stored: DataFrame, new: DataFrame, column: str, values: list[s
     return stored.where(~F.col(column).isin(values) | F.col(column).isNull()).unionByName(new)
 
 
+def deletion(t: dict[str, DataFrame], slug: str) -> dict[str, Change]:
+    """delete_document() as changes: only parts that hold what goes are written."""
+    spark = t["document"].sparkSession
+    own = spark.createDataFrame([(slug,)], "slug string")
+    gone = t["document_version"].where(F.col("slug") == slug).select("version_id")
+    edges = t["references_edge"].where((F.col("source_slug") == slug) | (F.col("target_slug") == slug))
+    lost = t["anchored_in"].join(t["chunk"].join(gone, "version_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi")
+    return {
+        "document": Change(delete=own),
+        "describes": Change(delete=own),
+        "references_edge": Change(delete=edges),
+        "document_version": Change(delete=own),
+        "issued_by": Change(delete=gone),
+        "chunk": Change(delete=gone),
+        "anchored_in": Change(delete=lost),
+    }
+
+
 def delete_document(t: dict[str, DataFrame], slug: str) -> dict[str, DataFrame]:
     """A document, its edges, editions and chunks go. Its obligations stay, as they do where this operation comes from."""
     gone = t["document_version"].where(F.col("slug") == slug).select("version_id")
@@ -122,6 +304,13 @@ def delete_document(t: dict[str, DataFrame], slug: str) -> dict[str, DataFrame]:
     }
 
 
+def new_reference(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """One edge, for a change; a document does not cite itself."""
+    if source == target:
+        raise ValueError("a document does not cite itself")
+    return spark.createDataFrame([(source, target)], "source_slug string, target_slug string")
+
+
 def add_reference(edges: DataFrame, source: str, target: str) -> DataFrame:
     if source == target:
         raise ValueError("a document does not cite itself")

@@ -27,6 +27,9 @@ TABLES: dict[str, tuple[str, tuple[str, ...], str]] = {
     "job": ("run_id string, version_id string, state string, done int, total int, error string, at timestamp", ("run_id", "state"), "derived"),
 }
 
+#: The column that writes of a table are scoped by, a function of its key: rows of one value lie together in the store.
+PLACES: dict[str, str] = {name: key[0] for name, (_, key, _) in TABLES.items()} | {"describes": "slug", "document_version": "slug", "chunk": "version_id", "obligation": "version_id", "change": "to_version_id"}
+
 MODALITIES = ("SHALL", "MUST", "SHOULD", "MAY")
 VERDICTS = ("approve", "reject")
 
