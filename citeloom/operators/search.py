@@ -35,7 +35,7 @@ def bm25(chunks: DataFrame, query: str, k: int, ident: str = "chunk_id", text: s
     terms = sorted({t for t in re.findall(r"[^\W_]+", query.lower())})
     if not terms:
         return chunks.select(F.col(ident), F.lit(0.0).alias("score")).limit(0)
-    t = tokens(F.col(text))
+    t = tokens(F.coalesce(F.col(text), F.lit("")))  # a null text has no words, and counts as a text
     counted = chunks.select(ident, t.alias("t"))
     tf = [(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(terms)]
     counted = written(counted.select(ident, F.size("t").alias("length"), *tf), "counts")

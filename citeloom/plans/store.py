@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -12,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import PLACES, TABLES, assert_unique, conform, empty
+from .pointers import Pointers
 
 #: Rows of a part up to which it is not divided; snapshots that stay readable; times that a change is made anew after another commit came first.
 PART_ROWS, KEEP, TRIES = 1_000_000, 20, 5
 _TOP = 1 << 62
-_END = "\nend\n"
 
 
 class ConcurrentCommitError(RuntimeError):
@@ -53,6 +52,10 @@ def position(table: str) -> Column:
     return F.shiftleft(F.shiftrightunsigned(place, 33), 31).bitwiseOR(F.shiftrightunsigned(key, 33))
 
 
+def _parts(pointer: dict | None) -> dict[str, list[Part]]:
+    return {name: [Part(*p) for p in parts] for name, parts in (pointer or {}).items()}
+
+
 def _index(position: Column, parts: list[Part]) -> Column:
     """The number of the part that a position lies in."""
     return F.size(F.filter(F.array(*[F.lit(p.lo).cast("long") for p in parts]), lambda lo: lo <= position)) - 1
@@ -71,35 +74,11 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str, part_rows: int = PART_ROWS, keep: int = KEEP):
         self.spark, self.folder, self.part_rows, self.keep = spark, folder.rstrip("/"), part_rows, keep
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _numbers(self) -> list[int]:
-        fs, path = self._fs(f"{self.folder}/_current")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
-
-    def _pointer(self, number: int) -> dict[str, list[Part]] | None:
-        """A snapshot's parts; None for a pointer whose writer died before its end."""
-        fs, path = self._fs(f"{self.folder}/_current/{number:012d}")
-        stream = fs.open(path)
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        if not text.endswith(_END):
-            return None
-        return {name: [Part(*p) for p in parts] for name, parts in json.loads(text.removesuffix(_END)).items()}
+        self.pointers = Pointers(spark, f"{self.folder}/_current")
 
     def _latest(self) -> tuple[int, dict[str, list[Part]]]:
-        """The highest number taken, and the last whole snapshot."""
-        numbers = self._numbers()
-        for n in reversed(numbers):
-            if (found := self._pointer(n)) is not None:
-                return numbers[-1], found
-        return (numbers or [0])[-1], {}
+        number, found = self.pointers.latest()
+        return number, _parts(found)
 
     def current(self) -> dict[str, list[Part]]:
         return self._latest()[1]
@@ -138,12 +117,11 @@ class Store:
             made = changes({name: self._read(name, now.get(name, ())) for name in TABLES}) if callable(changes) else changes
             tag = uuid.uuid4().hex
             new = now | {name: self._written(name, now.get(name, []), change, tag) for name, change in made.items()}
-            if self._create(number + 1, new):
+            if self.pointers.create(number + 1, new):
                 self._forget(number + 1 - self.keep)
                 return
             for name in made:  # what was staged is of no use over another snapshot
-                fs, path = self._fs(f"{self.folder}/{name}/{tag}")
-                fs.delete(path, True)
+                self._delete(f"{name}/{tag}")
             if not left:
                 raise ConcurrentCommitError(f"commit {number + 1} was made by another writer")
 
@@ -207,31 +185,20 @@ class Store:
             out += [Part(path, p.lo if k == 0 else lo, ends[k], n) for k, (lo, n, path) in enumerate(own)] or [Part("", p.lo, p.hi, 0)]
         return out
 
-    def _create(self, number: int, tables: dict[str, list[Part]]) -> bool:
-        """Creates a pointer file, unless its number is taken: the store's own exclusive creation decides between writers."""
-        fs, path = self._fs(f"{self.folder}/_current/{number:012d}")
-        try:
-            out = fs.create(path, False)
-        except Exception as e:
-            if "exists" in str(e):
-                return False
-            raise
-        out.write((json.dumps(dict(sorted(tables.items()))) + _END).encode())
-        out.close()
-        return True
-
     def _forget(self, number: int) -> None:
         """Removes a snapshot and the parts that the one after it no longer has."""
-        numbers = self._numbers()
+        numbers = self.pointers.numbers()
         if number not in numbers or number + 1 not in numbers:
             return
-        old, kept = self._pointer(number) or {}, self._pointer(number + 1) or {}
+        old, kept = (_parts(self.pointers.read(n)) for n in (number, number + 1))
         stay = {p.path for parts in kept.values() for p in parts}
         for path in {p.path for parts in old.values() for p in parts if p.path} - stay:
-            fs, p = self._fs(f"{self.folder}/{path}")
-            fs.delete(p, True)
-        fs, p = self._fs(f"{self.folder}/_current/{number:012d}")
-        fs.delete(p, False)
+            self._delete(path)
+        self.pointers.remove(number)
+
+    def _delete(self, path: str) -> None:
+        fs, p = self.pointers.fs(f"{self.folder}/{path}")
+        fs.delete(p, True)
 
     def is_empty(self) -> bool:
         """Documents alone count."""

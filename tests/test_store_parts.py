@@ -110,11 +110,11 @@ def test_torn_pointers_and_old_snapshots(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/db", keep=3)
     for i in range(6):
         s.change({"references_edge": Change(insert=edges(spark, [("a", f"b{i}")]))})
-    assert len(s._numbers()) == 3 and len(os.listdir(tmp_path / "db" / "references_edge")) <= 6
-    live = {p.path for n in s._numbers() for p in s._pointer(n)["references_edge"]}
+    assert len(s.pointers.numbers()) == 3 and len(os.listdir(tmp_path / "db" / "references_edge")) <= 6
+    live = {p.path for n in s.pointers.numbers() for p in store._parts(s.pointers.read(n))["references_edge"]}
     there = {f"references_edge/{t}/{p}" for t in os.listdir(tmp_path / "db" / "references_edge") for p in os.listdir(tmp_path / "db" / "references_edge" / t) if p.startswith("__part")}
     assert there == live
-    (tmp_path / "db" / "_current" / f"{s._numbers()[-1] + 1:012d}").write_text('{"references_edge"')  # a writer died
+    (tmp_path / "db" / "_current" / f"{s.pointers.numbers()[-1] + 1:012d}").write_text('{"references_edge"')  # a writer died
     assert len(rows(s)) == 6
     s.change({"references_edge": Change(insert=edges(spark, [("a", "c")]))})
     assert len(rows(s)) == 7
