@@ -87,10 +87,8 @@ class Service:
         return graph.view(self._documents(), self.db.table("references_edge"), include_external, expand, self.settings.render_cap if limit is None else limit)
 
     def query(self, text: str) -> sql.Result:
-        """Read-only SQL over views named as the store's tables."""
-        for name, df in self.db.tables().items():
-            df.createOrReplaceTempView(name)
-        return sql.run(self.db.spark, text, self.settings.query_row_cap, self.settings.query_timeout_seconds)
+        """Read-only SQL over the store's tables, by their names."""
+        return sql.run(self.db.spark, text, self.settings.query_row_cap, self.settings.query_timeout_seconds, self.db.tables())
 
     def rebuild(self, version_id: str, pages: DataFrame) -> str:
         run = rebuild.enqueue(self.db, version_id)
