@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import base_slug, suffixed
-from .operators import changes, graph, links, obligations, search, versions
-from .plans import ingest, rebuild, sql, store
+from .operators import changes, embedding, graph, links, obligations, search, versions
+from .plans import indexes, ingest, rebuild, sql, store
 from .plans.ingest import Settings
 
 
 class Service:
     """The actor of a decision is an argument: who calls is for the layer above to know."""
 
-    def __init__(self, db: store.Store, settings: Settings | None = None, extractor: obligations.Extractor | None = None, embed: Callable[[str], list[float]] | None = None):
-        self.db, self.settings, self.extractor, self.embed = db, settings or Settings(), extractor or obligations.NullExtractor(), embed
+    def __init__(self, db: store.Store, settings: Settings | None = None, extractor: obligations.Extractor | None = None, embedder: embedding.Embedder | None = None, indexes: indexes.Indexes | None = None):
+        self.db, self.settings, self.extractor, self.embedder = db, settings or Settings(), extractor or obligations.NullExtractor(), embedder or embedding.NullEmbedder()
+        self.indexes, self.jobs = indexes, rebuild.Jobs(db, self.settings.job_timeout_seconds, self.settings.result_ttl_seconds)
 
     def health(self) -> dict:
         return {"status": "ok", "spark": self.db.spark.version}
 
     def ingest(self, filename: str):
-        return ingest.ingest(self.db, filename, self.settings.data_dir)
+        made = ingest.ingest(self.db, filename, self.settings.data_dir)
+        self.index()
+        return made
+
+    def index(self) -> None:
+        """Brings vectors and indexes up to date with the store's chunks."""
+        rebuild.embed(self.db, self.embedder)
+        if self.indexes is not None:
+            self.indexes.refresh(self.db, self.embedder)
 
     def reset(self) -> dict[str, int]:
         return self.db.clear()
@@ -84,19 +91,49 @@ class Service:
         return self.db.table("chunk").join(own.select("version_id"), "version_id", "left_semi").orderBy("ordinal")
 
     def graph(self, include_external: bool = False, expand: str | None = None, limit: int | None = None) -> graph.View:
-        return graph.view(self._documents(), self.db.table("references_edge"), include_external, expand, self.settings.render_cap if limit is None else limit)
+        return graph.view(self._documents(), self.db.table("references_edge"), include_external, expand, self.settings.graph_render_cap if limit is None else limit)
 
     def query(self, text: str) -> sql.Result:
         """Read-only SQL over the store's tables, by their names."""
         return sql.run(self.db.spark, text, self.settings.query_row_cap, self.settings.query_timeout_seconds, self.db.tables())
 
-    def rebuild(self, version_id: str, pages: DataFrame) -> str:
-        run = rebuild.enqueue(self.db, version_id)
-        rebuild.rebuild(self.db, run, version_id, pages, self.extractor)
+    def rebuild(self, version_id: str, pages: DataFrame, wait: float | None = None) -> str:
+        """Begins a rebuild in the background and returns its run; with `wait`, after that many seconds at most if it has not ended."""
+        run = self.jobs.submit(version_id, pages, self.extractor)
+        if wait is not None:
+            self.jobs.wait(run, wait)
         return run
 
     def rebuild_status(self, run_id: str) -> DataFrame:
-        return rebuild.status(self.db.table("job").where(F.col("run_id") == run_id))
+        return self.jobs.status(run_id)
+
+    def cancel_rebuild(self, run_id: str) -> None:
+        self.jobs.cancel(run_id)
+
+    def set_authority(self, version_id: str, name: str) -> str:
+        """Makes an authority the issuer of an edition; the authority's slug."""
+        authority = versions.named(self.db.spark.createDataFrame([(name,)], "name string"))
+        slug = authority.first()["slug"]
+        given = self.db.spark.createDataFrame([(version_id, slug)], "version_id string, authority_slug string")
+
+        def changes(t: dict[str, DataFrame]) -> dict[str, store.Change]:
+            edge = versions.issued(t["document_version"], t["authority"].unionByName(authority), given)
+            if edge.isEmpty():
+                raise graph.NotFoundError(version_id)
+            return {"authority": store.Change(insert=authority), "issued_by": store.Change(insert=edge)}
+
+        self.db.change(changes)
+        return slug
+
+    def add_entity(self, name: str, kind: str) -> str:
+        """An entity that obligations may apply to; its slug. One that is stored stays as it is."""
+        entity = versions.named(self.db.spark.createDataFrame([(name,)], "name string"), kind)
+        self.db.change({"entity": store.Change(insert=entity)})
+        return entity.first()["slug"]
+
+    def sources(self) -> DataFrame:
+        """How many documents each source describes, the most first."""
+        return graph.by_source(self.db.table("source"), self.db.table("describes"))
 
     def review_queue(self, limit: int = links.QUEUE_LIMIT) -> DataFrame:
         return links.review_queue(self.db.table("implements_proposed"), self.db.table("link_decision"), limit)
@@ -122,4 +159,5 @@ class Service:
         return rows, changes.unlinked(changed, t["implements"])
 
     def ask(self, question: str) -> search.Answer:
-        return search.ask(self.db.tables(), question, self.embed)
+        texts, vectors = (self.indexes.texts, self.indexes.vectors()) if self.indexes is not None else (None, None)
+        return search.ask(self.db.tables(), question, self.embedder, texts=texts, vectors=vectors)

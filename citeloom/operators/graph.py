@@ -146,3 +146,9 @@ def adjacency(documents: DataFrame, edges: DataFrame, versions: DataFrame) -> Da
 def named(listing: DataFrame, needle: str) -> DataFrame:
     """Rows whose name holds a needle, without regard to case and outer spaces."""
     return listing.where(F.contains(F.lower("name"), F.lower(F.btrim(F.lit(needle)))))
+
+
+def by_source(sources: DataFrame, describes: DataFrame) -> DataFrame:
+    """(kind, filename, documents) of each source, by how many documents it describes; a source of none has 0."""
+    n = describes.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("documents"))
+    return sources.join(n, "id", "left").select("kind", "filename", F.coalesce("documents", F.lit(0)).alias("documents")).orderBy(F.desc("documents"), "kind", "filename")

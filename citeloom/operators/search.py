@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +14,7 @@ from ..sources.shared import written
 from .obligations import primary_anchor
 
 # Ranks are fused as 1 / (60 + rank); legs in order; rows of an answer.
-RRF, LEGS, ROWS, LIMIT = 60, ("vector", "fulltext", "graph"), 10, 10
+RRF, LEGS, ROWS, LIMIT, MOST = 60, ("vector", "fulltext", "graph"), 10, 10, 500
 K1, B = 1.2, 0.75
 NOTHING = "The corpus does not state an answer to this question."
 GROUNDED = "grounded_passages"
@@ -100,14 +99,23 @@ def hydrate(hits: DataFrame, chunks: DataFrame, versions: DataFrame, documents:
     return full.select("chunk_id", "score", "legs", "document", "section_path", "page", "text").orderBy(F.desc("score"), "chunk_id")
 
 
-def retrieve(t: dict[str, DataFrame], query: str, embed: Callable[[str], list[float]] | None = None, limit: int = LIMIT) -> DataFrame:
-    """Hybrid retrieval over the store's tables: each leg brings max(4 * limit, 20) candidates. Without an embedder there is no vector leg."""
+def retrieve(t: dict[str, DataFrame], query: str, embedder=None, limit: int = LIMIT, texts=None, vectors=None) -> DataFrame:
+    """Hybrid retrieval over the store's tables: each leg brings max(4 * limit, 20) candidates.
+
+    embedder: the port of operators/embedding.py, whose model must be that of the stored vectors;
+    without one, or of no dimensions, there is no vector leg. texts and vectors are indexes of the
+    chunks, operators/text_index.py and operators/vector_index.py; without them all chunks are read.
+    """
     if not query.strip():
         raise ValueError("the query is blank")
+    if not 1 <= limit <= MOST:
+        raise ValueError(f"limit must be 1 to {MOST}")
     k = max(4 * limit, 20)
-    legs = ranked(bm25(t["chunk"], query, k), "fulltext")
-    if embed is not None and (vector := embed(query)):
-        legs = ranked(nearest(t["chunk"], vector, k, index=t.get("embedding_index")), "vector").unionByName(legs)
+    legs = ranked(texts.search(query, k) if texts is not None else bm25(t["chunk"], query, k), "fulltext")
+    if embedder is not None and embedder.dimensions:
+        vector = embedder.embed([query])[0]
+        near = vectors.near(vector, k, embedder.model_id) if vectors is not None else nearest(t["chunk"], vector, k, index=t.get("embedding_index"), model_id=embedder.model_id)
+        legs = ranked(near, "vector").unionByName(legs)
     legs = legs.unionByName(graph_leg(seeds(legs, k), t["anchored_in"], t["implements"], k))
     return hydrate(fuse(legs, limit), t["chunk"], t["document_version"], t["document"])
 
@@ -183,7 +191,7 @@ def compose(citations: list[dict]) -> str:
     return "\n".join(["The corpus states:", *(f'— "{c["quote"]}" ({c["document"]}, {"/".join(c["section_path"])}, p. {c["page"]})' for c in citations)])
 
 
-def ask(t: dict[str, DataFrame], question: str, embed: Callable[[str], list[float]] | None = None, limit: int = ROWS) -> Answer:
+def ask(t: dict[str, DataFrame], question: str, embedder=None, limit: int = ROWS, texts=None, vectors=None) -> Answer:
     """A template's rows, or else retrieved passages, as a cited answer; at most `limit` rows reach the driver."""
     if not question or not question.strip() or len(question) > 1000:
         raise ValueError("a question has 1 to 1000 characters")
@@ -195,19 +203,6 @@ def ask(t: dict[str, DataFrame], question: str, embed: Callable[[str], list[floa
         rows = [r.asDict() for r in found.withColumn("quote", truncated(said)).collect()]
     used = chosen.name if rows else GROUNDED
     if not rows:
-        rows = [r.asDict() for r in retrieve(t, question, embed, limit).withColumn("quote", truncated(F.col("text"))).collect()]
+        rows = [r.asDict() for r in retrieve(t, question, embedder, limit, texts, vectors).withColumn("quote", truncated(F.col("text"))).collect()]
     citations = [{k: r[k] for k in ("document", "section_path", "page", "quote")} for r in rows]
     return Answer(compose(citations), citations, used)
-
-
-def embed_missing(chunks: DataFrame, model_id: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """(chunk_id, embedding, embedding_model) for chunks with text that have no vector, or another model's; a vector an Arrow batch's row."""
-    import pandas as pd
-
-    todo = chunks.where(F.col("embedding").isNull() | (F.col("embedding_model") != model_id)).where(F.length(F.btrim("text")) > 0)
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"chunk_id": b["chunk_id"], "embedding": embed(list(b["text"])), "embedding_model": model_id})
-
-    return todo.select("chunk_id", "text").mapInPandas(run, "chunk_id string, embedding array<float>, embedding_model string")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import base_slug
+
 
 class ConflictError(ValueError):
     """An edition is stored with other contents."""
@@ -32,9 +34,29 @@ def comparable(versions: DataFrame) -> DataFrame:
     return chain(versions).where("supersedes IS NOT NULL")
 
 
-def merged(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """stored and those of new it does not have; an edition stored with another checksum is a conflict."""
+class UnknownDocumentError(LookupError):
+    """An edition is of a document that is not stored."""
+
+
+def merged(stored: DataFrame, new: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """stored and those of new it does not have; an edition stored with another checksum is a conflict, one of an unknown document is refused."""
+    if documents is not None:
+        lost = new.join(documents, "slug", "left_anti").select("slug").limit(3).collect()
+        if lost:
+            raise UnknownDocumentError(", ".join(str(r.slug) for r in lost))
     clash = new.alias("n").join(stored.alias("s"), "version_id").where(F.col("n.checksum") != F.col("s.checksum")).select("version_id").limit(3).collect()
     if clash:
         raise ConflictError(", ".join(r.version_id for r in clash))
     return stored.unionByName(new.join(stored, "version_id", "left_anti"))
+
+
+def issued(versions: DataFrame, authorities: DataFrame, given: DataFrame) -> DataFrame:
+    """issued_by edges (version_id, authority_slug) of given ones whose edition and authority are both there, without repeats."""
+    known = given.join(versions.select("version_id"), "version_id", "left_semi").join(authorities.select(F.col("slug").alias("authority_slug")), "authority_slug", "left_semi")
+    return known.select("version_id", "authority_slug").distinct()
+
+
+def named(names: DataFrame, kind: str | None = None) -> DataFrame:
+    """(slug, name) of authorities, or (slug, name, kind) of entities, from names: the slug follows from the name, the first name in order keeps it."""
+    rows = names.select(base_slug(F.btrim("name")).alias("slug"), F.btrim("name").alias("name")).where("name <> ''").groupBy("slug").agg(F.min("name").alias("name"))
+    return rows if kind is None else rows.withColumn("kind", F.lit(kind))

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import logging
 import os
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import version_id
-from ..operators import chunking, graph, versions
+from ..operators import chunking, embedding, graph, obligations, versions
 from ..sources import issuance, manifest
-from .store import Store, created, insert_absent, insert_edges, upsert
+from ..sources.shared import written
+from .store import Change, Store, created
 
 log = logging.getLogger(__name__)
+#: Groups of suspected duplicates that an answer tells of at most.
+TOLD = 1_000
 
 
 @dataclass(frozen=True)
@@ -27,28 +32,25 @@ class Ingested:
 def ingest_manifest(store: Store, path: str, filename: str) -> Ingested:
     """Documents, external names, edges and provenance of a manifest."""
     spark, t = store.spark, store.tables()
-    rows = manifest.read(spark, path).persist()
+    rows = written(manifest.read(spark, path), "manifest")
     c = manifest.corpus(rows)
-    slugs = graph.manifest_slugs(c.names, t["document"].select("name", "slug")).persist()
+    slugs = written(graph.manifest_slugs(c.names, t["document"].select("name", "slug")), "slugs")
     new = slugs.select("slug", "name")
-    edges = graph.edges_by_slug(c.edges, slugs)
+    edges = written(graph.edges_by_slug(c.edges, slugs), "edges")
     source = f"manifest:{filename}"
-    documents = upsert(t["document"], new, ("slug",))
     described = rows.select("name").distinct().join(slugs, "name").select(F.lit(source).alias("source_id"), "slug")
     made = created(t["document"], new, ("slug",)).first()["created"]
     linked = created(t["references_edge"], edges, ("source_slug", "target_slug")).first()["created"]
     skipped = c.self_references.first()["n"]
-    twice = [r.names for r in manifest.suspected_duplicates(c.names).orderBy("canonical").collect()]
-    store.commit(
+    twice = [r.names for r in manifest.suspected_duplicates(c.names).orderBy("canonical").limit(TOLD).collect()]
+    store.change(
         {
-            "document": documents,
-            "references_edge": insert_edges(t["references_edge"], edges, documents),
-            "source": upsert(t["source"], spark.createDataFrame([(source, "manifest", filename)], t["source"].schema), ("id",)),
-            "describes": insert_absent(t["describes"], described, ("source_id", "slug")),
+            "document": Change(upsert=new),
+            "references_edge": Change(insert=edges),  # both ends are among the slugs
+            "source": Change(upsert=spark.createDataFrame([(source, "manifest", filename)], t["source"].schema)),
+            "describes": Change(insert=described),
         }
     )
-    rows.unpersist()
-    slugs.unpersist()
     return Ingested(made, linked, skipped, twice)
 
 
@@ -59,28 +61,30 @@ def ingest_pages(store: Store, pages, filename: str, uri: str, checksum: str) ->
     if found is None or found["name"] is None:
         raise manifest.SourceError(f"{filename!r} has no recognisable header")
     names = spark.createDataFrame([(found["name"], 0), *[(r, i + 1) for i, r in enumerate(found["references"])]], "name string, position int")
-    slugs = graph.batch_slugs(names, t["document"].select("name", "slug")).persist()
-    documents = insert_absent(t["document"], slugs.select("slug", "name"), ("slug",))
+    slugs = written(graph.batch_slugs(names, t["document"].select("name", "slug")), "slugs")
     own = slugs.where(F.col("name") == found["name"]).first()["slug"]
     edges = slugs.where(F.col("slug") != own).select(F.lit(own).alias("source_slug"), F.col("slug").alias("target_slug"))
     edition = spark.range(1).select(F.lit(own).alias("slug"), F.lit(found["effective_date"]).cast("date").alias("d"), F.lit(checksum).alias("checksum"), F.lit(uri).alias("source_uri"), F.current_timestamp().alias("ingested_at"))
     edition = edition.select(version_id(F.col("slug"), F.col("d"), F.col("checksum")).alias("version_id"), "slug", F.date_format("d", "yyyy-MM-dd").alias("effective_date"), "checksum", "source_uri", "ingested_at")
     ident = edition.first()["version_id"]
-    new = chunking.chunks(pages.select("doc", F.lit(ident).alias("version_id"), "page_no", "text")).persist()
+    new = written(chunking.chunks(pages.select("doc", F.lit(ident).alias("version_id"), "page_no", "text")), "chunks")
     if new.isEmpty():
         raise manifest.SourceError(f"{filename!r} has no text")
     source = f"document:{filename}"
-    chunk = t["chunk"].where(F.col("version_id") != ident)
-    store.commit(
-        {
-            "document": documents,
-            "references_edge": insert_edges(t["references_edge"], edges, documents),
-            "source": upsert(t["source"], spark.createDataFrame([(source, "document", filename)], t["source"].schema), ("id",)),
-            "describes": insert_absent(t["describes"], spark.createDataFrame([(source, own)], t["describes"].schema), ("source_id", "slug")),
-            "document_version": versions.merged(t["document_version"], edition),
-            "chunk": chunk.unionByName(new, allowMissingColumns=True),
+    known = slugs.select("slug", "name")
+
+    def changes(t: dict[str, DataFrame]) -> dict[str, Change]:
+        versions.merged(t["document_version"], edition, t["document"].unionByName(known))  # conflicts raise
+        return {
+            "document": Change(insert=known),
+            "references_edge": Change(insert=edges),
+            "source": Change(upsert=spark.createDataFrame([(source, "document", filename)], t["source"].schema)),
+            "describes": Change(insert=spark.createDataFrame([(source, own)], t["describes"].schema)),
+            "document_version": Change(insert=edition),
+            "chunk": Change(delete=spark.createDataFrame([(ident,)], "version_id string"), upsert=new),
         }
-    )
+
+    store.change(changes)
     return ident
 
 
@@ -89,24 +93,54 @@ def ingest(store: Store, filename: str, folder: str):
     path = manifest.resolve(filename, folder)
     if not manifest.is_document(path):
         return ingest_manifest(store, path, filename)
-    pages = issuance.pages_of(store.spark, path).persist()
+    pages = written(issuance.pages_of(store.spark, path), "pages")
     return ingest_pages(store, pages.drop("checksum"), filename, path, pages.first()["checksum"])
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Limits and places, from the environment."""
+    """Limits and places; from_env() reads each from the variable of its name in capitals, and refuses one of the wrong kind."""
 
     data_dir: str = "data"
-    render_cap: int = graph.RENDER_CAP
+    graph_render_cap: int = graph.RENDER_CAP
     query_row_cap: int = 1000
     query_timeout_seconds: float = 10.0
     auto_ingest: str = ""
+    job_timeout_seconds: float = 1_800.0
+    result_ttl_seconds: int = 86_400
+    extractor: str = "null"
+    extractor_url: str = ""
+    extractor_model: str = ""
+    embedder: str = "null"
+    embedding_dimensions: int = 64
 
     @staticmethod
-    def from_env() -> Settings:
-        get = os.environ.get
-        return Settings(get("DATA_DIR", "data"), int(get("GRAPH_RENDER_CAP", graph.RENDER_CAP)), int(get("QUERY_ROW_CAP", 1000)), float(get("QUERY_TIMEOUT_SECONDS", 10)), get("AUTO_INGEST", ""))
+    def from_env(env: Mapping[str, str] | None = None) -> Settings:
+        env, found = os.environ if env is None else env, {}
+        for f in fields(Settings):
+            if (text := env.get(f.name.upper())) is not None:
+                try:
+                    found[f.name] = type(f.default)(text)
+                except ValueError as e:
+                    raise ValueError(f"{f.name.upper()} is {text!r}, no {type(f.default).__name__}") from e
+        return Settings(**found)
+
+    def extractor_port(self) -> obligations.Extractor:
+        """The extractor that is named: null, modal or http."""
+        if self.extractor == "http":
+            if not self.extractor_url or not self.extractor_model:
+                raise ValueError("an http extractor needs EXTRACTOR_URL and EXTRACTOR_MODEL")
+            return obligations.HttpExtractor(self.extractor_url, self.extractor_model)
+        ports = {"null": obligations.NullExtractor, "modal": obligations.ModalExtractor}
+        if self.extractor not in ports:
+            raise ValueError(f"there is no extractor {self.extractor!r}")
+        return ports[self.extractor]()
+
+    def embedder_port(self) -> embedding.Embedder:
+        """The embedder that is named: null or hash."""
+        if self.embedder not in ("null", "hash"):
+            raise ValueError(f"there is no embedder {self.embedder!r}")
+        return embedding.HashEmbedder(self.embedding_dimensions) if self.embedder == "hash" else embedding.NullEmbedder()
 
 
 def auto_ingest(store: Store, settings: Settings) -> bool:

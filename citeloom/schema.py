@@ -24,7 +24,7 @@ TABLES: dict[str, tuple[str, tuple[str, ...], str]] = {
     "change": ("change_id string, from_version_id string, to_version_id string, obligation_id string, kind string, section_path array<string>, statement string, previous_statement string, modality string, summary string", ("change_id",), "derived"),
     "extraction_cache": ("key string, payload_json string", ("key",), "derived"),
     "embedding_index": ("name string, model_id string, dimensions int", ("name",), "derived"),
-    "job": ("run_id string, version_id string, state string, done int, total int, error string, at timestamp", ("run_id", "state"), "derived"),
+    "job": ("run_id string, version_id string, state string, done int, total int, error string, at timestamp", ("run_id", "state", "done"), "derived"),
 }
 
 #: The column that writes of a table are scoped by, a function of its key: rows of one value lie together in the store.

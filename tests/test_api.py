@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.api import Service
-from citeloom.operators import graph, obligations, versions
-from citeloom.plans import ingest, rebuild, store
+from citeloom.operators import embedding, graph, obligations, versions
+from citeloom.plans import indexes, ingest, rebuild, store
 from citeloom.streaming import dedup
 
 OLD = "DOD INSTRUCTION 5000.88\nEffective: November 18, 2020\n1. Rules\n1.1. A\nThe Head shall report yearly.\n1.2. B\nThe Staff must keep records.\nREFERENCES\nDoD Directive 5000.01, “Defense,” 2020\n"
@@ -20,7 +20,7 @@ def test_service_round(spark, tmp_path):
     s.ingest("m.csv")
     old, new = (ingest.ingest_pages(s.db, pages(spark, t), "x.pdf", "file:///x.pdf", c * 64) for t, c in ((OLD, "a"), (NEW, "b")))
     for v, t in ((old, OLD), (new, NEW)):
-        run = s.rebuild(v, pages(spark, t))
+        run = s.rebuild(v, pages(spark, t), wait=120)
         assert s.rebuild_status(run).first()["state"] == "finished"
     assert [r.supersedes for r in s.versions("dodi-5000-88").collect()] == [None, old]
     assert s.chunks("dodi-5000-88").select("version_id").distinct().first()[0] == new
@@ -35,9 +35,16 @@ def test_service_round(spark, tmp_path):
         s.triage(old)
     with pytest.raises(rebuild.UnknownEditionError):
         rebuild.enqueue(s.db, "none@2020-01-01")
-    assert rebuild.embed(s.db, "m", lambda texts: [[float(len(t)), 1.0] for t in texts]) == s.db.table("chunk").count()
-    assert tuple(s.db.table("embedding_index").first()) == ("chunk", "m", 2) and s.db.table("chunk").where("embedding IS NULL").isEmpty()
+    s.embedder, s.indexes = embedding.HashEmbedder(16), indexes.Indexes(spark, f"file://{tmp_path}/indexes")
+    s.index()
+    assert tuple(s.db.table("embedding_index").first()) == ("chunk", "hash-16", 16) and s.db.table("chunk").where("embedding IS NULL").isEmpty()
+    assert rebuild.embed(s.db, s.embedder) == 0 and s.indexes.texts.texts().count() == s.indexes.vectors().rows.sum() == s.db.table("chunk").count()
     assert s.ask("who shall report?").citations
+    assert s.set_authority(new, "The Office") == "the-office" and s.add_entity("Staff", "role") == "staff"
+    assert [tuple(r) for r in s.db.table("issued_by").collect()] == [(new, "the-office")]
+    with pytest.raises(graph.NotFoundError):
+        s.set_authority("none@1", "The Office")
+    assert [tuple(r) for r in s.sources().collect()] == [("document", "x.pdf", 1), ("manifest", "m.csv", 1)]
     slug = s.create_document("Policy  X")
     with pytest.raises(versions.ConflictError):
         s.create_document("Policy  X")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom import schema
 from citeloom.functions import text as X
-from citeloom.operators import changes, chunking, links, obligations, search, versions
+from citeloom.operators import changes, chunking, embedding, links, obligations, search, versions
 from citeloom.plans import ingest, rebuild, sql, store
 from citeloom.sources import issuance
 
@@ -144,7 +144,8 @@ def test_search(spark):
     with pytest.raises(search.IndexMismatchError):
         search.nearest(chunk, [1.0, 0.0], 2, index=index, model_id="mine")
     t = {"chunk": chunk, "document_version": spark.createDataFrame([(f"v{i}", f"d{i}") for i in (1, 2, 3)], "version_id string, slug string"), "document": spark.createDataFrame([(f"d{i}", f"Doc {i}") for i in (1, 2, 3)], "slug string, name string"), "anchored_in": spark.createDataFrame([("o1", "a"), ("o2", "b")], "obligation_id string, chunk_id string"), "implements": spark.createDataFrame([("o2", "o1")], "source_id string, target_id string"), "obligation": clauses(spark, [("v1", ["1"], "The Director shall act.", "SHALL")]).withColumn("obligation_id", F.lit("o1")), "change": schema.empty(spark, "change")}
-    rows = search.retrieve(t, "engineering 5000.88", lambda q: [1.0, 0.0], 3).collect()
+    port = embedding.LoadedEmbedder("m", 2, lambda: lambda texts: [[1.0, 0.0] for _ in texts])
+    rows = search.retrieve(t, "engineering 5000.88", port, 3).collect()
     assert rows[0].chunk_id == "a" and rows[0].legs == ["vector", "fulltext"] and {r.chunk_id for r in rows} == {"a", "b", "c"}
     assert {r.chunk_id: r.legs for r in search.retrieve(t, "5000.88", limit=3).collect()} == {"a": ["fulltext"], "b": ["graph"]}
     assert search.ask(t, "Who must act as the director?").template_used == "grounded_passages"
