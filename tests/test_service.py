@@ -1,0 +1,227 @@
+"""Rebuilds as a service, the extractor's and the embedder's ports, settings, authorities."""
+
+import json
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+import pytest
+from pyspark.sql import functions as F
+
+from citeloom.operators import embedding, obligations, search, versions
+from citeloom.plans import indexes, ingest, rebuild, store
+
+TEXT = "DOD INSTRUCTION 5000.88\nEffective: November 18, 2020\n1. Rules\n" + "".join(f"1.{i}. Part\nThe Head shall report item {i}.\n" for i in range(1, 8))
+
+
+def pages(spark):
+    return spark.createDataFrame([("x", 1, TEXT)], "doc string, page_no int, text string")
+
+
+@pytest.fixture()
+def db(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/db")
+    ingest.ingest_pages(s, pages(spark), "x.pdf", "file:///x.pdf", "a" * 64)
+    return s
+
+
+VERSION = "dodi-5000-88@2020-11-18"
+
+
+def test_progress_rises_chunk_batch_by_batch(spark, db):
+    seen = []
+    run = rebuild.enqueue(db, VERSION)
+    counts = rebuild.rebuild(db, run, VERSION, pages(spark), obligations.ModalExtractor(), on_progress=lambda d, n: seen.append((d, n)), batch=2)
+    total = db.at("chunk", VERSION).count()
+    assert counts["chunks"] == total and counts["obligations"] == 7
+    assert [n for _, n in seen] == [total] * len(seen) and [d for d, _ in seen] == sorted({d for d, _ in seen}) and seen[-1][0] == total and len(seen) >= total // 2
+    rows = [(r.state, r.done, r.total) for r in db.table("job").orderBy("at", "done").collect()]
+    assert rows[0] == ("queued", 0, 0) and rows[1] == ("started", 0, total) and rows[-1] == ("finished", total, total)
+    assert [d for s, d, _ in rows if s == "started"] == [0, *[d for d, _ in seen]]
+
+
+def slow():
+    class Slow(obligations.ModalExtractor):
+        adapter_id = "slow"
+
+        def extract(self, text, section_path):
+            time.sleep(30)
+            return []
+
+    return Slow()
+
+
+def test_a_late_job_is_stopped_and_can_be_queued_again(spark, db):
+    before = db.current()["obligation"] if "obligation" in db.current() else None
+    jobs = rebuild.Jobs(db, timeout=15)
+    began = time.time()
+    run = jobs.submit(VERSION, pages(spark), slow(), batch=1)
+    with pytest.raises(rebuild.BusyError):
+        rebuild.enqueue(db, VERSION, 15)
+    row = jobs.wait(run, 80)
+    assert row["state"] == "failed" and row["error"] == "cancelled" and time.time() - began < 80
+    assert (db.current().get("obligation")) == before
+    again = jobs.submit(VERSION, pages(spark), obligations.ModalExtractor())
+    jobs.timeout = 200
+    assert jobs.wait(again, 120)["state"] == "finished"
+
+
+def test_lost_and_expired_jobs(spark, db):
+    old = spark.createDataFrame([("lost", VERSION, "started", 0, 5, None)], rebuild.JOB).withColumn("at", F.current_timestamp() - F.expr("INTERVAL 2 HOURS"))
+    db.change({"job": store.Change(upsert=old)})
+    run = rebuild.enqueue(db, VERSION)  # a run that has been silent for longer than a job may take is no obstacle
+    rebuild.expire(db, ttl=3600)
+    assert {r.run_id for r in db.table("job").collect()} == {run}
+    assert rebuild.Jobs(db).status("lost").isEmpty() and rebuild.Jobs(db).status(run).first()["state"] == "queued"
+    with pytest.raises(rebuild.UnknownEditionError):
+        rebuild.enqueue(db, "none@2020-01-01")
+
+
+def answers(text):
+    good = {"statement": text.strip(), "modality": "SHALL", "actor": "Head", "deadline": None, "conditions": None, "confidence": 0.75}
+    return {
+        "good": [good],
+        "none": [],
+        "modality": [good | {"modality": "WILL"}],
+        "confidence": [good | {"confidence": 2}],
+        "field": [good | {"mood": "x"}],
+        "statement": [good | {"statement": " "}],
+        "actor": [good | {"actor": 3}],
+    }[text.split()[0]]
+
+
+class Stub(BaseHTTPRequestHandler):
+    asked = {}
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        text = body["prompt"].rsplit("\n\n", 1)[1]
+        self.asked[text] = self.asked.get(text, 0) + 1
+        if text.startswith("late"):
+            time.sleep(1.5)
+        if text.startswith("down") or text.startswith("once") and self.asked[text] == 1:
+            self.send_error(503)
+            return
+        said = "no json" if text.startswith("broken") else json.dumps({"obligations": answers(text.replace("once", "good").replace("late", "good"))})
+        out = json.dumps({"response": said}).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(out)))
+        self.end_headers()
+        try:
+            self.wfile.write(out)
+        except BrokenPipeError:
+            pass
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture(scope="module")
+def url():
+    server = HTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/"
+    server.shutdown()
+
+
+def test_table_function_over_a_model_server(spark, url):
+    """Good, broken and late answers in one query: each bad chunk is one row with its error."""
+    kinds = ["good", "none", "once", "modality", "confidence", "field", "statement", "actor", "broken", "down", "late"]
+    spark.createDataFrame([(k, f"{k} text", ["1"]) for k in kinds] + [("null", None, None)], "id string, text string, section_path array<string>").coalesce(1).createOrReplaceTempView("asked_chunks")
+    obligations.register(spark, obligations.HttpExtractor(url, "m", timeout=0.5, tries=2, pause=0.01), "asked_of")
+    got = {r.id: r for r in spark.sql("SELECT id, o.* FROM asked_chunks, LATERAL asked_of(text, section_path) o").collect()}
+    assert set(got) == set(kinds) - {"none"}
+    assert (got["good"].statement, got["good"].modality, got["good"].confidence, got["good"].error) == ("good text", "SHALL", 0.75, None)
+    assert got["once"].error is None and Stub.asked["once text"] == 2
+    for k, said in (("modality", "modality 'WILL'"), ("confidence", "confidence 2"), ("field", "mood"), ("statement", "no statement"), ("actor", "actor is no text"), ("broken", "JSONDecodeError"), ("down", "503"), ("late", "timed out")):
+        assert got[k].statement is None and said in got[k].error, (k, got[k].error)
+    assert Stub.asked["down text"] == 2  # tries in all
+
+
+def test_extraction_refuses_what_is_invalid(spark, url):
+    chunk = spark.createDataFrame([("k1", "v", "good text", ["1"], 0, 1), ("k2", "v", "none", ["1"], 1, 1)], "chunk_id string, version_id string, text string, section_path array<string>, ordinal int, page int")
+    cache = spark.createDataFrame([], "key string, payload_json string")
+    port = obligations.HttpExtractor(url, "m", timeout=2, tries=1)
+    found, anchors, full = obligations.extract(chunk, port, cache, workers=1)
+    assert [r.statement for r in found.collect()] == ["good text"] and full.count() == 2 and anchors.count() == 1
+    with pytest.raises(Exception, match="modality 'WILL'"):
+        obligations.missing(chunk.withColumn("text", F.lit("modality x")), port, cache).collect()
+    keys = {obligations.with_key(chunk, port, v).first()["key"] for v in ("1", "2")}
+    assert len(keys) == 2  # another prompt, another key
+
+
+def counted_load(counter):
+    def load():
+        counter.add(1)
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    return load
+
+
+def test_a_model_is_loaded_once_a_worker_and_widths_are_checked(spark, db):
+    loads = spark.sparkContext.accumulator(0)
+    port = embedding.LoadedEmbedder(f"counted-{time.time()}", 2, counted_load(loads))
+    chunks = db.table("chunk")
+    many = chunks
+    for _ in range(4):
+        many = many.unionAll(many)
+    n = embedding.missing(many.repartition(24), port).count()
+    assert n == 16 * chunks.count() and 1 <= loads.value <= 4  # 24 tasks on four workers
+    assert rebuild.embed(db, port) == chunks.count() and rebuild.embed(db, port) == 0
+    kept = db.current()
+    wrong = embedding.LoadedEmbedder("wrong", 3, lambda: lambda texts: [[1.0, 2.0] for _ in texts])
+    with pytest.raises(Exception, match="2"):
+        rebuild.embed(db, wrong)
+    assert db.current() == kept and rebuild.embed(db, embedding.NullEmbedder()) == 0
+    with pytest.raises(search.IndexMismatchError):
+        search.retrieve(db.tables(), "report", embedding.HashEmbedder(2))  # of equal width, but another model
+    assert search.retrieve(db.tables(), "report", port, 3).count() == 3
+
+
+def test_indexed_retrieval_equals_the_scan(spark, db, tmp_path):
+    port, found = embedding.HashEmbedder(8), indexes.Indexes(spark, f"file://{tmp_path}/ix")
+    rebuild.embed(db, port)
+    found.refresh(db, port)
+    t = db.tables()
+    want = [(r.chunk_id, round(r.score, 9)) for r in search.retrieve(t, "report item 3", port, 4).collect()]
+    vectors = found.vectors()
+    vectors.probes = len(vectors.centroids)
+    assert want == [(r.chunk_id, round(r.score, 9)) for r in search.retrieve(t, "report item 3", port, 4, found.texts, vectors).collect()]
+    db.change({"chunk": store.Change(delete=spark.createDataFrame([(VERSION,)], "version_id string"))})
+    found.refresh(db, port)
+    assert found.texts.texts().isEmpty() and found.texts.search("report", 3).count() == 0
+    for limit in (0, 501):
+        with pytest.raises(ValueError, match="limit"):
+            search.retrieve(t, "report", limit=limit)
+
+
+def test_editions_of_unknown_documents_are_refused(spark):
+    new = spark.createDataFrame([("a@1", "a", "c"), ("b@1", "b", "c")], "version_id string, slug string, checksum string")
+    documents = spark.createDataFrame([("a", "A")], "slug string, name string")
+    with pytest.raises(versions.UnknownDocumentError, match="b"):
+        versions.merged(new.limit(0), new, documents)
+    assert versions.merged(new.limit(0), new.where("slug = 'a'"), documents).count() == 1
+    authorities = versions.named(spark.createDataFrame([("The  Office",), (" The  Office ",), ("",)], "name string"))
+    assert [tuple(r) for r in authorities.collect()] == [("the-office", "The  Office")]
+    given = spark.createDataFrame([("a@1", "the-office"), ("a@1", "the-office"), ("z@1", "the-office"), ("a@1", "none")], "version_id string, authority_slug string")
+    assert [tuple(r) for r in versions.issued(new, authorities, given).collect()] == [("a@1", "the-office")]
+
+
+def test_settings():
+    s = ingest.Settings.from_env({"QUERY_ROW_CAP": "7", "QUERY_TIMEOUT_SECONDS": "0.5", "DATA_DIR": "/x", "EXTRACTOR": "modal", "EMBEDDER": "hash", "EMBEDDING_DIMENSIONS": "12", "JOB_TIMEOUT_SECONDS": "9"})
+    assert (s.query_row_cap, s.query_timeout_seconds, s.data_dir, s.job_timeout_seconds) == (7, 0.5, "/x", 9.0)
+    assert s.extractor_port().adapter_id == "modal-1" and s.embedder_port().dimensions == 12
+    assert ingest.Settings.from_env({}) == ingest.Settings() and ingest.Settings().embedder_port().dimensions == 0
+    for bad in ({"QUERY_ROW_CAP": "many"}, {"EXTRACTOR": "http"}, {"EXTRACTOR": "x"}):
+        with pytest.raises(ValueError):
+            ingest.Settings.from_env(bad).extractor_port()
+
+
+def test_auto_ingest(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("Document Name,References,Type\nA,\"['B']\",x\n")
+    (tmp_path / "bad.csv").write_text("Name\nA\n")
+    s = store.Store(spark, f"file://{tmp_path}/db2")
+    of = lambda name: ingest.Settings(data_dir=f"file://{tmp_path}", auto_ingest=name)
+    assert not ingest.auto_ingest(s, of("")) and not ingest.auto_ingest(s, of("bad.csv")) and s.is_empty()
+    assert ingest.auto_ingest(s, of("m.csv")) and s.table("document").count() == 2
+    assert not ingest.auto_ingest(s, of("m.csv"))
