@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import changes, chunking, graph, links, obligations, search, versions
+from .operators import changes, chunking, graph, links, obligations, search, text_index, vector_index, versions
 from .plans import rebuild, store
 from .plans import sql as bounded
 from .sources import issuance, manifest
+from .sources.shared import new_folder, written
+from .sources.tables import table
 from .streaming import dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +31,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 # -- citation graph: a page is a document, what it links to are its references
 
 _PAIRS = """pairs AS (SELECT url AS source, trim(t) AS target FROM pages, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) u(t) WHERE trim(t) <> ''),
@@ -52,9 +50,10 @@ def _manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = manifest.corpus(_manifest(spark, d))
-    slugs = graph.manifest_slugs(c.names)
-    return slugs.join(c.names, "name").select("slug", "name", "is_external"), graph.edges_by_slug(c.edges, slugs)
+    """Documents and edges by slug; names and references are read from the pages once."""
+    c = manifest.corpus(written(_manifest(spark, d), "manifest"))
+    names = written(graph.manifest_slugs(c.names).join(c.names, "name").select("slug", "name", "is_external"), "names")
+    return names, graph.edges_by_slug(c.edges, names.select("name", "slug"))
 
 
 @query(f"WITH {_PAIRS} SELECT name, is_external FROM names")
@@ -134,6 +133,25 @@ def suspected_duplicates(spark, d):
     return found.select("canonical", F.size("names").cast("bigint").alias("n"), F.col("names")[0].alias("first"))
 
 
+@query("""SELECT canonical, count(*) AS n, min(name) AS first FROM (SELECT DISTINCT p_type || ' (' || p_size || ')' AS name, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS canonical FROM part) GROUP BY canonical HAVING count(*) > 1""")
+def suspected_names(spark, d):
+    """Names that differ in what stands in brackets alone."""
+    names = table(spark, d, "part").select(F.concat(F.col("p_type"), F.lit(" ("), "p_size", F.lit(")")).alias("name"))
+    found = manifest.suspected_duplicates(names)
+    return found.select("canonical", F.size("names").cast("bigint").alias("n"), F.col("names")[0].alias("first"))
+
+
+@query(f"""WITH {_SUPPLY} SELECT slug, coalesce((SELECT count(*) FROM edges WHERE source_slug = slug), 0) AS refs, coalesce((SELECT count(*) FROM edges WHERE target_slug = slug), 0) AS cited_by,
+(SELECT count(DISTINCT year(l_shipdate)) FROM lineitem WHERE 's' || l_suppkey = slug) AS version_count FROM (SELECT 's' || s_suppkey AS slug FROM supplier)""")
+def graph_listing(spark, d):
+    """Documents with both ways of references and their editions; a supplier is a document, a year of its shipments an edition."""
+    li = table(spark, d, "lineitem")
+    own, other = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("s"), F.col("l_partkey") % 97)
+    edges = li.where(F.col("l_suppkey") != F.col("l_partkey") % 97).select(own.alias("source_slug"), other.alias("target_slug")).distinct()
+    listed = graph.adjacency(table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("slug")), edges, li.select(own.alias("slug"), F.year("l_shipdate").alias("version_id")))
+    return listed.select("slug", F.size("references").cast("bigint").alias("refs"), F.size("referenced_by").cast("bigint").alias("cited_by"), "version_count")
+
+
 # -- names, identities, words
 
 @query("""SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'document') AS slug, substr(sha256(p_name), 1, 8) AS suffix,
@@ -230,6 +248,22 @@ def link_proposals(spark, d):
     return _proposed(spark, d)
 
 
+_CITING = """a AS (SELECT 'c' || c_custkey AS source_id, 'DoDI 5000.' || (10 + c_custkey % 90) AS cite, 'The ' || lower(c_mktsegment) || ' trade acts under DoDI 5000.' || (10 + c_custkey % 90) AS text FROM customer),
+b AS (SELECT 's' || s_suppkey AS target_id, 'DoDI 5000.' || (10 + s_suppkey % 90) AS cite, 'Supplies of DoDI 5000.' || (10 + s_suppkey % 90) || ' follow ' || CASE s_suppkey % 3 WHEN 0 THEN 'building plans' WHEN 1 THEN 'household rules' ELSE 'trade acts' END AS text FROM supplier)"""
+
+
+@query(f"""WITH {_CITING}, x AS (SELECT source_id, cite, {_WORDS} AS w FROM a), y AS (SELECT target_id, cite, {_WORDS} AS w FROM b),
+p AS (SELECT source_id, target_id, least(1.0, len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w))::DOUBLE + CASE WHEN x.cite = y.cite THEN 0.25 ELSE 0 END) AS confidence FROM x, y)
+SELECT source_id, target_id, round(confidence, 6) AS confidence FROM p WHERE confidence >= 0.30""")
+def link_citing(spark, d):
+    """Clauses that cite issuances: a shared one counts a quarter."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    plans = F.when(F.col("s_suppkey") % 3 == 0, "building plans").when(F.col("s_suppkey") % 3 == 1, "household rules").otherwise("trade acts")
+    ours = c.select(F.concat(F.lit("c"), "c_custkey").alias("obligation_id"), F.concat(F.lit("The "), F.lower("c_mktsegment"), F.lit(" trade acts under DoDI 5000."), 10 + F.col("c_custkey") % 90).alias("statement"))
+    theirs = s.select(F.concat(F.lit("s"), "s_suppkey").alias("obligation_id"), F.concat(F.lit("Supplies of DoDI 5000."), 10 + F.col("s_suppkey") % 90, F.lit(" follow "), plans).alias("statement"))
+    return links.score_pairs(ours, theirs).select("source_id", "target_id", F.round("confidence", 6).alias("confidence"))
+
+
 @query(f"WITH {_PROPOSED}, {_DECIDED} SELECT p.* FROM proposed p ANTI JOIN decided USING (source_id, target_id) ORDER BY confidence DESC, source_id, target_id LIMIT 50")
 def link_review_queue(spark, d):
     return links.review_queue(_proposed(spark, d), _decided(spark, d))
@@ -392,6 +426,26 @@ def search_vector(spark, d):
     return _vector(spark, d).select("doc_id", F.round("score", 4).alias("score"))
 
 
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 4) AS score FROM bm")
+def search_postings(spark, d):
+    """The full-text leg from an index in two segments, the second of which takes the place of some texts of the first."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    index = text_index.TextIndex(spark, new_folder(spark, "postings"), "doc_id", "long")
+    index.update(documents.withColumn("text", F.when(F.col("doc_id") % 10 == 0, "another text").otherwise(F.col("text"))))
+    index.update(documents.where("doc_id % 10 = 0"))
+    return index.search(" ".join(_TERMS), 40).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_KNN} SELECT doc_id, round(score, 4) AS score FROM knn")
+def search_index(spark, d):
+    """The vector leg from an inverted-file index, which is exact in that it reads all cells that may hold a neighbour."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    index = vector_index.build(vectors, new_folder(spark, "vectors"), "given", "doc_id")
+    if index is None:
+        return spark.createDataFrame([], "doc_id long, score double")
+    return index.exact(list(vectors.where("doc_id = 0").first()["embedding"]), 40).select("doc_id", F.round("score", 4).alias("score"))
+
+
 @query(f"""WITH {_BM25}, {_KNN}, legs AS (SELECT doc_id, 'fulltext' AS leg, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm UNION ALL SELECT doc_id, 'vector', row_number() OVER (ORDER BY score DESC, doc_id) FROM knn)
 SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score, string_agg(leg, ' ' ORDER BY leg DESC) AS legs FROM legs GROUP BY doc_id ORDER BY sum(1.0::DOUBLE / (60 + r)) DESC, doc_id LIMIT 10""")
 def search_fused(spark, d):
@@ -430,6 +484,23 @@ def search_lookup(spark, d):
     return c.where(search._holds(F.col("c_name"), "R#0000001") | search._holds(F.col("c_mktsegment"), "auto")).orderBy("c_name", "c_custkey").limit(10).select("c_custkey", "c_name")
 
 
+@query("""WITH o AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY o_custkey)
+SELECT c_name AS statement, n_name AS document, (o.k % 1000)::INTEGER AS page, o_orderpriority AS quote FROM customer JOIN o ON o_custkey = c_custkey JOIN orders ON o_orderkey = o.k JOIN nation ON n_nationkey = c_nationkey
+WHERE contains(lower(c_name), 'auto') OR contains(lower(coalesce(c_mktsegment, '')), 'auto') ORDER BY n_name, page, c_name LIMIT 10""")
+def template_obligations(spark, d):
+    """What obliges an actor: a customer is a clause, its segment the actor, its nation an edition, its orders chunks."""
+    customer, orders, nation = (table(spark, d, t) for t in ("customer", "orders", "nation"))
+    clause, key = F.concat(F.lit("o"), "c_custkey"), F.concat(F.lit("k"), "o_orderkey")
+    t = {
+        "obligation": customer.select(clause.alias("obligation_id"), F.concat(F.lit("v"), "c_nationkey").alias("version_id"), F.col("c_name").alias("statement"), F.lit("SHALL").alias("modality"), F.col("c_mktsegment").alias("actor")),
+        "anchored_in": orders.select(F.concat(F.lit("o"), "o_custkey").alias("obligation_id"), key.alias("chunk_id")),
+        "chunk": orders.select(key.alias("chunk_id"), F.col("o_orderkey").alias("ordinal"), (F.col("o_orderkey") % 1000).cast("int").alias("page"), F.array().cast("array<string>").alias("section_path"), F.col("o_orderpriority").alias("text")),
+        "document_version": nation.select(F.concat(F.lit("v"), "n_nationkey").alias("version_id"), F.col("n_name").alias("slug")),
+        "document": nation.select(F.col("n_name").alias("slug"), F.col("n_name").alias("name")),
+    }
+    return search.TEMPLATES["obligations_for_actor"](t, "AUTO").select("statement", "document", "page", "quote")
+
+
 # -- store: upserts, inserts, deletes on customers and orders
 
 @query("""SELECT c_custkey, c_nationkey, c_name FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, c_nationkey, 'new ' || c_name FROM customer WHERE c_custkey % 5 = 0""")
@@ -467,6 +538,47 @@ def job_status(spark, d):
     return rebuild.status(e).select("run_id", "state", "done")
 
 
+_EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS source_slug, 's' || l_suppkey AS target_slug FROM lineitem)"
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source_slug"), F.concat(F.lit("s"), "l_suppkey").alias("target_slug")).distinct()
+
+
+@query(f"""WITH {_EDGES} SELECT source_slug, target_slug FROM e WHERE source_slug NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_partkey % 7 = 0)
+UNION SELECT 'p' || p_partkey, 'new' FROM part WHERE p_partkey % 5 = 0""")
+def store_parts(spark, d):
+    """Edges in a store of small parts; one commit takes the places of some parts out and puts new edges in."""
+    db = store.Store(spark, new_folder(spark, "store"), part_rows=20_000)
+    db.commit({"references_edge": _edges(spark, d)})
+    slug, part = F.concat(F.lit("p"), "p_partkey").alias("source_slug"), table(spark, d, "part")
+    new = part.where("p_partkey % 5 = 0").select(slug, F.lit("new").alias("target_slug"))
+    db.change({"references_edge": store.Change(delete=part.where("p_partkey % 7 = 0").select(slug), insert=new)})
+    return db.table("references_edge")
+
+
+@query(f"""WITH {_SUPPLY}, d AS (SELECT source_slug AS slug FROM edges UNION SELECT target_slug FROM edges)
+SELECT 'document' AS kind, slug AS a, '' AS b FROM d WHERE slug <> 's1' UNION ALL SELECT 'edge', source_slug, target_slug FROM edges WHERE source_slug <> 's1' AND target_slug <> 's1'""")
+def store_deletion(spark, d):
+    """A document goes with its edges, in one commit of the parts that hold them."""
+    li = table(spark, d, "lineitem")
+    a, b = F.col("l_suppkey"), F.col("l_partkey") % 97
+    edges = written(li.where(a != b).select(F.concat(F.lit("s"), a).alias("source_slug"), F.concat(F.lit("s"), b).alias("target_slug")).distinct(), "edges")
+    slugs = edges.select(F.explode(F.array("source_slug", "target_slug")).alias("slug")).distinct()
+    db = store.Store(spark, new_folder(spark, "store"), part_rows=1_000)
+    db.commit({"references_edge": edges, "document": slugs.select("slug", F.col("slug").alias("name"))})
+    db.change(lambda t: store.deletion(t, "s1"))
+    left = db.table("document").select(F.lit("document").alias("kind"), F.col("slug").alias("a"), F.lit("").alias("b"))
+    return left.unionByName(db.table("references_edge").select(F.lit("edge").alias("kind"), F.col("source_slug").alias("a"), F.col("target_slug").alias("b")))
+
+
+@query("SELECT r_name AS kind, n_name AS filename, count(c_custkey) AS documents FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY r_name, n_name")
+def source_counts(spark, d):
+    """How many documents each source describes; a nation is a source, its customers are documents."""
+    sources = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.col("r_name").alias("kind"), F.col("n_name").alias("filename"))
+    return graph.by_source(sources, table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("source_id"), F.col("c_custkey").alias("slug")))
+
+
 # -- streams
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -480,9 +592,8 @@ def stream_windows(spark, d):
 
 def _adhoc(name: str, text: str, sql: str | None = None) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        for t in ("lineitem", "orders", "customer", "nation"):
-            table(spark, d, t).createOrReplaceTempView(t)
-        return spark.sql(text)
+        """Through the guard of ad-hoc SQL, over views that do not stay behind."""
+        return bounded.query(spark, text, {t: spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "orders", "customer", "nation")})
 
     QUERIES[name], SQL[name] = run, sql or text
 
