@@ -42,28 +42,42 @@ def path_after(headings: Column) -> Column:
     return F.aggregate(headings, F.array(F.lit(PREAMBLE)), pushed)
 
 
+def headings(pages: DataFrame) -> DataFrame:
+    """(doc, version_id, heads array<struct<page_no, line_no, heading>>) in reading order, for documents that have any.
+
+    Only lines that open a section leave the scan; one that stands on FURNITURE_PAGES pages does not open any.
+    """
+    group = ["doc", "version_id"]
+    found = page_lines(pages).withColumn("heading", section_heading(F.col("line"))).where("heading IS NOT NULL").withColumn("mark", stripped(F.col("line")))
+    marks = furniture(found).select(*group, F.col("line").alias("mark"))
+    found = found.join(marks, [*group, "mark"], "left_anti")
+    return found.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("page_no", "line_no", "heading"))).alias("heads"))
+
+
 def sections(pages: DataFrame) -> DataFrame:
     """(doc, version_id, section, section_path, page, occurrence, body) of sections with any text, in reading order.
 
     A line belongs to the section that it opens; a section's page is where it opened; occurrence
-    counts earlier sections of the same path that have text.
+    counts earlier sections of the same path that have text. A page stays whole until it is cut where
+    its headings stand, and its pieces meet where the page was sent to: texts are shuffled once, by document.
     """
-    group = ("doc", "version_id")
-    lines = page_lines(pages)
-    marks = furniture(lines).select(*group, F.col("line").alias("mark")).withColumn("is_furniture", F.lit(True))
-    lines = lines.withColumn("mark", stripped(F.col("line"))).join(marks, [*group, "mark"], "left")
-    lines = lines.withColumn("heading", F.when(F.col("is_furniture").isNull(), section_heading(F.col("line"))))
-    order = W.partitionBy(*group).orderBy("page_no", "line_no")
-    lines = lines.withColumn("section", F.count("heading").over(order))
-    # the path needs the headings alone; one array of headings for each document
-    heads = lines.where("heading IS NOT NULL").groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "heading"))), lambda s: s["heading"]).alias("headings"))
-    text = lines.groupBy(*group, "section").agg(
-        F.min("page_no").alias("first_page"), F.max(F.when(F.col("heading").isNotNull(), F.col("page_no"))).alias("opened"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "line_no", "line"))), lambda s: s["line"]), "\n").alias("body")
-    )
-    text = text.withColumn("body", stripped(F.col("body"))).where("body <> ''").join(heads, list(group), "left")
-    text = text.withColumn("section_path", path_after(F.slice(F.coalesce("headings", F.array().cast("array<string>")), F.lit(1), F.col("section").cast("int"))))
+    group = ["doc", "version_id"]
+    none = F.array().cast("array<struct<page_no:int,line_no:int,heading:string>>")
+    heads = headings(pages.withColumn("page_no", F.col("page_no").cast("int")))
+    met = pages.select(*group, F.col("page_no").cast("int").alias("page_no"), lines_of(F.col("text")).alias("lines")).join(heads, group, "left").withColumn("heads", F.coalesce("heads", none))
+    own = F.filter("heads", lambda h: h["page_no"] == F.col("page_no"))
+    met = met.select(*group, "page_no", "lines", "heads", F.size(F.filter("heads", lambda h: h["page_no"] < F.col("page_no"))).alias("before"), F.concat(F.array(F.lit(0)), F.transform(own, lambda h: h["line_no"]), F.array(F.size("lines"))).alias("cuts"))
+    # a piece from each cut to the next; the first goes on with the section that the page before ended in
+    pieces = met.select(*group, "page_no", "lines", "heads", "cuts", F.explode(F.sequence(F.lit(0), F.size("cuts") - 2)).alias("k"), "before")
+    begin, end = F.get("cuts", F.col("k")), F.get("cuts", F.col("k") + 1)
+    pieces = pieces.where(end > begin).select(*group, "page_no", "heads", (F.col("before") + F.col("k")).alias("section"), F.array_join(F.slice("lines", begin + 1, end - begin), "\n").alias("text"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda s: s["text"]), "\n")
+    text = pieces.groupBy(*group, "section").agg(F.first("heads").alias("heads"), stripped(body).alias("body")).where("body <> ''")
+    opened = F.get("heads", F.col("section") - 1)["page_no"]
+    path = path_after(F.transform(F.slice("heads", F.lit(1), F.col("section")), lambda h: h["heading"]))
+    text = text.select(*group, "section", path.alias("section_path"), F.when(F.col("section") > 0, opened).otherwise(1).alias("page"), "body")
     again = W.partitionBy(*group, "section_path").orderBy("section")
-    return text.select(*group, "section", "section_path", F.coalesce("opened", F.lit(1)).alias("page"), (F.row_number().over(again) - 1).alias("occurrence"), "body")
+    return text.select(*group, "section", "section_path", "page", (F.row_number().over(again) - 1).alias("occurrence"), "body")
 
 
 def ends_of(text: str, mark: str) -> list[int]:

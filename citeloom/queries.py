@@ -221,6 +221,30 @@ def chunk_pages(spark, d):
     return chunking.chunks(pages).withColumn("section_path", X.path_text(F.col("section_path")))
 
 
+_OPENED = "CASE WHEN o_orderkey % 11 = 0 THEN 'CHAPTER ' || (o_orderkey % 7 + 1) WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 4 + 1) || '.' WHEN o_orderkey % 3 = 1 THEN (o_orderkey % 4 + 1) || '.' || (o_orderkey % 5 + 1) || '.' ELSE 'plain' END"
+_PATH = "array_to_string(path, '/')"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT 'v' || o_custkey AS version_id, year(o_orderdate)::INTEGER AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS n, {_OPENED} AS opens, o_orderpriority AS said, o_orderkey FROM orders),
+h AS (SELECT *, sum(CASE WHEN opens = 'plain' THEN 0 ELSE 1 END) OVER (PARTITION BY version_id ORDER BY n) AS section FROM l),
+heads AS (SELECT version_id, section, page, rtrim(opens, '.') AS heading FROM h WHERE opens <> 'plain'),
+r AS (SELECT DISTINCT version_id, 0::HUGEINT AS section, ['(preamble)'] AS path, 1 AS page FROM l UNION ALL
+SELECT r.version_id, x.section, CASE WHEN NOT regexp_matches(x.heading, '^[0-9]') OR r.path = ['(preamble)'] THEN [x.heading]
+ELSE list_append(list_filter(r.path, lambda p: NOT regexp_matches(p, '^[0-9]') OR (len(p) - len(replace(p, '.', '')) < len(x.heading) - len(replace(x.heading, '.', '')) AND starts_with(x.heading, p || '.'))), x.heading) END, x.page
+FROM r JOIN heads x ON x.version_id = r.version_id AND x.section = r.section + 1),
+b AS (SELECT version_id, section, string_agg(CASE WHEN opens = 'plain' THEN '' ELSE opens || ' Head ' || o_orderkey || chr(10) END || 'said ' || said, chr(10) ORDER BY n) AS text FROM h GROUP BY version_id, section),
+s AS (SELECT version_id, section, path, r.page, text, row_number() OVER (PARTITION BY version_id, {_PATH} ORDER BY section) - 1 AS occurrence FROM b JOIN r USING (version_id, section))
+SELECT substr(sha256(version_id || '|' || {_PATH} || '|' || occurrence || '|0'), 1, 32) AS chunk_id, version_id, text, page, {_PATH} AS section_path, (row_number() OVER (PARTITION BY version_id ORDER BY section) - 1)::INTEGER AS ordinal FROM s""")
+def chunk_sections(spark, d):
+    """Sections by a fold over headings: a customer is a document, a year of orders a page, an order a line or two, of which some open sections."""
+    o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("page_no"), "o_orderkey", F.expr(_OPENED).alias("opens"), "o_orderpriority")
+    line = F.concat(F.when(F.col("opens") == "plain", "").otherwise(F.concat("opens", F.lit(" Head "), "o_orderkey", F.lit("\n"))), F.lit("said "), "o_orderpriority")
+    pages = o.groupBy("o_custkey", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    # a heading tells its order's key, as equal lines on three pages would be running heads
+    made = chunking.chunks(pages.select(F.col("o_custkey").cast("string").alias("doc"), F.concat(F.lit("v"), "o_custkey").alias("version_id"), "page_no", "text"))
+    return made.withColumn("section_path", X.path_text(F.col("section_path")))
+
+
 # -- links: documents against benchmark passages; labels are people's verdicts
 
 _WORDS = f"list_filter(list_distinct(regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[a-z][a-z\\-]{{2,}}')), lambda x: NOT list_contains({_STOP}, x))"
