@@ -2,10 +2,11 @@
 
 A page is read as words and tags in order. Words score above zero and tags below, with weights
 from pages whose content region is marked; one linear scan finds the contiguous run of the highest
-sum, and the text blocks in it are the main text. What is never content by its markup (menus,
-forms, adverts, scripts, comments of readers, ...) is left out before and splits no block: by its
-tag, role or hiding, or by a whole class name or id of a fixed list, unless it holds a marked
-region or half of the page's words.
+sum, and the text blocks in it are the main text. Where a page marks its content itself (article,
+else main), each marked region is scanned for itself, and tags in it score zero: tables, figures or
+lists end no region. What is never content by its markup (menus, forms, adverts, scripts, comments
+of readers, ...) is left out before and splits no block: by its tag, role or hiding, or by a name of
+its class or id, whole or in part, whatever its size; see _read() for elements around marked regions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,17 +33,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Left out whole, wherever they stand; `header` only outside marked regions.
 NEVER = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object svg canvas dialog menu noembed noframes xmp title audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Whole class names, or ids, of elements that are not content, fixed values; longer names that only contain one say nothing.
+#: Class names or ids of elements that are not content, fixed values: whole names, parts of names between - or _, and those of readers' comments.
 NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist comment-list respond disqus cookie cookies cookie-banner cookie-notice "
     "consent notice alert popup modal sidebar side-bar left-sidebar right-sidebar widget widgets menu main-menu navbar nav navigation toolbar footer site-footer page-footer masthead site-header "
     "page-header share sharing social social-share social-links related related-posts recommended promo sponsor sponsored newsletter subscribe signup login search search-form pagination pager skip-link".split()
 )
+PARTS = frozenset(
+    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus respond cookie cookies consent popup modal sidebar widget widgets navbar nav "
+    "navigation toolbar footer masthead newsletter promo sponsor sponsored pagination pager".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+#: A name with one of these tells of what stands beside the element, of its state, or that there is none.
+BESIDE = frozenset("with has no without open closed".split())
 ROLE = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"))
 
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 _INSIDE = re.compile(r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+")
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'])(class|id|role|hidden|aria-hidden)(?![^\s=/>])\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_PARTS = re.compile("[-_]+")
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
@@ -81,50 +91,64 @@ def raw_end(page: str, name: str, at: int) -> tuple[int, int]:
     return end.start() if end else len(page), close + 1 if close >= 0 else len(page)
 
 
-def _may_go(attributes: str) -> bool:
-    """Whether an element's class, id, role or hiding says that it is not content."""
+def _may_go(attributes: str) -> str:
+    """What an element's class, id, role or hiding says: "" nothing, "comments" readers' comments, "other" that it is no content else."""
+    said = ""
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
-        if (key in ("class", "id") and not NAMES.isdisjoint(value.split())) or (key == "role" and value in ROLE) or (key == "hidden" and value != "until-found") or (key == "aria-hidden" and value == "true"):
-            return True
-    return False
+        if key in ("class", "id"):
+            for name in value.split():
+                parts = set(_PARTS.split(name))
+                if parts & COMMENTS and not parts & BESIDE:
+                    return "comments"
+                if name in NAMES or (parts & PARTS and not parts & BESIDE):
+                    said = "other"
+        elif (key == "role" and value in ROLE) or (key == "hidden" and value != "until-found") or (key == "aria-hidden" and value == "true"):
+            said = "other"
+    return said
 
 
 @dataclass
 class _Element:
     name: str
     at: int  # its place among the events
-    words: int  # words before it
     regions: int  # marked regions before it
-    may_go: bool
+    may_go: str
     marked: bool  # stands in a marked region
 
 
-def _read(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[int, int]]]:
-    """Events, and the elements that are left out as (first event, event after it)."""
-    seen: list[tuple[str, str, bool]] = []
+def _read(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[int, int]]]:
+    """Events, and the elements that are left out as (first event, event after it).
+
+    An element that its attributes speak against goes if it holds no marked region, or stands in one
+    itself (what is marked in it is beside the content, such as teasers of other articles). One of
+    readers' comments goes too if there are marked regions outside it; articles can be comments.
+    Where a page marks nothing and would be left without a word, the element of the most words that
+    goes by a name other than of comments is a wrapper, and stays.
+    """
+    seen: list[tuple[str, str, int]] = []
     stack: list[_Element] = []
     open_ = Counter()
-    out: list[tuple[int, int, bool, bool, int]] = []  # first event, event after it, by its tag alone, within a marked region, words
-    words = hidden = regions = inside = at = upto = 0  # hidden: open elements that go by their tag; upto: markup before it was read as raw text
+    out: list[tuple[int, int, bool, str, bool, int]] = []  # first event, event after it, by its tag alone, what is said of it, within a marked region, regions in it
+    hidden = regions = at = upto = 0  # hidden: open elements that go by their tag; upto: markup before it was read as raw text
+
+    def level() -> int:
+        """2 within an article, 1 within main alone, else 0."""
+        return 2 if open_["article"] else 1 if open_["main"] else 0
 
     def close() -> _Element:
-        nonlocal hidden, inside
+        nonlocal hidden
         e = stack.pop()
         open_[e.name] -= 1
-        inside -= e.name in MARKED
         never = e.name in NEVER or (e.name == "header" and not e.marked)
         hidden -= never
-        if never or (e.may_go and regions == e.regions):
-            out.append((e.at, len(seen), never, e.marked, words - e.words))
+        if never or e.may_go:
+            out.append((e.at, len(seen), never, e.may_go, e.marked, regions - e.regions))
         return e
 
     def text(a: int, b: int) -> None:
-        nonlocal words
         if b > a:
-            t = html.unescape(page[a:b])
-            seen.append(("", t, inside > 0))
-            words += 0 if hidden else len(t.split())
+            seen.append(("", html.unescape(page[a:b]), level()))
 
     for start, end, closing, name, attributes in tags(page):
         if start < upto:
@@ -137,39 +161,38 @@ def _read(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[int, int]]
             if open_[name]:
                 while close().name != name:
                     pass
-                seen.append((f"/{name}", "", inside > 0))
+                seen.append((f"/{name}", "", level()))
             continue
         if (name in _CLOSES_P and stack and stack[-1].name == "p") or (name == "li" and stack and stack[-1].name == "li"):
             close()
         alone = name in VOID or attributes.endswith("/")
         if name in RAW and not alone:
             at = upto = raw_end(page, name, end)[1]
-            seen.append((f"!{name}", "", inside > 0))
+            seen.append((f"!{name}", "", level()))
             continue
-        seen.append((name, "", inside > 0))
+        seen.append((name, "", level()))
         if not alone:
-            never = name in NEVER or (name == "header" and not inside)
-            may_go = not never and name not in ("html", "body", "article", "main") and bool(attributes) and _may_go(attributes)
-            stack.append(_Element(name, len(seen) - 1, words, regions, may_go, inside > 0))
+            never = name in NEVER or (name == "header" and not level())
+            may_go = "" if never or name in ("html", "body") or not attributes else _may_go(attributes)
+            if name in MARKED and may_go != "comments":
+                may_go = ""
+            stack.append(_Element(name, len(seen) - 1, regions, may_go, level() > 0))
             open_[name] += 1
             regions += name in MARKED and not hidden
-            inside += name in MARKED
             hidden += never
     text(at, len(page))
     while stack:
         close()
-    return seen, sorted((a, b) for a, b, never, marked, own in out if never or (regions and not marked) or 2 * own < words)
-
+    gone = sorted((a, b) for a, b, never, said, marked, held in out if never or not held or marked or (said == "comments" and held < regions))
+    named = {(a, b) for a, b, never, said, _, _ in out if said == "other" and not never}
+    if not regions and named and not any(text.split() for tag, text, _ in _left(seen, gone) if not tag):
+        before = list(accumulate((0 if tag else len(text.split()) for tag, text, _ in seen), initial=0))
+        gone.remove(max(sorted(named), key=lambda ab: before[ab[1]] - before[ab[0]]))
+    return seen, gone
 
-def events(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(tag, text, marked): a tag's name (an end tag with a slash) with no text, or no tag with a decoded text; marked: within a marked region.
 
-    An element that is left out gives its name with a mark before it, and nothing else; it ends
-    with its end tag or with that of an element around it. By its attributes alone no element goes
-    that holds a marked region; nor, within one or on a page without any, one that holds half of
-    the page's words: such are wrappers, and the scores decide.
-    """
-    seen, gone = _read(page)
+def _left(seen: list[tuple[str, str, int]], gone: list[tuple[int, int]]) -> Iterator[tuple[str, str, int]]:
+    """The events but for elements that are left out, each of which gives its name with a mark before it."""
     at = 0
     for a, b in gone:
         if a >= at:
@@ -179,6 +202,15 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
     yield from seen[at:]
 
 
+def events(page: str) -> Iterator[tuple[str, str, int]]:
+    """(tag, text, level): a tag's name (an end tag with a slash) with no text, or no tag with a decoded text; level: 2 within an article, 1 within main, else 0.
+
+    An element that is left out gives its name with a mark before it, and nothing else; it ends
+    with its end tag or with that of an element around it.
+    """
+    yield from _left(*_read(page))
+
+
 def tally(page: str) -> Counter:
     """(token, in, out) counts of a page with just one marked region, by token: "word", or a tag's name; else nothing."""
     found: Counter = Counter()
@@ -186,9 +218,9 @@ def tally(page: str) -> Counter:
         return found
     for tag, text, marked in events(page):
         if not tag:
-            found["word", marked] += len(text.split())
+            found["word", marked > 0] += len(text.split())
         elif tag[0] != "!" and tag.strip("/") not in MARKED:
-            found[tag, marked] += 1
+            found[tag, marked > 0] += 1
     return found
 
 
@@ -199,9 +231,8 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return {n: max(0.1, min(2.0, w)) if n == "word" else min(-0.01, w) for n, w in odds.items()} | {"word": max(0.1, min(2.0, odds.get("word", 1.0)))}
 
 
-def extract(page: str | None, weight: dict[str, float]) -> str:
-    """Blocks of the best region, white space made single, joined by line ends. Of equal regions the first and shortest."""
-    seen = [(tag, text) for tag, text, _ in events(page or "")]
+def best_run(seen: list[tuple[str, str]], weight: dict[str, float], marked: bool) -> tuple[int, int]:
+    """(first event, event after the last) of the run of the highest sum, of equal ones the first and shortest; tags score zero in a marked region."""
     best, best_from, best_to, total, begin = 0.0, 0, 0, 0.0, 0
     word, other = weight["word"], weight.get("div", -1.0)
     for i, (tag, text) in enumerate(seen):
@@ -209,18 +240,34 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
             total, begin = 0.0, i
         if not tag:
             total += word * len(text.split())
-        elif tag[0] != "!":
-            total += -0.01 if tag.strip("/") in MARKED else weight.get(tag, -0.01 if tag.strip("/") in INLINE else other)
+        elif tag[0] != "!" and not marked:
+            total += weight.get(tag, -0.01 if tag.strip("/") in INLINE else other)
         if total > best:
             best, best_from, best_to = total, begin, i + 1
-    blocks, now = [], []
-    for tag, text in seen[best_from:best_to]:
-        if not tag:
-            now.append(text)
-        elif tag.strip("/!") not in INLINE:
-            blocks.append("".join(now))
-            now = []
-    blocks.append("".join(now))
+    return best_from, best_to
+
+
+def extract(page: str | None, weight: dict[str, float]) -> str:
+    """Blocks of the best run of each marked region, or of the page if it marks none, white space made single, joined by line ends."""
+    seen = list(events(page or ""))
+    top = max((level for tag, text, level in seen if not tag and text.strip()), default=0)
+    regions: list[list[tuple[str, str]]] = [[]]
+    for tag, text, level in seen:
+        if level >= top:
+            regions[-1].append((tag, text))
+        elif regions[-1]:
+            regions.append([])
+    blocks = []
+    for region in regions:
+        first, last = best_run(region, weight, top > 0)
+        now = []
+        for tag, text in region[first:last]:
+            if not tag:
+                now.append(text)
+            elif tag.strip("/!") not in INLINE:
+                blocks.append("".join(now))
+                now = []
+        blocks.append("".join(now))
     return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 

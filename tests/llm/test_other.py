@@ -363,9 +363,34 @@ def test_long_comments_go_where_the_region_is_marked():
     assert html_extract.extract(page, weight) == ("text " * 30).strip()
 
 
+ROWS = "".join(f"<tr><td>row</td><td>{i}</td></tr>" for i in range(200))
+KEPT = [
+    (f"<article><p>one two</p><table>{ROWS}</table><p>last words</p></article>", "one two\n" + "\n".join(f"row\n{i}" for i in range(200)) + "\nlast words"),
+    ("<article><p>one two</p><div><div><div><img src=x><img src=y></div></div></div><div><figure><img><figcaption>cap</figcaption></figure></div><p>closing words</p></article>", "one two\ncap\nclosing words"),
+    ("<article><h1>Short</h1><pre>a  b\nc</pre><ul><li>x<li>y</ul><ol><li>z</ol></article>", "Short\na b c\nx\ny\nz"),
+    ("<div class=links>" + "word " * 200 + "</div><article>nine words are all that this small article has</article>", "nine words are all that this small article has"),
+    ("<article>" + "text " * 60 + "<section id=comments>" + "reader " * 200 + "</section></article>", ("text " * 60).strip()),
+    ("<main><h1>T</h1><p>a b c</p><div class='related-posts'><article>teaser</article></div></main>", "T\na b c"),
+    ("<article><p>own text</p></article><section class='comments'><article class='comment'>nice</article><article class='comment depth-2'>yes</article></section>", "own text"),
+    ("<article><p>own text</p></article><article class='comment'>nice</article>", "own text"),
+    ("<article><header><h1>Head</h1></header><p>x y</p><footer>tags</footer></article>", "Head\nx y"),
+    ("<article>first part</article><div>between</div><article>second part</article>", "first part\nsecond part"),
+    *[(f"<article><p>a b c d</p><div class='{name}'>no content at all here</div><p>e f</p></article>", "a b c d\ne f") for name in ("post-comments", "comments-area", "cookie-bar", "sidebar-right", "ad-slot", "x widget_text", "top-banner")],
+    *[(f"<article><p>a b</p><div class='{name}'>stays here</div></article>", "a b\nstays here") for name in ("adhesive", "shadow", "headed", "commentary", "has-sidebar", "comments-open", "address")],
+    ("<div class='comments'><p>only readers speak here</p></div>", ""),
+]
+
+
+@pytest.mark.parametrize(("body", "want"), KEPT)
+def test_marked_regions_are_kept_whole(body, want):
+    weight = html_extract.weights({("word", True): 500, ("word", False): 80, ("p", True): 40, ("p", False): 1, ("div", False): 60, ("td", False): 5})
+    for w in (weight, html_extract.weights({})):
+        assert html_extract.extract(f"<html><body><nav>a b</nav>{body}<footer>f</footer></body></html>", w) == want
+
+
 def test_hard_pages_take_linear_time():
     weight = html_extract.weights({})
-    for page in ("<a " * 350_000 + '"', "<a x=\"" * 150_000, "<" * 1_000_000, "<!--" * 250_000, "<title>" * 150_000, "<div>" * 100_000 + "</x>" * 100_000, "<a href='" * 110_000, "x" * 1_000_000):
+    for page in ("<a " * 350_000 + '"', "<a x=\"" * 150_000, "<" * 1_000_000, "<!--" * 250_000, "<title>" * 150_000, "<div>" * 100_000 + "</x>" * 100_000, "<a href='" * 110_000, "x" * 1_000_000, "<div class=widget>" * 60_000 + "a"):
         began = time.time()
         html_extract.extract(page, weight)
         warc.read_page(page)
