@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import base_slug, suffixed
+from .functions.text import base_slug, suffixed, uri_path
 from .operators import changes, embedding, graph, links, obligations, search, versions
 from .plans import indexes, ingest, rebuild, sql, store
 from .plans.ingest import Settings
+from .sources import issuance
 
 
 class Service:
@@ -97,6 +98,13 @@ class Service:
         """Read-only SQL over the store's tables, by their names."""
         return sql.run(self.db.spark, text, self.settings.query_row_cap, self.settings.query_timeout_seconds, self.db.tables())
 
+    def pages_of(self, version_id: str) -> DataFrame:
+        """Pages of an edition's stored file, found by the path of its source."""
+        row = self.db.table("document_version").where(F.col("version_id") == version_id).select(uri_path(F.col("source_uri")).alias("path")).first()
+        if row is None or not row["path"]:
+            raise graph.NotFoundError(version_id)
+        return issuance.pages_of(self.db.spark, f"file://{row['path']}")
+
     def rebuild(self, version_id: str, pages: DataFrame, wait: float | None = None) -> str:
         """Begins a rebuild in the background and returns its run; with `wait`, after that many seconds at most if it has not ended."""
         run = self.jobs.submit(version_id, pages, self.extractor)

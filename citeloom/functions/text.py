@@ -130,3 +130,13 @@ def truncated(text: Column, limit: int = 600) -> Column:
 def uri_path(uri: Column) -> Column:
     """The path of a URI, percent decoded."""
     return F.url_decode(F.replace(F.parse_url(uri, F.lit("PATH")), F.lit("+"), F.lit("%2B")))
+
+
+def token_digest(token: Column) -> Column:
+    """What is kept of an access token: sha256 of its UTF-8 bytes, in hexadecimal digits."""
+    return F.sha2(token, 256)
+
+
+def is_digest(text: Column) -> Column:
+    """Whether a text has the form of token_digest()."""
+    return F.coalesce(text.rlike("^[0-9a-f]{64}$"), F.lit(False))

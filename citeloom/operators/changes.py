@@ -72,3 +72,8 @@ def unlinked(changes: DataFrame, links: DataFrame) -> DataFrame:
     known = links.select(F.col("target_id").alias("obligation_id")).distinct().withColumn("linked", F.lit(True))
     got = changes.join(known, "obligation_id", "left").agg(F.count_distinct("change_id").alias("total"), F.count_distinct(F.when(F.col("linked"), F.col("change_id"))).alias("linked_changes"))
     return got.withColumn("unlinked_changes", F.col("total") - F.col("linked_changes"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Triage rows with a line for each: its score with one decimal, the kind of change and the document."""
+    return rows.withColumn("line", F.concat_ws(" ", F.format_string("%.1f", "score"), "kind", "document"))

@@ -152,3 +152,20 @@ def by_source(sources: DataFrame, describes: DataFrame) -> DataFrame:
     """(kind, filename, documents) of each source, by how many documents it describes; a source of none has 0."""
     n = describes.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("documents"))
     return sources.join(n, "id", "left").select("kind", "filename", F.coalesce("documents", F.lit(0)).alias("documents")).orderBy(F.desc("documents"), "kind", "filename")
+
+
+def with_editions(listing: DataFrame) -> DataFrame:
+    """Documents of a listing that have editions."""
+    return listing.where("version_count > 0")
+
+
+def in_degree(listing: DataFrame) -> DataFrame:
+    """A listing with cited: by how many documents each is referenced."""
+    return listing.withColumn("cited", F.size("referenced_by"))
+
+
+def labelled(edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """(key, source, target): an edge's key and the names of its ends, or their slugs where a name is not known."""
+    name = lambda c, a: documents.select(F.col("slug").alias(c), F.col("name").alias(a))
+    found = edges.join(name("source_slug", "s"), "source_slug", "left").join(name("target_slug", "t"), "target_slug", "left")
+    return found.select(F.concat_ws(" ", "source_slug", "target_slug").alias("key"), F.coalesce("s", "source_slug").alias("source"), F.coalesce("t", "target_slug").alias("target"))

@@ -227,3 +227,12 @@ def rates(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
 def micro_average(scores: DataFrame) -> DataFrame:
     """Rates of the pooled counts, in one row."""
     return rates(scores.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gold", "predicted", "matched", "hits", "same")]))
+
+
+GOLD = "passage string, obligations array<struct<statement:string,modality:string>>"
+
+
+def gold(spark: SparkSession, path: str) -> DataFrame:
+    """(passage, statement, modality) of JSON fixtures, one object or a list of them a file; a passage without clauses has no rows."""
+    read = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(GOLD).json(path)
+    return read.select("passage", F.inline("obligations")).withColumn("modality", checked_modality(F.col("modality")))

@@ -152,6 +152,17 @@ def graph_listing(spark, d):
     return listed.select("slug", F.size("references").cast("bigint").alias("refs"), F.size("referenced_by").cast("bigint").alias("cited_by"), "version_count")
 
 
+@query(f"""WITH {_SUPPLY}, n AS (SELECT 's' || s_suppkey AS slug, s_name AS name FROM supplier WHERE s_suppkey % 4 <> 0)
+SELECT source_slug || ' ' || target_slug AS key, coalesce(a.name, source_slug) AS source, coalesce(b.name, target_slug) AS target FROM edges LEFT JOIN n a ON a.slug = source_slug LEFT JOIN n b ON b.slug = target_slug""")
+def graph_labels(spark, d):
+    """Edges with the names of their ends; every fourth supplier has none."""
+    li = table(spark, d, "lineitem")
+    own, other = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("s"), F.col("l_partkey") % 97)
+    edges = li.where(F.col("l_suppkey") != F.col("l_partkey") % 97).select(own.alias("source_slug"), other.alias("target_slug")).distinct()
+    named = table(spark, d, "supplier").where("s_suppkey % 4 <> 0").select(F.concat(F.lit("s"), "s_suppkey").alias("slug"), F.col("s_name").alias("name"))
+    return graph.labelled(edges, named)
+
+
 # -- names, identities, words
 
 @query("""SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'document') AS slug, substr(sha256(p_name), 1, 8) AS suffix,
@@ -204,6 +215,12 @@ def edition_ids(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.version_id(F.concat(F.lit("c"), "o_custkey"), day, F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("version_id"))
 
 
+@query("SELECT p_partkey, sha256(p_name) AS digest, TRUE AS is_digest, regexp_full_match(p_name, '[0-9a-f]{64}') AS is_name FROM part")
+def text_digests(spark, d):
+    digest = X.token_digest(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", digest.alias("digest"), X.is_digest(digest).alias("is_digest"), X.is_digest(F.col("p_name")).alias("is_name"))
+
+
 # -- chunks: a document is one page
 
 _LINES = "lines AS (SELECT doc_id, trim(l, ' ' || chr(9) || chr(10) || chr(13)) AS line FROM documents, unnest(string_split(text, chr(10))) u(l))"
@@ -308,6 +325,12 @@ def link_replay_counts(spark, d):
     return links.replay(none, _decided(spark, d), known)[1]
 
 
+@query(f"""WITH {_PROPOSED}, {_DECIDED}, q AS (SELECT p.* FROM proposed p ANTI JOIN decided USING (source_id, target_id) ORDER BY confidence DESC, source_id, target_id LIMIT 50)
+SELECT source_id, target_id, confidence, (SELECT count(*) FROM q) AS length FROM q ORDER BY confidence DESC, source_id, target_id LIMIT 1""")
+def link_queue_head(spark, d):
+    return links.queue_head(_proposed(spark, d), _decided(spark, d))
+
+
 # -- changes: even orders are one edition, odd ones the next; a line number is a section, a part a clause
 
 _CLAUSES = """o AS (SELECT DISTINCT 'v' || (l_orderkey % 2) AS version_id, (l_orderkey // 2) || '/' || l_linenumber AS path, 'part ' || (l_partkey % 50) AS statement FROM lineitem),

@@ -60,8 +60,51 @@ def test_views(spark):
     assert row.references == ["d", "e"] and row.referenced_by == ["d"] and row.version_count == 2
 
 
-@pytest.mark.skipif(not SAMPLE, reason="no sample is given")
-def test_sample_goldens(spark):
+def made_manifest():
+    """Rows (name, references) with the counts of a known sample: 23 listed documents, 415 external names, 672 edges of which 72 within, 4 self-references, 2 groups of like names."""
+    listed = [f"DoDD 50{i:02}.01" for i in range(23)]
+    outside = ["Executive Order 12580", "Executive Order 12626", "Military Standard 882E", "Military-Standard 882E", "Public Law 1 (old)", "Public Law 1", *[f"DoDI 1{i:03}.02" for i in range(409)]]
+    references = {name: [] for name in listed}
+    for k in range(72):
+        references[listed[k % 23]].append(listed[(k % 23 + 1 + k // 23) % 23])
+    for k in range(600):  # all external names once, the first ones again
+        references[listed[k % 23 if k < 415 else (k + 7) % 23]].append(outside[k if k < 415 else (k - 415) % 185])
+    for k in (0, 5, 5, 9):
+        references[listed[k]].append(listed[k])
+    references[listed[1]] += references[listed[1]][:3]  # repeats are no edges
+    return references, outside
+
+
+def test_goldens_of_the_sample_s_shape(spark, tmp_path):
+    references, outside = made_manifest()
+    lines = ["Document Name,References,Type", *(f'{n},"{r!r}",x' for n, r in references.items())]
+    c, documents, edges = loaded(spark, write(tmp_path, "\n".join(lines) + "\n"))
+    pairs = {(s, t) for s, rs in references.items() for t in rs if s != t}
+    assert len(pairs) == 672 and len(outside) == 415
+    assert documents.where("NOT is_external").count() == 23 and documents.where("is_external").count() == 415
+    assert edges.count() == 672 and c.self_references.first()["n"] == 4
+    assert sorted(r.names for r in manifest.suspected_duplicates(c.names).collect()) == [["Military Standard 882E", "Military-Standard 882E"], ["Public Law 1", "Public Law 1 (old)"]]
+    slug = {r.name: r.slug for r in documents.collect()}
+    assert len(set(slug.values())) == 438 and slug["Military Standard 882E"] == "military-standard-882e-511614ad" and slug["Public Law 1"] == "public-law-1"
+    assert graph.view(documents, edges).edges.count() == 72
+    v = graph.view(documents, edges, include_external=True)
+    degree = {n: sum(n in p for p in pairs) for n in outside}
+    top = {slug[n] for n in sorted(outside, key=lambda n: (-degree[n], slug[n]))[:277]} | {slug[n] for n in references}
+    assert (v.returned_nodes, v.total_nodes, v.truncated) == (300, 438, True) and {r.slug for r in v.nodes.collect()} == top
+    assert v.edges.count() == sum(slug[s] in top and slug[t] in top for s, t in pairs)
+    one = graph.view(documents, edges, expand=slug["DoDD 5003.01"])
+    near = {t for s, t in pairs if s == "DoDD 5003.01" and t in degree}
+    assert one.returned_nodes == 23 + len(near) and not one.truncated
+    full = graph.view(documents, edges, include_external=True, limit=0)
+    assert (full.returned_nodes, full.edges.count(), full.truncated) == (438, 672, False)
+
+
+def test_small_projections(spark):
+    listing = spark.createDataFrame([("a", 0, ["b", "c"]), ("b", 2, [])], "slug string, version_count long, referenced_by array<string>")
+    assert [r.slug for r in graph.with_editions(listing).collect()] == ["b"] and [r.cited for r in graph.in_degree(listing).orderBy("slug").collect()] == [2, 0]
+
+
+def golden_of_a_given_sample(spark):
     c, documents, edges = loaded(spark, f"file://{SAMPLE}")
     assert documents.where("NOT is_external").count() == 23 and documents.where("is_external").count() == 415
     assert edges.count() == 672 and c.self_references.first()["n"] == 4
@@ -74,3 +117,9 @@ def test_sample_goldens(spark):
     assert v.edges.count() == 534
     one = graph.view(documents, edges, expand="dodi-3115-14")
     assert one.returned_nodes == 29 and not one.truncated
+
+
+if SAMPLE:  # the same of a manifest that is given
+
+    def test_given_sample(spark):
+        golden_of_a_given_sample(spark)

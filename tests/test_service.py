@@ -225,3 +225,16 @@ def test_auto_ingest(spark, tmp_path):
     assert not ingest.auto_ingest(s, of("")) and not ingest.auto_ingest(s, of("bad.csv")) and s.is_empty()
     assert ingest.auto_ingest(s, of("m.csv")) and s.table("document").count() == 2
     assert not ingest.auto_ingest(s, of("m.csv"))
+
+
+def test_gold_fixtures(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"passage": "p1", "obligations": [{"statement": "The Head  shall act.", "modality": "SHALL"}, {"statement": "b", "modality": "MAY"}]}, {"passage": "p2", "obligations": []}]))
+    (tmp_path / "b.json").write_text(json.dumps({"passage": "p3", "obligations": [{"statement": "c", "modality": "MUST"}]}))
+    gold = obligations.gold(spark, f"file://{tmp_path}")
+    assert sorted(map(tuple, gold.collect())) == [("p1", "The Head  shall act.", "SHALL"), ("p1", "b", "MAY"), ("p3", "c", "MUST")]
+    predicted = spark.createDataFrame([("p1", "the head shall act.", "SHALL"), ("p3", "z", "MAY")], "passage string, statement string, modality string")
+    r = obligations.micro_average(obligations.score(gold, predicted, ["passage"])).first()
+    assert (r.gold, r.predicted, r.matched) == (3, 2, 1)
+    (tmp_path / "c.json").write_text(json.dumps({"passage": "p4", "obligations": [{"statement": "d", "modality": "WILL"}]}))
+    with pytest.raises(Exception, match="unknown modality"):
+        obligations.gold(spark, f"file://{tmp_path}").collect()
