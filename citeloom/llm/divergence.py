@@ -20,7 +20,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from .common import BROADCAST_ROWS, Written, text_of, written
 #: A term is kept in a language from so many documents on; so many terms are told of each group; probabilities are by so many.
 LEAST_DOCUMENTS, TOP, PARTS = 3, 200, 1_000_000_000
 #: Terms that a task holds before it hands out partial runs; parts that a hot key is split into where groups are too many to be sent.
-HELD, SALTS = 300_000, 32
+HELD, SALTS = 800_000, 32
 OUT_ROWS = 20_000
 #: UTF-8 bytes of a term once A-Z are lower-cased: code points that are no ASCII, and ASCII letters.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -55,12 +57,13 @@ def partial_runs(docs: DataFrame, most: int = HELD) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), (document, count, having) in held.items():
-                terms = list(count)
+                terms, times = list(count), list(count.values())
+                in_docs = list(map(having.__getitem__, terms))
                 for i in range(0, len(terms), OUT_ROWS):
                     some = terms[i : i + OUT_ROWS]
                     k = len(some)
                     yield pa.RecordBatch.from_arrays(
-                        [_strings([lang] * k), _strings(some), _strings([source] * k), pa.array([document] * k, pa.string()), pa.array([having[t] for t in some], pa.int64()), pa.array([count[t] for t in some], pa.int64())],
+                        [_strings([lang] * k), _strings(some), _strings([source] * k), pa.array([document] * k, pa.string()), pa.array(in_docs[i : i + k], pa.int64()), pa.array(times[i : i + k], pa.int64())],
                         ["lang", "term", "source", "document", "docs", "n"],
                     )
 
@@ -115,8 +118,17 @@ def scanned(partial: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
             return batch
 
         for b in batches:
-            names = [b.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "term", "source")]
-            for lang, t, source, docs, n in zip(*names, b.column("docs").to_pylist(), b.column("n").to_pylist()):
+            if not b.num_rows:
+                continue
+            # rows at which a run begins: one of the three differs from the row before
+            begins = np.zeros(b.num_rows, dtype=bool)
+            begins[0] = True
+            for c in ("lang", "term", "source"):
+                begins[1:] |= pc.not_equal(b.column(c).slice(1), b.column(c).slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(begins)
+            names = [b.column(c).take(pa.array(at)).cast(pa.binary()).to_pylist() for c in ("lang", "term", "source")]
+            sums = [np.add.reduceat(b.column(c).to_numpy(), at).tolist() for c in ("docs", "n")]
+            for lang, t, source, docs, n in zip(*names, *sums):
                 if (lang, t) != term:
                     if term is not None:
                         close(not border)
@@ -139,7 +151,7 @@ def scanned(partial: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 
 def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, term, runs array<struct<source, n>>) of the terms in at least `least` documents of the language, one row a term."""
-    partial = Written(partial_runs(docs), "partial", "zstd")
+    partial = Written(partial_runs(docs), "partial")
     runs = written(scanned(partial.df, least), "runs")
     partial.drop()
     inner = runs.where("whole").select("lang", "term", F.transform("runs", lambda r: F.struct(r["source"].alias("source"), r["n"].alias("n"))).alias("runs"))
@@ -151,8 +163,8 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 
 def probability(n: Column, total: Column) -> Column:
     """1 + floor(PARTS * (n + 1) / total), exact for any counts."""
-    up = F.lit(PARTS).cast("decimal(10,0)") * (n + 1).cast("decimal(19,0)")
-    return F.call_function("div", up, total.cast("decimal(19,0)")) + 1
+    large = F.call_function("div", F.lit(PARTS).cast("decimal(10,0)") * (n + 1).cast("decimal(19,0)"), total.cast("decimal(19,0)"))
+    return F.when(n < PARTS, F.call_function("div", F.lit(PARTS).cast("long") * (n + 1), total)).otherwise(large) + 1  # below, the product fits a long
 
 
 def distance(p: Column, q: Column) -> Column:
