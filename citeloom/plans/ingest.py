@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import version_id
 from ..operators import chunking, embedding, graph, obligations, versions
 from ..sources import issuance, manifest
-from ..sources.shared import written
+from ..sources.shared import dropped, written
 from .store import Change, Store, created
 
 log = logging.getLogger(__name__)
@@ -29,6 +29,7 @@ class Ingested:
     suspected_duplicates: list[list[str]]
 
 
+@dropped()
 def ingest_manifest(store: Store, path: str, filename: str) -> Ingested:
     """Documents, external names, edges and provenance of a manifest."""
     spark, t = store.spark, store.tables()
@@ -54,6 +55,7 @@ def ingest_manifest(store: Store, path: str, filename: str) -> Ingested:
     return Ingested(made, linked, skipped, twice)
 
 
+@dropped()
 def ingest_pages(store: Store, pages, filename: str, uri: str, checksum: str) -> str:
     """One issuance given as pages (doc, page_no, text): document, edges, edition and chunks; the edition's id."""
     spark, t = store.spark, store.tables()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, embedding, links, obligations
 from ..operators.search import IndexMismatchError
-from ..sources.shared import new_folder, written
+from ..sources.shared import dropped, new_folder, written
 from .store import Change, Store
 
 #: Seconds that a job may take, and that its rows are kept; chunks of a batch of extraction, after each of which progress is told.
@@ -95,9 +95,13 @@ def _extracted(store: Store, run: str, version_id: str, chunks: DataFrame, total
     done = 0
 
     def one(df: DataFrame, _: int) -> None:
-        nonlocal done
         if stop.is_set():
             return
+        with dropped():
+            batch_done(df)
+
+    def batch_done(df: DataFrame) -> None:
+        nonlocal done
         df = df.persist()
         try:
             n = df.count()
@@ -118,6 +122,7 @@ def _extracted(store: Store, run: str, version_id: str, chunks: DataFrame, total
         query.stop()
 
 
+@dropped()
 def rebuild(
     store: Store, run: str, version_id: str, pages: DataFrame, extractor: obligations.Extractor, candidates: list[str] | None = None, on_progress: Callable[[int, int], None] = lambda done, total: None,
     batch: int = BATCH, workers: int | None = None, stop: threading.Event | None = None,
@@ -236,6 +241,7 @@ class Jobs:
         return status(live(self.store.at("job", run), ttl=self.ttl))
 
 
+@dropped()
 def decide(store: Store, source: str, target: str, verdict: str, actor: str, rationale: str = "") -> dict[str, int]:
     """Records a verdict and replays all, in one commit."""
     new = store.spark.createDataFrame([(source, target, verdict, actor, rationale)], "source_obligation_id string, target_obligation_id string, verdict string, actor string, rationale string").withColumn("at", F.current_timestamp())
@@ -253,6 +259,7 @@ def decide(store: Store, source: str, target: str, verdict: str, actor: str, rat
     return result
 
 
+@dropped()
 def embed(store: Store, embedder: embedding.Embedder, index: str = "chunk") -> int:
     """Vectors for all chunks that lack the model's, written back with the index's identity; how many were written.
 
@@ -273,6 +280,7 @@ def embed(store: Store, embedder: embedding.Embedder, index: str = "chunk") -> i
     return n
 
 
+@dropped()
 def keep_changes(store: Store, changed: DataFrame, before: str, after: str) -> DataFrame:
     """The changes between two editions, stored in place of earlier ones."""
     changed = written(changed, "changes")
