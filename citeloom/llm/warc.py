@@ -19,10 +19,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import BROADCAST_ROWS, small_batches, written
 from .html_extract import INLINE, RAW, raw_end, tags
 
 HEADERS = "array<struct<name:string,value:string>>"
@@ -32,6 +32,11 @@ CRAWL_DATE = "2024-01-01T00:00:00Z"
 _HREF = re.compile(r"(?<![^\s\"'])href\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: What stands between the records of a file, up to the number of the version.
 BETWEEN = "\r\n\r\nWARC/1."
+VERSION = BETWEEN.strip().encode()
+#: Bytes of BETWEEN that end a record; the others begin the next one.
+END = len(BETWEEN) - len(VERSION)
+#: Names of files that are read in one piece each, and all others.
+PACKED, PLAIN = "*.gz", "{*[!z],*[!g]z,*[!.]gz,z,gz}"
 _KNOWN = {"warc-type": "warc_type", "warc-record-id": "record_id", "warc-refers-to": "refers_to", "warc-target-uri": "target_uri", "warc-date": "date", "content-type": "content_type", "warc-block-digest": "block_digest", "warc-payload-digest": "payload_digest"}
 
 
@@ -161,55 +166,108 @@ def parse_one(piece: bytes) -> tuple[dict | None, int]:
     rest, size = piece[end.end() :] if end else b"", next((h["value"] for h in named if h["name"].lower() == "content-length"), "")
     length = int(size) if size.isascii() and size.isdigit() else len(rest)
     record = dict.fromkeys(ARROW.names) | {"headers": named, "block": rest[:length]}
-    return record | {_KNOWN[h["name"].lower()]: h["value"] for h in named if h["name"].lower() in _KNOWN}, max(0, length - len(rest))
+    cut = 0 if end or not length else END  # a block that begins like a record: the empty line before it went with BETWEEN
+    return record | {_KNOWN[h["name"].lower()]: h["value"] for h in named if h["name"].lower() in _KNOWN}, max(0, length - len(rest)) + cut
 
 
-def records(pieces: Iterable[bytes]) -> Iterator[dict]:
-    """Records of a file's pieces between BETWEEN; a block that holds BETWEEN itself takes in as many pieces as it is long.
+def records(pieces: Iterable[tuple[object, bytes]]) -> Iterator[dict]:
+    """Records of pieces between BETWEEN, each with the key of its file; a block that holds BETWEEN itself takes in as many pieces as it is long.
 
+    A record begins where a piece does, unless the one before, by its length, goes beyond that.
     A block that ends early is as long as what is there; bytes without headers are no record.
     """
-    held, lacks, first = [], 0, BETWEEN[4:].encode()
-    for piece in pieces:
-        if lacks > 0 and piece.startswith(first):  # of another file
-            yield parse_one(BETWEEN.encode().join(held))[0]
-            lacks = 0
-        if lacks > 0:
+    held, lacks, of = [], 0, None
+    for key, piece in pieces:
+        if held and (key != of or lacks <= END):
+            yield parse_one(BETWEEN.encode().join(held) + (BETWEEN[:END].encode() if key == of else b""))[0]
+            held = []
+        if held:
             held.append(piece)
             lacks -= len(BETWEEN) + len(piece)
-            if lacks > 0:
-                continue
-            yield parse_one(BETWEEN.encode().join(held))[0]
             continue
-        piece = piece.removeprefix(first)
+        piece, of = piece.removeprefix(VERSION), key
         record, lacks = parse_one(piece)
-        if lacks:
+        if lacks > 0:
             held = [piece]
         elif record:
             yield record
-    if lacks > 0:
+    if held:
         yield parse_one(BETWEEN.encode().join(held))[0]
 
 
+def _splits(pieces: DataFrame) -> DataFrame:
+    """(file, block, size, reach) of each split of a file that has several: its bytes, and how far the records that could begin in it go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, reach = None, 0, 0
+        for b in batches:
+            for file, block, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if (file, block) != at:
+                    if at:
+                        yield pa.RecordBatch.from_pylist([{"file": at[0], "block": at[1], "size": size, "reach": reach}])
+                    at, size, reach = (file, block), 0, 0
+                piece = piece.as_py().removeprefix(VERSION)
+                reach = max(reach, size + len(VERSION) + len(piece) + parse_one(piece)[1])
+                size += len(piece) + len(BETWEEN)
+        if at:
+            yield pa.RecordBatch.from_pylist([{"file": at[0], "block": at[1], "size": size, "reach": reach}])
+
+    return pieces.where("part").select("file", "block", "value").mapInArrow(run, "file string, block bigint, size bigint, reach bigint")
+
+
+def _tied(pieces: DataFrame) -> DataFrame:
+    """(file, block, run): splits that a record of an earlier split could go on into, and those earlier ones, by the run that they form.
+
+    The windows are over one row for each split of a file.
+    """
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    at = _splits(pieces).withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    free = at.withColumn("free", F.col("base") >= F.coalesce(F.max(F.col("base") + F.col("reach")).over(before), F.lit(0)))
+    runs = free.withColumn("run", F.sum(F.col("free").cast("long")).over(upto))
+    return written(runs.withColumn("n", F.count("*").over(Window.partitionBy("file", "run"))).where("n > 1").select("file", "block", "run"), "tied")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of the WARC files under a path, plain or in gzip members, in the columns of RECORD.
 
     Spark reads and splits files at the records, wherever they lie; a task holds a batch of records, never a
-    file. Compressed files are read by one task each, plain ones split. Bad lengths and records
-    that end early have the rest as their block, as in records(); a gzip file that is cut short
-    fails, unless spark.sql.files.ignoreCorruptFiles is set. A plain file's block that itself holds
-    BETWEEN where the file is split ends there.
+    file. Files named *.gz are read by one task each, others split. A split is read for itself
+    where a first pass over plain files shows that no record before it can go on into it; splits that
+    could be within a record are gone through in the file's order by one task, so that results do not depend
+    on where files are split. Bad lengths and records that end early have the rest as their block, as in
+    records(); a gzip file that is cut short fails, unless spark.sql.files.ignoreCorruptFiles is
+    set. Lines end in CR LF, as the format has it: a file with bare line feeds is one record. No files
+    give no rows.
     """
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some: list[dict] = []
-        for record in records(p.as_py() for b in batches for p in b.column(0)):
+        keyed = ((key, p.as_py()) for b in batches for key, p in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2)))
+        for record in records(keyed):
             some.append(record)
             if len(some) == 64:
                 yield pa.RecordBatch.from_pylist(some, ARROW)
                 some = []
         yield pa.RecordBatch.from_pylist(some, ARROW)
 
-    pieces = spark.read.option("lineSep", BETWEEN).text(path)
-    return pieces.select(F.col("value").cast("binary")).mapInArrow(run, RECORD)
+    def pieces(names: str) -> DataFrame:
+        at = F.col("_metadata")
+        found = spark.read.option("lineSep", BETWEEN).option("pathGlobFilter", names).text(path)
+        return found.select(at["file_path"].alias("file"), at["file_block_start"].alias("block"), (at["file_block_length"] < at["file_size"]).alias("part"), F.col("value").cast("binary").alias("value"))
+
+    def parsed(df: DataFrame, key: str) -> DataFrame:
+        return df.select("file", key, "value").mapInArrow(run, RECORD)
+
+    packed, plain = pieces(PACKED), pieces(PLAIN)
+    tied = _tied(plain)
+    n = tied.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return parsed(packed, "block").unionByName(parsed(plain, "block"))
+    few = n <= BROADCAST_ROWS
+    marked = plain.withColumn("nth", F.monotonically_increasing_id()).join(F.broadcast(tied) if few else tied, ["file", "block"], "left")
+    marked = marked.withColumn("run", F.coalesce("run", -1 - F.col("block")))  # a split for itself has a number below zero
+    moved = (marked.where("run > 0") if few else marked).repartition("file", "run").sortWithinPartitions("file", "run", "block", "nth")
+    found = parsed(packed, "block").unionByName(parsed(moved, "run"))
+    return found.unionByName(parsed(marked.where("run < 0"), "run")) if few else found

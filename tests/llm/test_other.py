@@ -1,5 +1,6 @@
 """URL filter, fingerprints, WARC, quality, token counts and HTML against plain versions and odd rows."""
 
+import gzip
 import html
 import itertools
 import json
@@ -323,6 +324,54 @@ def test_archives_with_bad_records(spark, tmp_path):
     assert warc.parse_one(b"") == (None, 0) == warc.parse_one(b"0\r\n\r\n")
 
 
+def plain_records(data):
+    """Blocks of an archive read from its start: each as long as its header says, the next record at the first beginning behind it."""
+    out, at = [], data.find(b"WARC/1.")
+    while at >= 0:
+        head = data.find(b"\r\n\r\n", at)
+        length = int(re.search(rb"Content-Length: (\d+)", data[at:head])[1])
+        out.append(data[head + 4 : head + 4 + length])
+        at = data.find(b"\r\n\r\nWARC/1.", head + length)
+        at = at + 4 if at >= 0 else at
+    return out
+
+
+@pytest.mark.parametrize("size", ["50", "400", "100000"])
+def test_records_do_not_depend_on_splits(spark, tmp_path, size):
+    draw, wanted = random.Random(int(size)), []
+    inner = b"\r\n\r\nWARC/1.0\r\nWARC-Type: false\r\nContent-Length: %d\r\n\r\nin"
+    for name in ("a.warc", "b.warc", "c.warc.gz", "z"):
+        data = b""
+        for i in range(25):
+            block = draw.choice([b"%d:" % i, b"WARC/1."]) + b"x" * draw.choice([0, 3, 90]) + b"".join(draw.choice([inner % draw.choice([0, 5, 900]), b"\r\n\r\n", b"y" * 60, b"WARC/1.", b"\xff"]) for _ in range(draw.choice([0, 0, 0, 4])))
+            data += b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+        blocks = plain_records(data)
+        assert len(blocks) == 25
+        wanted += blocks
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = warc.read(spark, f"file://{tmp_path}").collect()
+        assert sorted(bytes(r.block) for r in got) == sorted(wanted) and {r.warc_type for r in got} == {"resource"}
+        none = tmp_path / "none"
+        none.mkdir()
+        (none / "x.warc.gz").write_bytes(gzip.compress(b""))
+        assert warc.read(spark, f"file://{none}").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_length_over_the_end_of_a_record_by_its_line_ends():
+    first, second = b"0\r\nWARC-Type: a\r\nContent-Length: %d\r\n\r\nabc", b"0\r\nWARC-Type: b\r\nContent-Length: 1\r\n\r\nd"
+    blocks = lambda n: [r["block"] for r in warc.records([(1, first % n), (1, second)])]
+    assert blocks(3) == [b"abc", b"d"] and blocks(5) == [b"abc\r\n", b"d"] and blocks(7) == [b"abc\r\n\r\n", b"d"]
+    assert len(blocks(8)) == 1 and blocks(8)[0][:8] == b"abc\r\n\r\nW"
+    assert [r["block"] for r in warc.records([(1, first % 900), (2, second)])] == [b"abc", b"d"]
+
+
 def test_registered_records_equal_a_plain_build(spark):
     import hashlib
 
