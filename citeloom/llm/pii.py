@@ -204,6 +204,25 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEED
     return spots.where("seed IS NULL").join(best, "value").select("doc_id", "h", "kind", "start", "stop").distinct()
 
 
+def held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 5, **options) -> DataFrame:
+    """(kind, n, found, other): how many identifiers contexts alone discover, of n different values hidden from the rules.
+
+    Each `every`-th value of the rules, by hash, is made an instance of no known kind that could
+    be of any; found are those discovered as their own kind, other those as another one.
+    Values in all rows of all texts count once; kinds without hidden values have no row.
+    """
+    scanned = scan(docs, id_col, text_col)
+    hides = lambda x: x["seed"].isNotNull() & (F.pmod(F.xxhash64(x["value"]), F.lit(every)) == 0)
+    kinds = F.array(*map(F.lit, KINDS))
+    as_unseen = F.transform("found", lambda x: F.when(hides(x), x.withField("seed", F.lit(None).cast("string")).withField("fits", kinds)).otherwise(x))
+    scanned = written(scanned.select("doc_id", "h", as_unseen.alias("found"), F.filter("found", hides).alias("hidden")), "hidden")
+    values = scanned.select("doc_id", "h", F.explode("hidden").alias("x")).select("doc_id", "h", "x.seed", "x.start", "x.stop", "x.value")
+    got = discover(scanned, **options)
+    met = values.alias("v").join(got.alias("g"), F.col("v.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("v.h") == F.col("g.h")) & (F.col("v.start") == F.col("g.start")) & (F.col("v.stop") == F.col("g.stop")), "left")
+    one = met.groupBy(F.col("v.seed").alias("kind"), F.col("v.value").alias("value")).agg(F.max(F.coalesce(F.col("g.kind") == F.col("v.seed"), F.lit(False))).alias("right"), F.max(F.coalesce(F.col("g.kind") != F.col("v.seed"), F.lit(False))).alias("wrong"))
+    return one.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("right").alias("found"), F.count_if("wrong").alias("other"))
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each input row: doc_id, base and spans (kind:start:end by kind, then start, comma-joined), and n_<kind> of the rules.
 

@@ -112,6 +112,22 @@ def test_url_scores_take_in_every_url(spark):
     assert url_filter.scores(df.limit(0)) is None and url_filter.scores(df.where("url like '%casino%'")) is None
 
 
+def test_errors_on_hosts_that_no_model_saw(spark):
+    draw = random.Random(4)
+    hosts = [f"{draw.choice(['www', 'm'])}.{a}{b}.example.org" for a in ("th", "wh", "on") for b in ("er", "in", "ed", "es")] + [f"{a}-casino.example.org" for a in ("win", "big", "lux", "pro", "vip", "top")]
+    df = spark.createDataFrame([(i, f"http://{h}/{p}") for i, (h, p) in enumerate(itertools.product(hosts, ("en/a", "de/b", "c")))] + [(None, None), (1, "x"), (1, "http://")], "page_id long, url string")
+    level, want = 0.0, {}
+    fold = {r.h: r.f for r in spark.createDataFrame([(h,) for h in [*hosts, ""]], "h string").selectExpr("h", "pmod(xxhash64(h), 5) as f").collect()}
+    texts = [(h, f"{h}/{p}") for h in hosts for p in ("en/a", "de/b", "c")] + [("", "")]
+    for h, t in texts:
+        a, r = (url_filter.Markov().learn([x for g, x in texts if fold[g] != fold[h] and ("casino" in g) == bad]) for bad in (False, True))
+        bad, n, wrong = "casino" in h, *want.get(h, (0, 0, 0))[1:]
+        want[h] = (bad, n + 1, wrong + ((url_filter.Ratio(a, r).score(t) < level) != bad))
+    got = {r.host: (r.bad, r.n, r.wrong) for r in url_filter.unseen_hosts(df, level).collect()}
+    assert got == want and sum(w for _, _, w in want.values()) < len(texts) / 4
+    assert url_filter.unseen_hosts(df.limit(0), level).count() == 0
+
+
 def test_url_model_on_held_out_words():
     draw = random.Random(9)
     good = [f"{draw.choice(['www', 'blog', 'm'])}.th{draw.choice(['an', 'er', 'in'])}{draw.choice(['ed', 'es', 'on'])}.example.net/en/{draw.randint(0, 999)}" for _ in range(400)]

@@ -139,3 +139,28 @@ def test_long_identifiers_and_words_are_whole():
     assert text[a:b] == f"{name}@host" and fits == ["email"] and value[0] == "#"
     other = list(pii.instances(text.replace("ya ", "yb "), []))[0]
     assert other[4] == value and other[5] != patterns  # the words differ in their last letter only
+
+
+def test_hidden_identifiers_are_discovered_where_contexts_tell(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9)))
+    cues = {"phone": ["call hotline", "ring desk", "fax number"], "card": ["card number", "charged to"], "ip": ["host at", "address is"], "email": ["write to", "reply via"]}
+
+    def card():
+        digits = "4" + "".join(str(draw.randrange(10)) for _ in range(14))
+        return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+    make = {"phone": lambda: f"+1 ({draw.randrange(200, 999)}) 555-{draw.randrange(1000, 9999)}", "card": card, "ip": lambda: ".".join(str(draw.randrange(1, 255)) for _ in range(4)), "email": lambda: f"{word()}@{word()}.org"}
+    told, random_words = [], []
+    for i in range(600):
+        kind = draw.choice(list(make))
+        noise = [word() for _ in range(30)]
+        at = draw.randrange(30)
+        told.append((i, " ".join([*noise[:at], draw.choice(cues[kind]), make[kind](), *noise[at:]]), 1, None))
+        random_words.append((i, " ".join([*noise[:at], make[kind](), *noise[at:]]), 1, None))
+    got = {r.kind: r for r in pii.held_out(_docs(spark, told)).collect()}
+    assert set(got) == set(make)
+    for r in got.values():  # n is about a fifth of 150
+        assert r.n >= 15 and r.found / r.n >= 0.9 and r.other == 0, r
+    assert all(r.found == 0 == r.other for r in pii.held_out(_docs(spark, random_words)).collect())
+    assert pii.held_out(_docs(spark, [(1, None, 1, None), (2, "", 1, None)])).count() == 0 == pii.held_out(_docs(spark, [])).count()
