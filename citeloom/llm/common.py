@@ -10,6 +10,7 @@ from itertools import accumulate
 from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of text handed to Python at once; texts can be long, so the default of 10,000 is too many.
@@ -111,6 +112,30 @@ def global_rank(df: DataFrame, key: str, rank: str = "rank") -> DataFrame:
     return dealt.join(F.broadcast(before), "__part").withColumn(rank, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
 
+def levels(scored: DataFrame, value: str, good: str) -> tuple[DataFrame, int, int]:
+    """(value, last, lost, caught) for each distinct value, and the numbers of good and of bad rows; the column `good` is 1 or 0.
+
+    lost and caught are the good and the bad rows below the value, last the value before it, null
+    for the least. Values are counted, dealt out by ranges and summed within them; the sums of the
+    ranges before, one row a range, are added. Every row counts, and no task holds all values.
+    """
+    spark = scored.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = scored.groupBy(F.col(value).cast("double").alias("value")).agg(F.sum(good).cast("long").alias("g"), F.sum(1 - F.col(good)).cast("long").alias("b"))
+    cells = written(cells.repartitionByRange(n, "value").withColumn("part", F.spark_partition_id()), "cells")
+    ranges = cells.groupBy("part").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.max("value").alias("value")).orderBy("part").collect()  # one row a range
+    before, good_rows, bad_rows, last = [], 0, 0, None
+    for r in ranges:
+        before.append((r["part"], good_rows, bad_rows, last))
+        good_rows, bad_rows, last = good_rows + r["g"], bad_rows + r["b"], r["value"]
+    before = spark.createDataFrame(before, "part int, g0 long, b0 long, last0 double")
+    order = W.partitionBy("part").orderBy("value")
+    below = order.rowsBetween(W.unboundedPreceding, -1)
+    upto = lambda c: (F.col(f"{c}0") + F.coalesce(F.sum(c).over(below), F.lit(0)))
+    cuts = cells.join(F.broadcast(before), "part").select("value", F.coalesce(F.lag("value").over(order), F.col("last0")).alias("last"), upto("g").alias("lost"), upto("b").alias("caught"))
+    return cuts, good_rows, bad_rows
+
+
 def _at_rest(edges: DataFrame) -> bool:
     """Whether the edges (u, v) are stars: each u has one v, and no v is a u."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))

@@ -4,7 +4,8 @@ Two interpolated variable-order Markov models (Witten-Bell smoothing over the co
 trained on rejected and on accepted URLs; a URL is blocked if its log-likelihood under the
 accepted model less that under the rejected one, by character, is below a calibrated level.
 Both are counted in Spark over every distinct shape of a URL: counts, probabilities and scores are
-tables of their own that nothing collects. `Markov` is the same model over a list of texts.
+tables of their own that nothing collects. The level is calibrated on all shapes too, each scored
+by models of the half that it is not in. `Markov` is the same model over a list of texts.
 """
 
 from __future__ import annotations
@@ -20,14 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, written
+from .common import columns, fresh, levels, written
 
 #: (verdict, host, path) of the registered query.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Hosts with one of these words between separators are examples of rejected URLs.
 REJECT_WORDS = ("adult", "bet", "bets", "casino", "escort", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx")
-#: The level alone is calibrated on a bounded sample: at most so many URLs of each class, those of the least hashes.
-SAMPLE, ORDER = 5_000, 5
+ORDER = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -144,17 +144,17 @@ def _grams(s: DataFrame, order: int) -> DataFrame:
     return s.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") + 1), lambda i: F.substring(padded, i, order + 1))).alias("gram"))
 
 
-#: Models counted together: accepted and rejected, each over all shapes and over every other one.
-MODELS = {"a": (False, False), "r": (True, False), "ah": (False, True), "rh": (True, True)}
+#: Models counted together: accepted and rejected, each over all shapes, over a half of them and over the other half.
+MODELS = {"a": (False, None), "r": (True, None), "ah": (False, True), "rh": (True, True), "ao": (False, False), "ro": (True, False)}
 
 
 def gram_ratios(shaped: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, ratio, half): log p_accepted - log p_rejected of each gram's last character, by models of all shapes and of the half.
+    """(gram, ratio, half, other): log p_accepted - log p_rejected of each gram's last character, by models of all shapes, of the half and of the rest.
 
     shaped: (s, bad, half). From the shortest contexts to the longest, each table of grams takes
     the probability of the gram one character shorter.
     """
-    one = [F.count_if((F.col("bad") == bad) & (F.col("half") | F.lit(not half))).alias(m) for m, (bad, half) in MODELS.items()]
+    one = [F.count_if((F.col("bad") == bad) & (F.lit(True) if half is None else F.col("half") == half)).alias(m) for m, (bad, half) in MODELS.items()]
     grams = written(_grams(shaped, order).groupBy("gram").agg(*one), "grams")
     last = None
     for k in range(order + 1):
@@ -169,14 +169,26 @@ def gram_ratios(shaped: DataFrame, order: int = ORDER) -> DataFrame:
             p = {m: F.col(f"q_{m}") for m in MODELS}
         new = [F.when(F.col(f"n_{m}") > 0, (F.col(m) + F.col(f"kinds_{m}") * p[m]) / (F.col(f"n_{m}") + F.col(f"kinds_{m}"))).otherwise(p[m]).alias(f"p_{m}") for m in MODELS]
         last = written(counts.select("gram", *new), "probabilities")
-    return last.select("gram", (F.log("p_a") - F.log("p_r")).alias("ratio"), (F.log("p_ah") - F.log("p_rh")).alias("half"))
+    return last.select("gram", *[(F.log(f"p_a{m}") - F.log(f"p_r{m}")).alias(c) for m, c in (("", "ratio"), ("h", "half"), ("o", "other"))])
 
 
-def scores(urls: DataFrame, url_col: str = "url", words: Sequence[str] = REJECT_WORDS, order: int = ORDER, sample: int = SAMPLE) -> tuple[DataFrame, float, tuple[float, float]] | None:
+def _level(scored: DataFrame) -> float:
+    """calibrate() of the rows' column held, of which those with good = 1 are accepted ones and the others rejected ones."""
+    cuts, good, bad = levels(scored, "held", "good")
+    if not good or not bad:
+        return 0.0
+    at = cuts.select(F.coalesce((F.col("last") + F.col("value")) / 2, F.col("value") - 1).alias("level"), (F.col("lost") / good + 1 - F.col("caught") / bad).alias("error"))
+    above = cuts.agg((F.max("value") + 1).alias("level"), F.lit(1.0).alias("error"))
+    return at.unionByName(above).orderBy("error", F.abs("level")).first()["level"]
+
+
+def scores(urls: DataFrame, url_col: str = "url", words: Sequence[str] = REJECT_WORDS, order: int = ORDER, sample: int | None = None) -> tuple[DataFrame, float, tuple[float, float]] | None:
     """The scores (s, score) of all shapes under models of all of them, the level, and the held-out errors; None if a class has no shape.
 
-    The level is calibrated by models of the shapes of even hashes on at most `sample` others of
-    each class, of which every other one is kept back to tell the errors, see errors().
+    Shapes fall into halves by hash, and each has a second score by models of the half that it is
+    not in. The level is calibrated on the second scores of all shapes, or of `sample` of each class
+    where a caller wants that. The errors, see errors(), are those of either half at the level
+    that the second scores of the other half give.
     """
     shaped = written(shapes(urls, url_col, words).withColumn("half", F.pmod(F.xxhash64("s"), F.lit(2)) == 0), "shapes")
     n = shaped.agg(F.count_if(~F.col("bad")).alias("a"), F.count_if("bad").alias("r")).first()
@@ -184,11 +196,16 @@ def scores(urls: DataFrame, url_col: str = "url", words: Sequence[str] = REJECT_
         return None
     grams = _grams(shaped.withColumnRenamed("half", "even"), order).groupBy("s", "bad", "even", "gram").agg(F.count("*").alias("times"))
     by = grams.join(gram_ratios(shaped, order), "gram").groupBy("s", "bad", "even")
-    mean = lambda c: F.sum(F.col("times") * F.col(c)) / (F.length("s") + 1)
-    scored = written(by.agg(mean("ratio").alias("score"), mean("half").alias("half")), "scores")
-    good, bad = ([r.half for r in scored.where((F.col("bad") == b) & ~F.col("even")).orderBy(F.xxhash64("s", F.lit(1)), "s").limit(sample).collect()] for b in (False, True))
-    level = calibrate(good[::2], bad[::2])
-    return scored.select("s", "score"), level, errors(good[1::2], bad[1::2], level)
+    mean = lambda c: F.sum(F.col("times") * c) / (F.length("s") + 1)
+    unseen = F.when(F.col("even"), F.col("other")).otherwise(F.col("half"))
+    scored = written(by.agg(mean(F.col("ratio")).alias("score"), mean(unseen).alias("held")).withColumn("good", (~F.col("bad")).cast("int")), "scores")
+    held = scored
+    if sample is not None:
+        held = reduce(DataFrame.unionByName, [scored.where(F.col("bad") == b).orderBy(F.xxhash64("s", F.lit(1)), "s").limit(sample) for b in (False, True)])
+    by_half = {even: _level(held.where(F.col("even") == even)) for even in (False, True)}
+    low = F.col("held") < F.when(F.col("even"), by_half[False]).otherwise(by_half[True])
+    wrong = held.agg(F.sum("good").alias("a"), F.count_if(low & ~F.col("bad")).alias("lost"), F.count_if("bad").alias("r"), F.count_if(~low & F.col("bad")).alias("missed")).first()
+    return scored.select("s", "score"), _level(held), (wrong["lost"] / max(1, wrong["a"]), wrong["missed"] / max(1, wrong["r"]))
 
 
 def unseen_hosts(urls: DataFrame, level: float, url_col: str = "url", words: Sequence[str] = REJECT_WORDS, order: int = ORDER, folds: int = 5) -> DataFrame:
