@@ -47,7 +47,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
 
 
