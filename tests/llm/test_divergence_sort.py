@@ -1,0 +1,12 @@
+"""What op11's sort of partial runs compares."""
+
+import re
+
+from citeloom.llm import divergence
+
+
+def test_the_term_leads_the_sort(spark):
+    partial = spark.createDataFrame([("en", "a", "s", "1", 1, 1)], divergence.PARTIAL)
+    plan = divergence.scanned(partial)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[term#\d+[^\]]*lang#\d+[^\]]*source#\d+ ASC NULLS FIRST\], false", plan), plan
+    assert re.search(r"rangepartitioning\(term#\d+[^)]*document#\d+", plan), plan
