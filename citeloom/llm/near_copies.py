@@ -1,10 +1,11 @@
 """The near-duplicates of simhash_dedup at another likeness: a Jaccard similarity of word shingles, decided on whole shingle sets.
 
-Blocks of SimHash bits can not propose such pairs: at a similarity of 0.8 some 10 of 64 bits
-differ. So the blocks here are those of op5's fingerprint, the one-permutation MinHash: its BINS
-least hashes are cut into BANDS blocks of ROWS. Two sets of similarity s share a block with
-probability 1 - (1 - s^ROWS)^BANDS, over 0.9999 at LEAST = 0.8. Texts of equal sets are one.
-Sets that share a key are compared whole. In a block of over HOT_BLOCK sets all are compared with
+SimHash comes first: sets whose fingerprints differ in at most BITS bits meet in pigeonhole blocks,
+are compared whole, and those similar are joined. Blocks of bits can not propose all pairs: at a
+similarity of 0.8 some 10 of 64 bits differ. The rest is found by op5's fingerprint, the
+one-permutation MinHash: its BINS least hashes are cut into BANDS blocks of ROWS. Two sets of
+similarity s share a block with probability 1 - (1 - s^ROWS)^BANDS, over 0.9999 at LEAST = 0.8.
+Texts of equal sets are one. Sets that share a key and are not yet joined are compared whole. In a block of over HOT_BLOCK sets all are compared with
 PIVOTS of it first, and then those outside the block's largest component with all not yet joined to them,
 cell by cell and without a row for each pair.
 Of a set's shingles only those that another set of a block has too can be shared: this bounds the
@@ -14,6 +15,7 @@ similarity of two sets from above by their sizes and these counts, before any wh
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ SHINGLE, LEAST, BINS, ROWS, HOT_BLOCK, PIVOTS = 5, 0.8, 128, 5, 64, 4
 #: Sets, and shingles of all its sets, of a chunk of a hot block on average at most; a cell holds two chunks.
 CHUNK_SETS, CHUNK_SHINGLES = 1_024, 250_000
 BANDS = BINS // ROWS
+#: Differing bits of SimHashes that meet, pieces that a SimHash is cut into, and fingerprints of a block up to which all its pairs are taken.
+BITS, PIECES, HOT_BITS = 4, 6, 16
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -61,14 +65,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, bands): one row for each input row; fp is the hash of the shingle set."""
+    """(doc_id, fp, sim, bands): one row for each input row; fp is the hash of the shingle set, sim its SimHash as a signed long."""
     small_batches(docs.sparkSession)
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp bigint, bands array<bigint>"
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp bigint, sim bigint, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_key, sets), pa.int64()), pa.array(map(bands_of, sets), pa.list_(pa.int64()))], ["doc_id", "fp", "bands"])
+            sims = [simhash_dedup._signed(simhash_dedup.simhash_of(s)) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_key, sets), pa.int64()), pa.array(sims, pa.int64()), pa.array(map(bands_of, sets), pa.list_(pa.int64()))], ["doc_id", "fp", "sim", "bands"])
 
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -119,29 +124,59 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def within_bits(distinct: DataFrame, bits: int = BITS, pieces: int = PIECES, hot: int = HOT_BITS) -> DataFrame:
+    """Pairs (u, v) of sets of distinct (fp, sim) whose SimHashes differ in at most `bits` bits.
+
+    The least set of each SimHash stands for it, and pairs with the others of that SimHash. Of two
+    SimHashes `bits` apart some pieces - bits of the pieces agree, and these key a block. A pair is
+    taken in the first such block, from blocks of over `hot` SimHashes only pairs with PIVOTS of it.
+    """
+    one = written(distinct.groupBy("sim").agg(F.min("fp").alias("fp")), "sims")
+    same = distinct.join(one.select("sim", F.col("fp").alias("u")), "sim").select("u", F.col("fp").alias("v"))
+    masks = F.array(*[F.lit(simhash_dedup._signed(m)).cast("long") for m in simhash_dedup._masks(pieces, bits)])
+    block = ["table", "key"]
+    rows = one.select(F.struct("sim", "fp").alias("a"), F.posexplode(F.transform(masks, lambda m: F.col("sim").bitwiseAND(m))).alias(*block))
+    held = rows.groupBy(*block).agg(F.count("*").alias("n"), *[F.min_by("a", F.xxhash64("a", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]).where("n > 1")
+    met = written(rows.join(held, block), "bits")
+    differ = F.col("a.sim").bitwiseXOR(F.col("b.sim"))
+    near = (F.bit_count(differ) <= bits) & (F.col("a.sim") != F.col("b.sim"))
+    first = ~F.exists(F.slice(masks, F.lit(1), F.col("table")), lambda m: differ.bitwiseAND(m) == 0)  # no table before has both in one block
+    cold = met.where(F.col("n") <= hot)
+    pairs = cold.select(*block, "a").join(cold.select(*block, F.col("a").alias("b")), block).where((F.col("a.fp") < F.col("b.fp")) & near & first)
+    stars = met.where(F.col("n") > hot).select("a", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("b")).where(near)
+    return written(_ordered(reduce(DataFrame.unionByName, [df.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")) for df in (pairs, stars)], same)), "close")
+
+
 def links(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, hot_block: int = HOT_BLOCK) -> DataFrame:
-    """Edges (u, v) between the sets of distinct (fp, first_id, bands) that join all those found similar."""
+    """Edges (u, v) between the sets of distinct (fp, first_id, sim, bands) that join all those found similar.
+
+    Pairs of near SimHashes are compared first; those that share a key of MinHash follow, unless they are joined by then.
+    """
     block = ["band", "key"]
     rows = distinct.select("fp", "first_id", F.posexplode("bands").alias("band", "key"))
     met = written(rows.join(rows.groupBy(*block).agg(F.count("*").alias("n")).where("n > 1"), block).drop("n"), "blocks")
-    sets = _sets(docs, met.select("fp", "first_id").distinct(), id_col, text_col)
+    close = within_bits(distinct)
+    ends = close.select(F.explode(F.array("u", "v")).alias("fp"))
+    sets = _sets(docs, distinct.join(met.select("fp").unionByName(ends), "fp", "left_semi").select("fp", "first_id"), id_col, text_col)
+    joined = _verified(close, sets, least)
+    label = connected_components(joined).select(F.col("node").alias("fp"), "label")
     able = _common(sets).where(F.col("common") >= least * F.col("size") - 1e-9)  # else similar to none
-    met = written(met.drop("first_id").join(able, "fp"), "blocks")
-    one = F.struct("fp", "size", "common")
+    met = written(met.drop("first_id").join(able, "fp").join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "blocks")
+    one = F.struct("fp", "size", "common", "label")
     held = met.groupBy(*block).agg(F.count("*").alias("n"), *[F.min_by(one, F.xxhash64("fp", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]).where("n > 1")
     met = written(met.join(held, block), "blocks")
 
     def can(a: str, b: str) -> Column:
-        """Whether two sets can be similar: they share at most what the poorer one shares with any."""
+        """Whether two sets are not joined yet and can be similar: they share at most what the poorer one shares with any."""
         most = F.least(f"{a}.common", f"{b}.common")
-        return most >= least * (F.col(f"{a}.size") + F.col(f"{b}.size") - most) - 1e-9
+        return (F.col(f"{a}.label") != F.col(f"{b}.label")) & (most >= least * (F.col(f"{a}.size") + F.col(f"{b}.size") - most) - 1e-9)
 
     cold, hot = met.where(F.col("n") <= hot_block), met.where(F.col("n") > hot_block)
     mates = cold.select(*block, one.alias("a")).join(cold.select(*block, one.alias("b")), block).where((F.col("a.fp") < F.col("b.fp")) & can("a", "b"))
     stars = hot.select(one.alias("b"), F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("a")).where(can("a", "b"))
     named = [df.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")) for df in (mates, stars)]
     pairs = written(_ordered(named[0].unionByName(named[1])), "pairs")
-    edges = _verified(pairs, sets, least)
+    edges = joined.unionByName(_verified(pairs, sets, least))
     if hot.isEmpty():
         return edges
     # whole for hot blocks too: sets of different components are compared in cells of the block
@@ -202,7 +237,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     no other. Repeated rows stay. An empty table gives no rows.
     """
     keyed = written(_keys(docs, id_col, text_col), "keys")
-    distinct = written(keyed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "distinct")
+    distinct = written(keyed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "distinct")
     label = connected_components(links(docs, distinct, id_col, text_col, least, hot_block))
     named = written(distinct.select("fp", "first_id").join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root")), "labels")
     of = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id", "root")

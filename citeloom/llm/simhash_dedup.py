@@ -40,7 +40,11 @@ def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> n
 
 def simhash(text: str | None) -> int:
     """Fingerprint of a text as an unsigned 64-bit integer; 0 if it has no words."""
-    hashes = shingle_hashes(text)
+    return simhash_of(shingle_hashes(text))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """Fingerprint of shingle hashes: a bit is 1 if set in over half of them."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         ones += np.unpackbits(hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)

@@ -28,6 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts with 0.8 or more of their shingles of five words in common the row with the smallest id stays.
 
+    SimHashes that differ in few bits propose the first pairs, keys of MinHash those that bits can not; sets are compared whole.
     Texts without words are one class, null ids come last, of repeated rows one stays; columns keep their values.
     """
     return near_copies.deduplicate(docs)
