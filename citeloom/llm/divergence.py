@@ -1,6 +1,7 @@
 """Source divergence audit: how far each source's words are from the other sources' of its language, by sorting.
 
-Tasks count the terms of their documents by language and source and hand out partial runs. These
+Tasks count the terms of their documents by language and source and hand out sorted partial runs, so
+that Spark's sort merges as many pieces as were handed out instead of ordering rows one by one. These
 are dealt out by ranges of (term, lang, source, document) and sorted in them, so that a term of any
 frequency spreads over as many ranges as it fills. The term leads, as Spark's sort tells most rows
 apart by the first bytes of the first column. One scan over a range closes the run of a term
@@ -17,9 +18,8 @@ second and third need only how often a source has each probability.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,14 @@ from .common import BROADCAST_ROWS, Written, text_of, written
 
 #: A term is kept in a language from so many documents on; so many terms are told of each group; probabilities are by so many.
 LEAST_DOCUMENTS, TOP, PARTS = 3, 200, 1_000_000_000
-#: Terms that a task holds before it hands out partial runs; parts that a hot key is split into where groups are too many to be sent.
-HELD, SALTS = 800_000, 32
-OUT_ROWS = 20_000
-#: UTF-8 bytes of a term once A-Z are lower-cased: code points that are no ASCII, and ASCII letters.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Words, and different terms by their bytes, that a task holds before it hands out partial runs; parts that a hot key is split into where groups are too many to be sent.
+HELD, SALTS = 6_000_000, 32
+#: Rows handed out at once, bytes of text taken at once.
+OUT_ROWS, PIECE = 20_000, 1 << 20
+#: Whether a byte of UTF-8 is of a term, as ASCII letters and all of other code points are; the byte with A-Z lower-cased.
+LETTER, LOWER = np.zeros(256, dtype=bool), np.arange(256, dtype=np.uint8)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+LOWER[65:91] += 32
 PARTIAL = "lang string, term string, source string, document string, docs long, n long"
 RUNS = "lang string, term string, whole boolean, docs long, runs array<struct<source:string,docs:long,n:long>>"
 
@@ -45,45 +48,96 @@ def _strings(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).view(pa.string())
 
 
+def terms_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The terms of all texts (UTF-8, none null), one after another, and how many each text has."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[0] == ends[-1]:
+        return pa.array([], pa.binary()).dictionary_encode(), np.zeros(len(texts), np.int64)
+    chars = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    letter = LETTER[chars]
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    first = ends[:-1][ends[:-1] < ends[1:]]  # a text begins anew, even if the one before ends in a letter
+    begins[first] = letter[first]
+    letters = LOWER[chars[letter]]
+    at = np.append(np.flatnonzero(begins[letter]), len(letters)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(letters)])
+    return found.dictionary_encode(), np.diff(np.searchsorted(np.flatnonzero(begins), ends))
+
+
 def partial_runs(docs: DataFrame, most: int = HELD) -> DataFrame:
     """(lang, term, source, document, docs, n) of tasks' documents: docs of them, the first one `document`, have the term, n times in all.
 
     docs: lang, source, document, text, none but document null. A document's terms are in one partial run each, and a task
-    hands out its runs when it holds over `most` terms.
+    hands out its runs, sorted by term, language and source, when it holds over `most` words; 4 bytes of different
+    terms count as one more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple] = {}
+        rows: list[tuple] = []  # documents held: lang, source, document
+        chunks: list[pa.DictionaryArray] = []  # their terms
+        owners: list[np.ndarray] = []  # the places in rows of the terms' documents
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (document, count, having) in held.items():
-                terms, times = list(count), list(count.values())
-                in_docs = list(map(having.__getitem__, terms))
-                for i in range(0, len(terms), OUT_ROWS):
-                    some = terms[i : i + OUT_ROWS]
-                    k = len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [_strings([lang] * k), _strings(some), _strings([source] * k), pa.array([document] * k, pa.string()), pa.array(in_docs[i : i + k], pa.int64()), pa.array(times[i : i + k], pa.int64())],
-                        ["lang", "term", "source", "document", "docs", "n"],
-                    )
+            held = pa.chunked_array(chunks).unify_dictionaries().chunks
+            chunks.clear()
+            order = pc.array_sort_indices(held[0].dictionary)
+            terms = held[0].dictionary.take(order).view(pa.string())
+            rank = np.empty(len(terms), np.int64)
+            rank[order.to_numpy()] = np.arange(len(terms))
+            words = rank[np.concatenate([c.indices.to_numpy() for c in held])]
+            del held, order, rank
+            # documents are numbered by language and source
+            by_group = sorted(range(len(rows)), key=lambda i: rows[i][:2])
+            number = np.empty(len(rows), np.int32)
+            number[by_group] = np.arange(len(rows))
+            heads = [k for k, i in enumerate(by_group) if not k or rows[i][:2] != rows[by_group[k - 1]][:2]]
+            group_of = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(heads, append=len(rows)))
+            langs, sources = (_strings([rows[by_group[k]][c] for k in heads]) for c in (0, 1))
+            documents = pa.array([rows[by_group[k]][2] for k in heads], pa.string())
+
+            words *= len(rows)
+            words += number[np.concatenate(owners)]
+            owners.clear()
+            words.sort()
+            pairs = np.flatnonzero(np.append(True, words[1:] != words[:-1]))  # of a term and a document
+            n, words = len(words), words[pairs]
+            term = words // len(rows)
+            words -= term * len(rows)
+            group = group_of[words]
+            at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (group[1:] != group[:-1])))
+            in_docs, times = np.diff(at, append=len(pairs)), np.diff(pairs[at], append=n)
+            term, group = term[at], group[at]
+            del words, pairs, at
+            for i in range(0, len(term), OUT_ROWS):
+                some = slice(i, i + OUT_ROWS)
+                mine = pa.array(group[some])
+                yield pa.RecordBatch.from_arrays(
+                    [langs.take(mine), terms.take(pa.array(term[some])), sources.take(mine), documents.take(mine), pa.array(in_docs[some], pa.int64()), pa.array(times[some], pa.int64())],
+                    ["lang", "term", "source", "document", "docs", "n"],
+                )
 
         for b in batches:
-            lang, source, text = (b.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "source", "text"))
-            for key, document, t in zip(zip(lang, source), b.column("document").to_pylist(), text):
-                words = TERM.findall(t.lower())
-                if not words:
+            lang, source = (b.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "source"))
+            batch, text = list(zip(lang, source, b.column("document").to_pylist())), b.column("text").cast(pa.binary())
+            # whole documents, a piece at a time; a word has a byte at least
+            piece = np.append(0, np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False), dtype=np.int64)) // min(most, PIECE)
+            cuts = sorted({0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(batch)})
+            for low, high in pairwise(cuts):
+                found, counts = terms_of(text.slice(low, high - low))
+                if not len(found):
                     continue
-                _, count, having = held.setdefault(key, (document, Counter(), Counter()))
-                before = len(count)
-                count.update(words)
-                having.update(set(words))
-                size += len(count) - before
+                chunks.append(found)
+                owners.append(np.repeat(np.arange(len(rows), len(rows) + high - low, dtype=np.int32), counts))
+                rows += batch[low:high]
+                size += len(found) + found.dictionary.nbytes // 4
                 if size > most:
                     yield from out()
-                    held.clear()
-                    size = 0
-        yield from out()
+                    rows, size = [], 0
+        if rows:
+            yield from out()
 
     return docs.select("lang", "source", "document", "text").mapInArrow(run, PARTIAL)
 

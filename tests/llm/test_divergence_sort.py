@@ -2,6 +2,8 @@
 
 import re
 
+import pyarrow as pa
+
 from citeloom.llm import divergence
 
 
@@ -10,3 +12,22 @@ def test_the_term_leads_the_sort(spark):
     plan = divergence.scanned(partial)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"Sort \[term#\d+[^\]]*lang#\d+[^\]]*source#\d+ ASC NULLS FIRST\], false", plan), plan
     assert re.search(r"rangepartitioning\(term#\d+[^)]*document#\d+", plan), plan
+
+
+def test_a_task_hands_out_sorted_runs(spark):
+    """Sorted pieces are merged, so Spark's sort compares rows about as often as there are tasks' runs to merge, not rows to sort."""
+    texts = ["Wolf moon wolf a_b É été", "", "tree-top dog's 日本 K", "zebra Ärger moon x", "end", "end of a"]
+    rows = [(lang, source, str(i), t) for i, t in enumerate(texts) for lang in ("en", "de", "") for source in ("s2", "s10", "")]
+    docs = spark.createDataFrame(rows, "lang string, source string, document string, text string").coalesce(1)
+    got = [tuple(r) for r in divergence.partial_runs(docs).select("term", "lang", "source", "docs", "n").collect()]
+    key = [tuple(c.encode() for c in r[:3]) for r in got]
+    assert key == sorted(set(key)) and len(key) == 9 * 17
+    assert [r[3:] for r in got if r[0] == "wolf"] == [(1, 2)] * 9 and [r[3:] for r in got if r[0] == "end"] == [(2, 2)] * 9
+
+
+def test_terms_end_with_their_text():
+    texts = pa.array(["skipped", "ab", "cd é", "", "1", "Zz9É"], pa.string()).slice(1).cast(pa.binary())
+    found, counts = divergence.terms_of(texts)
+    assert [t.decode() for t in found.to_pylist()] == ["ab", "cd", "é", "zz", "É"] and counts.tolist() == [1, 2, 0, 0, 2]
+    found, counts = divergence.terms_of(pa.array([b"", b""], pa.binary()))
+    assert len(found) == 0 and counts.tolist() == [0, 0]
