@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import uuid
-from collections.abc import Callable, Iterable
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import PLACES, TABLES, assert_unique, conform, empty
@@ -15,7 +19,11 @@ from .pointers import Pointers
 
 #: Rows of a part up to which it is not divided; snapshots that stay readable; times that a change is made anew after another commit came first.
 PART_ROWS, KEEP, TRIES = 1_000_000, 20, 5
-_TOP = 1 << 62
+#: Rows that a task writes, about, in any number of parts; counts of ranges that a part to be divided is cut by, for each part that comes of it.
+TASK_ROWS, CUTS = 250_000, 16
+#: Shares of `part_rows` that parts of a whole new table, and of a part that is divided, are filled to.
+WHOLE, DIVIDED = 0.9, 0.6
+_TOP, _LISTING = 1 << 62, threading.Lock()
 
 
 class ConcurrentCommitError(RuntimeError):
@@ -56,9 +64,34 @@ def _parts(pointer: dict | None) -> dict[str, list[Part]]:
     return {name: [Part(*p) for p in parts] for name, parts in (pointer or {}).items()}
 
 
+def _longs(values: Iterable[int]) -> Column:
+    """An array of given numbers as one literal, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _at_or_below(position: Column, lows: list[int]) -> Column:
+    """The number of the last of some rising bounds, of which the first is not above the position, that is not above it; found by halving."""
+    bounds, steps = _longs(lows), [1 << b for b in reversed(range(len(lows).bit_length()))]
+    go_on = lambda at, step: F.when(F.get(bounds, at + step) <= position, at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), go_on) if len(lows) > 1 else F.lit(0)
+
+
 def _index(position: Column, parts: list[Part]) -> Column:
     """The number of the part that a position lies in."""
-    return F.size(F.filter(F.array(*[F.lit(p.lo).cast("long") for p in parts]), lambda lo: lo <= position)) - 1
+    return _at_or_below(position, [p.lo for p in parts])
+
+
+@contextlib.contextmanager
+def _listed_by_few(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile folders are listed by a few tasks a core, instead of by one for each folder; the session is left as it was."""
+    key, tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism
+    with _LISTING:
+        before = spark.conf.get(key)
+        spark.conf.set(key, str(min(int(before), tasks)))
+        try:
+            yield
+        finally:
+            spark.conf.set(key, before)
 
 
 class Store:
@@ -75,6 +108,7 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str, part_rows: int = PART_ROWS, keep: int = KEEP):
         self.spark, self.folder, self.part_rows, self.keep = spark, folder.rstrip("/"), part_rows, keep
         self.pointers = Pointers(spark, f"{self.folder}/_current")
+        self._listed: dict[str, tuple[tuple[str, ...], DataFrame]] = {}
 
     def _latest(self) -> tuple[int, dict[str, list[Part]]]:
         number, found = self.pointers.latest()
@@ -84,8 +118,15 @@ class Store:
         return self._latest()[1]
 
     def _read(self, name: str, parts: Iterable[Part]) -> DataFrame:
-        paths = [f"{self.folder}/{p.path}" for p in parts if p.path]
-        return self.spark.read.schema(empty(self.spark, name).schema).parquet(*paths) if paths else empty(self.spark, name)
+        """Rows of parts; files are listed once for the parts last asked for, as they never change."""
+        paths = tuple(f"{self.folder}/{p.path}" for p in parts if p.path)
+        if not paths:
+            return empty(self.spark, name)
+        if self._listed.get(name, ((), None))[0] != paths:
+            schema = empty(self.spark, name).schema
+            with _listed_by_few(self.spark):
+                self._listed[name] = paths, self.spark.read.schema(schema).parquet(*paths)
+        return self._listed[name][1]
 
     def table(self, name: str) -> DataFrame:
         return self._read(name, self.current().get(name, ()))
@@ -126,63 +167,122 @@ class Store:
                 raise ConcurrentCommitError(f"commit {number + 1} was made by another writer")
 
     def _written(self, name: str, parts: list[Part], change: Change, tag: str) -> list[Part]:
-        """The table's parts after a change: those it touches are written anew, the others stay."""
-        key, place = list(TABLES[name][1]), PLACES[name]
+        """The table's parts after a change: those it touches are written anew, the others stay.
+
+        What the touched parts hold then is computed once, and put beside the store while it is counted and dealt out.
+        """
+        key = list(TABLES[name][1])
+        new = [conform(df, name) for df in (change.upsert, change.insert, change.add) if df is not None]
+        if change.whole is None and not new and not any(p.rows for p in parts):
+            return parts  # nothing that could go
         if change.whole is not None or not parts:
             parts = [Part("", 0, _TOP, 0)]
-        new = [conform(df, name) for df in (change.whole, change.upsert, change.insert, change.add) if df is not None]
+        staged: list[str] = []
+
+        def stage(df: DataFrame) -> DataFrame:
+            staged.append(f"_staged/{name}-{tag}-{len(staged)}")
+            df.write.parquet(f"{self.folder}/{staged[-1]}")
+            return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{staged[-1]}")
+
+        try:
+            delete = None if change.delete is None or change.whole is not None else stage(change.delete)
+            touched = [0] if change.whole is not None else self._touched(name, parts, delete, new)
+            if not touched:
+                return parts
+            rows = self._read(name, [parts[i] for i in touched])
+            if delete is not None:
+                rows = rows.join(delete, delete.columns, "left_anti")
+            if change.upsert is not None:
+                rows = upsert(rows, conform(change.upsert, name), tuple(key))
+            if change.insert is not None:
+                rows = insert_absent(rows, conform(change.insert, name), tuple(key))
+            for df in (change.add, change.whole):
+                rows = rows if df is None else rows.unionByName(conform(df, name))
+            return self._dealt(name, parts, touched, stage(rows.withColumn("__at", position(name))), tag, WHOLE if change.whole is not None else DIVIDED)
+        finally:
+            for path in staged:
+                self._delete(path)
+
+    def _touched(self, name: str, parts: list[Part], delete: DataFrame | None, new: list[DataFrame]) -> list[int]:
+        """Numbers of the parts that new rows or rows that go may lie in."""
+        place = PLACES[name]
         spots = [df.select(_index(position(name), parts).alias("i")) for df in new]
-        if change.delete is not None and change.whole is None:
-            columns = set(change.delete.columns)
-            if set(key) | {place} <= columns:
-                spots.append(change.delete.select(_index(position(name), parts).alias("i")))
+        if delete is not None:
+            columns = set(delete.columns)
+            if set(TABLES[name][1]) | {place} <= columns:
+                gone = delete.select(_index(position(name), parts).alias("i"))
             elif place in columns:  # a place may go over several parts
                 low = F.shiftleft(F.shiftrightunsigned(F.xxhash64(place), 33), 31)
-                spots.append(change.delete.select(F.explode(F.sequence(_index(low, parts), _index(low + ((1 << 31) - 1), parts))).alias("i")))
+                gone = delete.select(F.explode(F.sequence(_index(low, parts), _index(low + ((1 << 31) - 1), parts))).alias("i"))
             else:
-                gone = self._read(name, parts).join(change.delete, change.delete.columns, "left_semi")
-                spots.append(gone.select(_index(position(name), parts).alias("i")))
+                gone = self._read(name, parts).join(delete, delete.columns, "left_semi").select(_index(position(name), parts).alias("i"))
+            spots.append(gone)
         every = spots[0] if spots else self.spark.range(0).select(F.col("id").alias("i"))
         for s in spots[1:]:
             every = every.unionAll(s)
-        touched = {r["i"]: r["n"] for r in every.groupBy("i").agg(F.count("*").alias("n")).collect()}  # a row a part
-        if change.whole is not None:
-            touched.setdefault(0, 0)
-        if not touched:
-            return parts
-        rows = self._read(name, [parts[i] for i in touched])
-        if change.delete is not None:
-            rows = rows.join(change.delete, change.delete.columns, "left_anti")
-        if change.upsert is not None:
-            rows = upsert(rows, conform(change.upsert, name), tuple(key))
-        if change.insert is not None:
-            rows = insert_absent(rows, conform(change.insert, name), tuple(key))
-        for df in (change.add, change.whole):
-            rows = rows if df is None else rows.unionByName(conform(df, name))
-        sizes = {i: parts[i].rows + n for i, n in touched.items()}
-        full = [i for i, n in sizes.items() if n > self.part_rows]  # to be divided, into parts that are half full
-        rows = rows.withColumns({"__at": position(name), "__i": _index(position(name), parts)})
-        if full:
-            dealt = rows.repartitionByRange(-(-2 * sum(sizes.values()) // self.part_rows), "__i", "__at")
-            part = F.when(F.col("__i").isin(full), F.concat_ws("-", "__i", F.spark_partition_id())).otherwise(F.col("__i").cast("string"))
-        else:
-            dealt, part = rows.repartition(len(touched), "__i"), F.col("__i").cast("string")
-        dealt = dealt.withColumn("__part", part)
-        dealt.drop("__i").write.partitionBy("__part").parquet(f"{self.folder}/{name}/{tag}")
-        schema = empty(self.spark, name).schema
-        back = self.spark.read.schema(schema.add("__at", "long").add("__part", "string")).parquet(f"{self.folder}/{name}/{tag}")
-        assert_unique(back, TABLES[name][1], name)
-        made: dict[int, list[tuple[int, int, str]]] = {i: [] for i in touched}
-        for r in back.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("lo")).collect():  # a row a part
-            made[int(r["__part"].split("-")[0])].append((r["lo"], r["n"], f"{name}/{tag}/__part={r['__part']}"))
-        out = []
+        found = sorted(r["i"] for r in every.distinct().collect())  # a row a part
+        return found if new else [i for i in found if parts[i].rows]
+
+    def _dealt(self, name: str, parts: list[Part], touched: list[int], rows: DataFrame, tag: str, fill: float) -> list[Part]:
+        """The parts after the touched ones are written, divided where they outgrow `part_rows`; a key held twice raises."""
+        own = [parts[i] for i in touched]
+        lows = self._cuts(rows, own, max(1, int(fill * self.part_rows)))
+        tasks = max(1, min(len(lows), max(self.spark.sparkContext.defaultParallelism, -(-sum(n for _, n in lows) // TASK_ROWS))))
+        key = TABLES[name][1]
+        order = W.partitionBy("__part").orderBy("__at", *key)
+        dealt = rows.withColumn("__part", _at_or_below(F.col("__at"), [lo for lo, _ in lows])).repartition(tasks, "__part")
+        seen = Observation()  # equal keys are neighbours in this order
+        met = dealt.withColumn("__met", F.lag(F.struct(*key)).over(order).eqNullSafe(F.struct(*key))).observe(seen, F.count_if("__met").alias("n"))
+        met.drop("__met").write.partitionBy("__part").parquet(f"{self.folder}/{name}/{tag}")
+        if seen.get["n"]:
+            assert_unique(rows, key, name)  # says which
+        made: dict[int, list[Part]] = {i: [] for i in touched}
+        for k, (lo, n) in enumerate(lows):
+            i = touched[bisect_right([p.lo for p in own], lo) - 1] if len(own) > 1 else touched[0]
+            hi = min(parts[i].hi, lows[k + 1][0] if k + 1 < len(lows) else _TOP)
+            made[i].append(Part(f"{name}/{tag}/__part={k}" if n else "", lo, hi, n))
+        return [q for i, p in enumerate(parts) for q in (made[i] if i in made else [p])]
+
+    def _cuts(self, rows: DataFrame, parts: list[Part], most: int) -> list[tuple[int, int]]:
+        """(lo, rows) of what parts become: as they are, or in ranges of up to `most` rows if they outgrow `part_rows`.
+
+        Rows are counted by ranges of equal width; one that alone outgrows `part_rows`, as a place of many rows makes
+        it, is counted again by ranges between its first and its last position. Only counts come to the driver.
+        """
+        settled = []
+        counted = {r["i"]: (r["n"], r["a"], r["b"]) for r in rows.groupBy(_index(F.col("__at"), parts).alias("i")).agg(F.count("*").alias("n"), F.min("__at").alias("a"), F.max("__at").alias("b")).collect()}  # a row a part
+        todo = []
         for i, p in enumerate(parts):
-            if i not in touched:
-                out.append(p)
-                continue
-            own = sorted(made[i])
-            ends = [lo for lo, _, _ in own[1:]] + [p.hi]
-            out += [Part(path, p.lo if k == 0 else lo, ends[k], n) for k, (lo, n, path) in enumerate(own)] or [Part("", p.lo, p.hi, 0)]
+            n, a, b = counted.get(i, (0, 0, 0))
+            if n > self.part_rows and a < b:
+                todo.append((a, b, n, p.lo))
+            else:
+                settled.append((p.lo, n, p.lo))
+        while todo:
+            todo.sort()
+            shifts = [max(0, ((b - a) // (CUTS * -(-n // most))).bit_length()) for a, b, n, _ in todo]
+            at = F.col("__at")
+            j = _at_or_below(at, [a for a, _, _, _ in todo])
+            within = rows.select("__at").where(at >= todo[0][0]).withColumn("j", j).where(at <= F.get(_longs([b for _, b, _, _ in todo]), F.col("j")))
+            cell = F.call_function("shiftright", at - F.get(_longs([a for a, _, _, _ in todo]), F.col("j")), F.get(_longs(shifts), F.col("j")).cast("int"))
+            found = within.groupBy("j", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("__at").alias("a"), F.max("__at").alias("b")).collect()  # some rows a part
+            again = []
+            for r in found:
+                if r["n"] > self.part_rows and r["a"] < r["b"]:
+                    again.append((r["a"], r["b"], r["n"], todo[r["j"]][3]))
+                else:
+                    settled.append((r["a"], r["n"], todo[r["j"]][3]))
+            todo = again
+        out: list[tuple[int, int]] = []
+        last = None
+        for lo, n, own in sorted(settled):
+            if own != last:  # a part's first range begins where the part does
+                out.append((own, n))
+            elif out[-1][1] + n > most:
+                out.append((lo, n))
+            else:
+                out[-1] = out[-1][0], out[-1][1] + n
+            last = own
         return out
 
     def _forget(self, number: int) -> None:
@@ -217,8 +317,9 @@ def upsert(stored: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame
 
 
 def insert_absent(stored: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Stored rows stay as they are; new ones come in where their key is absent."""
-    return stored.unionByName(new.join(stored.select(*key), list(key), "left_anti"))
+    """Stored rows stay as they are; new ones come in where their key is absent. Stored keys that are new are found first, so that not all are shuffled where there are few new rows."""
+    there = stored.select(*key).join(new.select(*key), list(key), "left_semi")
+    return stored.unionByName(new.join(there, list(key), "left_anti"))
 
 
 def created(stored: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame:

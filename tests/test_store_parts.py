@@ -1,6 +1,7 @@
 """The store's parts: what a commit writes, two writers, old snapshots."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,36 @@ def test_torn_pointers_and_old_snapshots(spark, tmp_path):
     assert len(rows(s)) == 6
     s.change({"references_edge": Change(insert=edges(spark, [("a", "c")]))})
     assert len(rows(s)) == 7
+
+
+def counting(spark, df):
+    """df, and an accumulator of how many of its rows were computed."""
+    n = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            n.add(len(b))
+            yield b
+
+    return df.mapInPandas(run, df.schema), n
+
+
+def test_a_deletion_computes_what_goes_once(db):
+    """store_deletion: rows that go are not computed for the parts they lie in and again for the parts' rows; tables without rows are left alone."""
+    gone, n = counting(db.spark, edges(db.spark, [("d7", f"t{300 * i + 7}") for i in range(5)]))
+    want = {r for r in rows(db) if r not in {("d7", f"t{300 * i + 7}") for i in range(5)}}
+    db.change({"references_edge": Change(delete=gone), "chunk": Change(delete=gone)})
+    assert n.value == 5 and set(rows(db)) == want and len(want) == 2995 and db.current()["chunk"] == []
+
+
+def test_the_part_of_a_position_is_found_by_halving(spark):
+    draw = random.Random(1)
+    lows = [0, *sorted(draw.sample(range(1, 1 << 62), 3000))]
+    parts = [store.Part("", lo, hi, 1) for lo, hi in zip(lows, [*lows[1:], 1 << 62])]
+    at = [*draw.sample(lows, 500), *(lo - 1 for lo in draw.sample(lows[1:], 500)), 0, (1 << 62) - 1]
+    for some in (parts, parts[:1], parts[:2], parts[:3], parts[:1024]):
+        index = store._index(F.col("at"), some)
+        got = spark.createDataFrame([(a,) for a in at], "at long").select("at", index.alias("i")).collect()
+        assert all(r.i == max(k for k, p in enumerate(some) if p.lo <= r.at) for r in got)
+    plan = spark.range(9).select(store._index(F.col("id"), parts).alias("i"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "filter(" not in plan
