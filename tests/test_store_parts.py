@@ -133,6 +133,19 @@ def counting(spark, df):
     return df.mapInPandas(run, df.schema), n
 
 
+def test_a_commit_computes_its_rows_once(spark, tmp_path):
+    """store_parts: a table is not computed for its count, its bounds and its rows; its parts are of exact counts."""
+    s = store.Store(spark, f"file://{tmp_path}/db", part_rows=100)
+    df, n = counting(spark, spark.range(1000).select(F.concat(F.lit("d"), "id").alias("source_slug"), F.lit("t").alias("target_slug")))
+    s.commit({"references_edge": df})
+    parts = s.current()["references_edge"]
+    assert n.value == 1000 and len(parts) < 20 and max(p.rows for p in parts) <= 90
+    assert [p.rows for p in parts] == [s._read("references_edge", [p]).count() for p in parts]
+    with pytest.raises(schema.DuplicateKeyError):
+        s.commit({"references_edge": s.table("references_edge").unionAll(edges(spark, [("d7", "t")]))})
+    assert s.current()["references_edge"] == parts and not os.listdir(tmp_path / "db" / "_staged")
+
+
 def test_a_deletion_computes_what_goes_once(db):
     """store_deletion: rows that go are not computed for the parts they lie in and again for the parts' rows; tables without rows are left alone."""
     gone, n = counting(db.spark, edges(db.spark, [("d7", f"t{300 * i + 7}") for i in range(5)]))
